@@ -23,13 +23,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.licenses import scan
+
+    return scan(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.media import media_columns
 
     return media_columns(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_format", "width", "height")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_warc": op5_warc, "op10_media_columns": op10_media_columns}
+QUERIES = {"op2_mixing": op2_mixing, "op5_warc": op5_warc, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
 
 ORACLES = {
     "op2_mixing": r"""
