@@ -16,6 +16,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).selectExpr(*columns)
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.quality import classify
+
+    return classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.warc import warc_round_trip
 
@@ -23,6 +33,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.rules import apply_rules
+
+    return apply_rules(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.pii import find
 
@@ -41,7 +57,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_format", "width", "height")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_warc": op5_warc, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
+QUERIES = {"op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
 
 ORACLES = {
     "op2_mixing": r"""
