@@ -66,7 +66,7 @@ def centre(scores: np.ndarray, prior: float) -> float:
     return (low + high) / 2
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_size: int = 4000, rounds: int = 80) -> dict:
+def train(docs: DataFrame, labels: DataFrame, sample_size: int = 4000, rounds: int = 80, decay: float = 3e-3) -> dict:
     """A model from bounded samples; `labels` holds doc_id and quality."""
     own = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
@@ -80,7 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_size: int = 4000, rounds: i
     y = data[4]
     if not (y == 1).any() or not (y == 0).any():
         return {"grams": np.zeros(features.SIZE, np.float32), "stats": np.append(np.zeros(len(features.STATS)), np.log(prior / (1 - prior)))}
-    model = linear.fit(data, pu_gradient(y, prior), rounds)
+    model = linear.fit(data, pu_gradient(y, prior), rounds, decay=decay)
     model["stats"][-1] += centre(linear.logits(data, model)[y == 0], prior)
     return model
 
