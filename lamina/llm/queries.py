@@ -39,6 +39,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lamina.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.pii import find
 
@@ -57,7 +65,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_format", "width", "height")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
+QUERIES = {"op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
 
 ORACLES = {
     "op2_mixing": r"""
