@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-BITS = 15
+BITS = 12
 SIZE = 1 << BITS
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -134,14 +134,12 @@ def gram_groups(text: str, found: dict) -> list[np.ndarray]:
     return groups
 
 
-def vector(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Statistics, and bucket numbers with their parts of their group (a group's parts add up to 1)."""
+def vector(text: str) -> np.ndarray:
+    """Parts of the buckets (each group's add up to 1), then the statistics."""
     found = analyse(text)
-    index, value = [], []
+    out = np.zeros(SIZE + len(STATS), np.float32)
     for group in gram_groups(text, found):
         if len(group):
-            own, count = np.unique(group, return_counts=True)
-            index.append(own)
-            value.append((count / len(group)).astype(np.float32))
-    empty = np.zeros(0, np.int32), np.zeros(0, np.float32)
-    return statistics(text, found), *((np.concatenate(index), np.concatenate(value)) if index else empty)
+            out[:SIZE] += np.bincount(group, minlength=SIZE) / len(group)
+    out[SIZE:] = statistics(text, found)
+    return out

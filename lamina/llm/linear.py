@@ -28,42 +28,36 @@ def sample(docs: DataFrame, keys: DataFrame, most: int) -> DataFrame:
     return docs.join(F.broadcast(chosen), "doc_id")
 
 
-def vectors(rows: DataFrame) -> tuple:
-    """Features of rows(doc_id, text, label), computed in tasks and gathered on the driver: (stats, row, column, value, label, doc_id)."""
+def vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and ids of rows(doc_id, text, label): computed in tasks, then one fixed-size vector per sampled row on the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [features.vector(t if isinstance(t, str) else "") for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "s": [g[0] for g in got], "i": [g[1] for g in got], "v": [g[2] for g in got]})
-
-    table = rows.select("doc_id", "label", "text").mapInPandas(run, "doc_id long, label double, s array<float>, i array<int>, v array<float>").toPandas()
-    table = table.sort_values(["doc_id", "label"], kind="stable").reset_index(drop=True)
-    n = len(table)
-    stats = np.stack(table["s"].to_list()).astype(np.float64) if n else np.zeros((0, len(features.STATS)))
-    sizes = np.array([len(x) for x in table["i"]], dtype=np.int64)
-    column = np.concatenate(table["i"].to_list()) if n else np.zeros(0, np.int32)
-    value = (np.concatenate(table["v"].to_list()) if n else np.zeros(0)).astype(np.float64) * SCALE
-    return stats, np.repeat(np.arange(n), sizes), column, value, table["label"].to_numpy(float), table["doc_id"].to_numpy()
-
-
-def fit(data: tuple, gradient: Callable[[np.ndarray], np.ndarray], rounds: int = 80, rate: float = 0.1, decay: float = 1e-4) -> dict:
-    """Adam on the full sample; `gradient` gives the derivative of the risk by each row's logit."""
-    stats, row, column, value = data[:4]
-    width = features.SIZE + stats.shape[1] + 1
-    dense = np.hstack([stats, np.ones((len(stats), 1))])
-    w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
+            packed = [features.vector(t if isinstance(t, str) else "").tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "x": packed})
+
+    table = rows.select("doc_id", "label", "text").mapInPandas(run, "doc_id long, label double, x binary").toPandas()
+    table = table.sort_values(["doc_id", "label", "x"], kind="stable")
+    x = np.frombuffer(b"".join(table["x"]), np.float32).reshape(len(table), -1) if len(table) else np.zeros((0, features.SIZE + len(features.STATS)), np.float32)
+    scale = np.ones(x.shape[1], np.float32)
+    scale[: features.SIZE] = SCALE
+    return np.hstack([x * scale, np.ones((len(x), 1), np.float32)]), table["label"].to_numpy(float), table["doc_id"].to_numpy()
+
+
+def fit(x: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], rounds: int = 80, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
+    """Weights by Adam on the full sample; `gradient` gives the derivative of the risk by each row's logit."""
+    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
     for step in range(1, rounds + 1):
-        logit = np.bincount(row, value * w[column], len(stats)) + dense @ w[features.SIZE :]
-        g = gradient(logit)
-        grad = np.concatenate([np.bincount(column, value * g[row], features.SIZE), g @ dense]) + decay * w
+        g = gradient((x @ w.astype(np.float32)).astype(float))
+        grad = g.astype(np.float32) @ x + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return {"grams": (w[: features.SIZE] * SCALE).astype(np.float32), "stats": w[features.SIZE :]}
+    return w
 
 
-def logits(data: tuple, model: dict) -> np.ndarray:
-    stats, row, column, value = data[:4]
-    return np.bincount(row, value / SCALE * model["grams"][column], len(stats)) + np.hstack([stats, np.ones((len(stats), 1))]) @ model["stats"]
+def packed(w: np.ndarray) -> dict:
+    """The weights as `logit` takes them."""
+    return {"grams": (w[: features.SIZE] * SCALE).astype(np.float32), "stats": w[features.SIZE :].copy()}
 
 
 def logit(text: str, found: dict, model: dict) -> float:
@@ -75,14 +69,25 @@ def logit(text: str, found: dict, model: dict) -> float:
     return total
 
 
-def platt(scores: np.ndarray, labels: np.ndarray, rounds: int = 300) -> tuple[float, float]:
-    """Slope and shift that make sigmoid(slope * score + shift) a probability of label 1 (Newton steps, small ridge)."""
-    a, b = 1.0, 0.0
+def platt(scores: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Slope and shift that make sigmoid(slope * score + shift) a probability of label 1.
+
+    Platt's smoothed targets keep them finite where the labels are separated; Newton steps are halved until the loss falls.
+    """
+    n_pos, n_neg = (labels == 1).sum(), (labels == 0).sum()
+    target = np.where(labels == 1, (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2))
+    spread = max(1e-6, float(np.abs(scores).max())) if len(scores) else 1.0
+    z = np.stack([scores / spread, np.ones(len(scores))], axis=1)
+    loss = lambda w: (np.logaddexp(0, z @ w) - target * (z @ w)).sum() + 1e-3 * (w @ w)
+    w = np.array([1.0, 0.0])
     for _ in range(rounds):
-        p = sigmoid(a * scores + b)
-        g = np.array([((p - labels) * scores).sum() + 0.01 * (a - 1), (p - labels).sum()])
-        q = p * (1 - p) + 1e-9
-        h = np.array([[(q * scores * scores).sum() + 0.01, (q * scores).sum()], [(q * scores).sum(), q.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - 0.5 * step[0], b - 0.5 * step[1]
-    return float(a), float(b)
+        p = sigmoid(z @ w)
+        grad = z.T @ (p - target) + 2e-3 * w
+        hess = (z * (p * (1 - p))[:, None]).T @ z + 2e-3 * np.eye(2)
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0] / spread), float(w[1])

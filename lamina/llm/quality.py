@@ -66,7 +66,7 @@ def centre(scores: np.ndarray, prior: float) -> float:
     return (low + high) / 2
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_size: int = 4000, rounds: int = 80, decay: float = 3e-3) -> dict:
+def train(docs: DataFrame, labels: DataFrame, sample_size: int = 2000, rounds: int = 80, decay: float = 3e-3) -> dict:
     """A model from bounded samples; `labels` holds doc_id and quality."""
     own = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
@@ -76,13 +76,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_size: int = 4000, rounds: i
     positive = own.where("quality = 1").select("doc_id", F.lit(1.0).alias("label"))
     unlabelled = texts.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", F.lit(0.0).alias("label")).distinct()
     rows = linear.sample(texts, positive, sample_size).unionByName(linear.sample(texts, unlabelled, sample_size))
-    data = linear.vectors(rows)
-    y = data[4]
+    x, y, _ = linear.vectors(rows)
     if not (y == 1).any() or not (y == 0).any():
         return {"grams": np.zeros(features.SIZE, np.float32), "stats": np.append(np.zeros(len(features.STATS)), np.log(prior / (1 - prior)))}
-    model = linear.fit(data, pu_gradient(y, prior), rounds, decay=decay)
-    model["stats"][-1] += centre(linear.logits(data, model)[y == 0], prior)
-    return model
+    w = linear.fit(x, pu_gradient(y, prior), rounds, decay=decay)
+    w[-1] += centre(x[y == 0] @ w, prior)
+    return linear.packed(w)
 
 
 def scores(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
