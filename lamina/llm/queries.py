@@ -9,6 +9,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.jaccard import link
+
+    return link(_documents(spark, sf_dir), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.mixing import mix
 
@@ -65,9 +71,20 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_format", "width", "height")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
+QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
 
 ORACLES = {
+    "op1_ngram_jaccard_join": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+        g as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+                  else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as gram from w),
+        n as (select doc_id, count(*) as n from g group by doc_id),
+        o as (select a.doc_id as a, b.doc_id as b, count(*) as both from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
+        l as (select o.a, o.b from o join n x on o.a = x.doc_id join n y on o.b = y.doc_id where 100 * o.both >= 90 * (x.n + y.n - o.both)),
+        e as (select a, b from l union all select b, a from l),
+        r as (select a as doc_id, b as reached from e union select r.doc_id, e.b from r join e on r.reached = e.a)
+        select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(min(r.reached), d.doc_id))::bigint as component_id
+        from documents d left join n on d.doc_id = n.doc_id left join r on d.doc_id = r.doc_id group by d.doc_id, n.n""",
     "op2_mixing": r"""
         with d as (select doc_id, 'domain' || cast(ascii(right(source, 1)) % 4 as varchar) as domain, lang, source,
                           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as n_tokens from documents),
