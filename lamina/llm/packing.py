@@ -8,8 +8,8 @@ combination is removed as many times as the counts allow. A piece's rank among t
 pieces of its length then names its place. Ranks come from counts by (length, hash
 bucket), so a length that a third of all pieces share is never ordered in one task.
 
-Tokenising splits at ASCII white space, where this tokenizer's tokens always end, and
-keeps the ids of common chunks; chunks met for the first time go through the tokenizer.
+Tokenising cuts texts where this tokenizer's tokens always end and keeps the ids of
+common chunks; chunks met for the first time go through the tokenizer.
 
 Defined results: a null or blank text is the single id 0; repeated rows are packed
 each; a null id is packed like any other; an empty table gives an empty result; other
@@ -18,8 +18,11 @@ input columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,48 +40,75 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
 class ChunkIds:
-    """Ids of white-space-free chunks as little-endian bytes; the first `most` chunks are kept."""
+    """Ids of texts as little-endian bytes, put together from the ids of chunks; the first `most` chunks are kept.
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    No token spans white space. Texts of ASCII and Latin-1 letters are also cut where the
+    tokenizer's own pattern cuts, after its lower-casing, so that few chunks are distinct;
+    all others (and texts that may hold a special token) are cut at ASCII white space only.
+    """
+
+    #: The tokenizer's pattern over lower-case Latin-1 bytes, and the bytes that are neither ASCII nor letters there.
+    PATTERN = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\x09-\x0d\x20a-z0-9\xdf-\xf6\xf8-\xff]+")
+    OTHER = bytes([*range(0x80, 0xC0), 0xD7, 0xF7])
+    LOWER = bytes(x + 32 if 65 <= x <= 90 or 0xC0 <= x <= 0xDE and x != 0xD7 else x for x in range(256))
+
+    def __init__(self, vocabulary: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[bytes, bytes] = {}
+        self.latin: dict[bytes, bytes] = {}
+        self.raw: dict[bytes, bytes] = {}
         self.most = most
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        chunks = [t.split() for t in texts]
-        new = {c for own in chunks for c in own if c not in self.known}
-        fresh = {}
-        if new:
-            new = list(new)
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for chunk, e in zip(part, self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
-                    fresh[chunk] = np.array(e.ids, "<u4").tobytes()
-            room = self.most - len(self.known)
-            if room >= len(fresh):
-                self.known |= fresh
-            else:
-                self.known |= dict(list(fresh.items())[: max(0, room)])
-        out = []
-        for own in chunks:
-            try:
-                out.append(b"".join([self.known[c] for c in own]))
-            except KeyError:
-                out.append(b"".join([self.known.get(c) or fresh.get(c, b"") for c in own]))
-        return out
+    @classmethod
+    def of(cls, vocabulary: str) -> ChunkIds:
+        """One for each worker process, which later tasks find filled."""
+        if vocabulary not in _CHUNKS:
+            _CHUNKS[vocabulary] = cls(vocabulary)
+        return _CHUNKS[vocabulary]
+
+    def chunks(self, text: str) -> tuple[bool, list[bytes]]:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            raw = None
+        if raw is None or b"<|" in raw or not raw.isascii() and len(raw.translate(None, self.OTHER)) < len(raw):
+            return False, text.encode().split()
+        return True, self.PATTERN.findall(raw.translate(self.LOWER))
+
+    def fresh(self, cut: list[tuple[bool, list[bytes]]], latin: bool, known: dict[bytes, bytes]) -> dict[bytes, bytes]:
+        new = list(set().union(*(own for kind, own in cut if kind == latin)).difference(known))
+        found = {}
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            texts = [c.decode("latin-1" if latin else "utf-8") for c in part]
+            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                found[chunk] = np.array(e.ids, "<u4").tobytes()
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.chunks(t) for t in texts]
+        tables = {}
+        for latin, known in ((True, self.latin), (False, self.raw)):
+            new = self.fresh(cut, latin, known)
+            room = self.most - len(known)
+            known.update(new if room >= len(new) else dict(itertools.islice(new.items(), max(0, room))))
+            tables[latin] = known if room >= len(new) else ChainMap(known, new)
+        return [b"".join(map(tables[latin].__getitem__, own)) for latin, own in cut]
+
+
+_CHUNKS: dict[str, ChunkIds] = {}
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece; ids stay in the task and only their checksum leaves it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = ChunkIds(vocabulary)
+        ids = ChunkIds.of(vocabulary)
         for batch in batches:
             rows = []
-            texts = [t.encode() if isinstance(t, str) else b"" for t in batch["t"]]
+            texts = [t if isinstance(t, str) else "" for t in batch["t"]]
             keys = batch["k"].to_list()
             for at in range(0, len(texts), 500):
                 for key, own in zip(keys[at : at + 500], ids.encode(texts[at : at + 500]), strict=True):
