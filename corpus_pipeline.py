@@ -1,13 +1,57 @@
-"""Corpus preparation: quality, near copies, personal data, mixing, packing."""
+"""Corpus preparation: quality, near copies, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and is written as Parquet before the next one
+reads it. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from lamina.llm import jaccard, mixing, packing, pii, quality
+from lamina.session import Scratch
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, doesn't reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    return jaccard.keep_one(docs, k=5, num=80, den=100)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Four fifths of the tokens, by the target weights of domains, languages and sources, each document twice at most."""
+    return mixing.mixed_documents(docs, share=0.8, max_epochs=2)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, VOCABULARY)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("PII", redact_personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+#: The classifier, the trees and the tokenizer can't be written in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    scratch = Scratch(spark, "pipeline")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = scratch.table(str(number), stage(spark, docs, sf_dir))
     return docs

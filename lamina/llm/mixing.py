@@ -146,3 +146,19 @@ def mix(
     inside = inside.withColumn("_m_epoch", F.col("_m_full")).withColumn("_m_take", F.least(F.col("_m_tokens"), F.col("_m_left") - F.col("_m_before")))
     out = [*docs.columns, *names, "_m_epoch", "_m_tokens", "_m_take"]
     return whole.select(*out).unionByName(inside.select(*out))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    pairs = F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"))
+    return F.array_join(F.transform(F.slice(pairs, F.lit(1), n.cast("int")), lambda p: F.concat(p["gap"], p["word"])), "")
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The selection as documents: once per epoch, the last of a leaf's prefix cut to the words taken."""
+    found = mix(docs, text_col=text_col, **options)
+    cut = F.col("_m_take") < F.col("_m_tokens")
+    found = found.withColumn(text_col, F.when(cut, first_words(F.col(text_col), F.col("_m_take"))).otherwise(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(cut, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
