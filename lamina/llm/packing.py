@@ -22,7 +22,7 @@ import itertools
 import os
 import re
 import zlib
-from collections import ChainMap
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,11 +52,15 @@ class ChunkIds:
     OTHER = bytes([*range(0x80, 0xC0), 0xD7, 0xF7])
     LOWER = bytes(x + 32 if 65 <= x <= 90 or 0xC0 <= x <= 0xDE and x != 0xD7 else x for x in range(256))
 
-    def __init__(self, vocabulary: str, most: int = 600_000):
+    def __init__(self, vocabulary: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        #: The same without lower-casing and pattern, for chunks that have been through both.
+        self.cut_tokenizer = Tokenizer.from_file(vocabulary)
+        self.cut_tokenizer.normalizer = normalizers.Sequence([])
+        self.cut_tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)
         self.latin: dict[bytes, bytes] = {}
         self.raw: dict[bytes, bytes] = {}
         self.most = most
@@ -77,25 +81,23 @@ class ChunkIds:
             return False, text.encode().split()
         return True, self.PATTERN.findall(raw.translate(self.LOWER))
 
-    def fresh(self, cut: list[tuple[bool, list[bytes]]], latin: bool, known: dict[bytes, bytes]) -> dict[bytes, bytes]:
-        new = list(set().union(*(own for kind, own in cut if kind == latin)).difference(known))
-        found = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            texts = [c.decode("latin-1" if latin else "utf-8") for c in part]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                found[chunk] = np.array(e.ids, "<u4").tobytes()
-        return found
-
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        tables = {}
+        found = [list(map((self.latin if latin else self.raw).get, own)) for latin, own in cut]
         for latin, known in ((True, self.latin), (False, self.raw)):
-            new = self.fresh(cut, latin, known)
-            room = self.most - len(known)
-            known.update(new if room >= len(new) else dict(itertools.islice(new.items(), max(0, room))))
-            tables[latin] = known if room >= len(new) else ChainMap(known, new)
-        return [b"".join(map(tables[latin].__getitem__, own)) for latin, own in cut]
+            gaps = [(own, ids) for (kind, own), ids in zip(cut, found, strict=True) if kind == latin and None in ids]
+            new = list({c for own, ids in gaps for c, i in zip(own, ids, strict=True) if i is None})
+            fresh = {}
+            for at in range(0, len(new), 20_000):
+                part = new[at : at + 20_000]
+                whole = [c.decode("latin-1" if latin else "utf-8") for c in part]
+                coder = self.cut_tokenizer if latin else self.tokenizer
+                for chunk, e in zip(part, coder.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+                    fresh[chunk] = array("I", e.ids).tobytes()
+            for own, ids in gaps:
+                ids[:] = [fresh[c] if i is None else i for c, i in zip(own, ids, strict=True)]
+            known.update(itertools.islice(fresh.items(), max(0, self.most - len(known))))
+        return [b"".join(ids) for ids in found]
 
 
 _CHUNKS: dict[str, ChunkIds] = {}
