@@ -1,6 +1,514 @@
-"""All queries over the reference tables and their SQL twins."""
+"""All queries over the reference tables and their SQL twins (DuckDB)."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lamina.functions import embedding, scoring, text, vectors
+from lamina.operators import episodic, knn, oplog, tiers, working
+from lamina.plans import context, diagnostics
+from lamina.plans.recall import recall
+from lamina.session import Scratch
+from lamina.sources import cold, testdata
+from lamina.sources.testdata import Layers
+from lamina.streaming import events as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+NOW = f"timestamp '{testdata.NOW}'"
+VEC = 7
+_CTE = {"epi": testdata.EPISODIC, "items": testdata.SEMANTIC, "turns": testdata.TURNS, "pins": testdata.PINS, "vecs": "select vec_id as id, embedding from embeddings"}
+
+
+def _now():
+    return F.expr(NOW)
+
+
+def query(sql: str | None = None, recursive: bool = False, **ctes: str):
+    """Register a query under its function's name; the SQL may use the layers (epi, items, turns, pins, vecs) and the given CTEs."""
+
+    def register(f: Callable[[Layers], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Layers(spark, sf_dir))
+        if sql is not None:
+            whole = sql + " ".join(ctes.values())
+            parts = [f"{k} as ({v})" for k, v in _CTE.items() if f" {k}" in whole] + [f"{k} as ({v})" for k, v in ctes.items()]
+            ORACLES[f.__name__] = (f"with {'recursive ' if recursive else ''}{', '.join(parts)} " if parts else "") + sql
+        return f
+
+    return register
+
+
+_DIST = f"round(1 - list_inner_product(v.embedding::double[], (select embedding::double[] from embeddings where vec_id = {VEC})), 6) + 0.0"
+_T1 = "order by last_accessed desc, retrieval_weight desc, created_at desc, id"
+_RECENCY = "exp(-greatest((floor(epoch({now})) - floor(epoch({ts}))) / 86400.0, 0.0) * ln(2.0) / 14.0)"
+
+
+def _recency(ts: str) -> str:
+    return _RECENCY.format(now=NOW, ts=ts)
+
+
+# ---- recency and listings
+
+
+@query(f"select id, kind, scope, payload, retrieval_weight, last_accessed, created_at from epi {_T1} limit 20")
+def recent_top20(t: Layers) -> DataFrame:
+    return episodic.recall_recent(t.episodic, 20)
+
+
+@query(f"select id, kind, scope, payload, retrieval_weight, last_accessed, created_at from epi where scope = 'work' and kind = 'click' {_T1} limit 50")
+def recent_scope_kind(t: Layers) -> DataFrame:
+    return episodic.recall_recent(t.episodic, 50, "work", "click")
+
+
+def _tiered(t: Layers, hot: int = 7, warm: int = 21, now: str = NOW) -> DataFrame:
+    return tiers.consolidated(t.episodic.withColumn("tier", F.lit("hot")), F.expr(now), hot, warm)
+
+
+def _tier_sql(hot: int = 7, warm: int = 21, now: str = NOW) -> str:
+    return f"select *, case when last_accessed <= {now} - interval {warm} day then 'cold' when last_accessed <= {now} - interval {hot} day then 'warm' else 'hot' end as tier from epi"
+
+
+@query("select id, created_at, row_number() over (order by created_at desc, id) as pos from t where tier = 'hot'", t=_tier_sql())
+def list_hot(t: Layers) -> DataFrame:
+    return _positions(episodic.list_hot(_tiered(t)).select("id", "created_at"), "created_at desc, id")
+
+
+@query("select id, created_at, row_number() over (order by created_at, id) as pos from t where tier = 'warm'", t=_tier_sql())
+def list_warm(t: Layers) -> DataFrame:
+    return _positions(episodic.list_warm(_tiered(t)).select("id", "created_at"), "created_at, id")
+
+
+def _positions(rows: DataFrame, order: str) -> DataFrame:
+    """Global positions without one task: ranks inside ranges of a range-partitioned sort, plus the sizes of the ranges before."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.expr(k.replace(" desc", "")).desc() if k.endswith(" desc") else F.expr(k).asc() for k in order.split(", ")]
+    placed = Scratch(rows.sparkSession, "sorted").table("rows", rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*keys))
+    return placed.withColumn("_own", own).join(F.broadcast(sizes), "_part").select(*rows.columns, (F.col("_own") + F.col("_before")).cast("long").alias("pos"))
+
+
+@query("select id, tier from t where id in (select max(id) from t group by tier)", t=_tier_sql())
+def find_by_id(t: Layers) -> DataFrame:
+    rows = _tiered(t)
+    ids = [r["id"] for r in rows.groupBy("tier").agg(F.max("id").alias("id")).collect()]  # three rows
+    found = [episodic.find(rows, i).select("id", "tier") for i in ids]
+    return diagnostics.union_all(found)
+
+
+# ---- vectors and recall
+
+
+@query(f"select id, {_DIST} as distance from vecs v order by distance, id limit 10")
+def knn_exact_top10(t: Layers) -> DataFrame:
+    return knn.nearest(t.vectors, t.query_vector(VEC), 10).select("id", "distance")
+
+
+@query(
+    "select qid, id, distance, rank from (select *, row_number() over (partition by qid order by distance, id)::int as rank from d) where rank <= 10",
+    d="select q.id as qid, v.id, round(1 - list_inner_product(v.embedding::double[], q.embedding::double[]), 6) + 0.0 as distance from vecs v, vecs q where q.id % 100 = 0",
+)
+def knn_batch_top10(t: Layers) -> DataFrame:
+    return knn.nearest_batch(t.vectors, t.vectors.where("id % 100 = 0").selectExpr("id as qid", "embedding"), 10)
+
+
+@query()
+def ann_lsh_top10(t: Layers) -> DataFrame:
+    return knn.nearest_lsh(t.vectors, t.query_vector(VEC), 10)
+
+
+_HITS = f"select i.id, i.content, i.kind, i.scope, {_DIST} as score from items i join vecs v on i.id = v.id"
+
+
+@query("select * from h where scope = 'es' order by score, id limit 10", h=_HITS)
+def recall_scope_exact(t: Layers) -> DataFrame:
+    return recall(t.semantic, t.vectors, t.query_vector(VEC), 10, scope="es").select("id", "content", "kind", "scope", "score")
+
+
+@query(
+    "select i.id, i.content, i.kind, i.scope, n.score from n join items i on i.id = n.id where i.scope = 'es' order by n.score, i.id limit 10",
+    n=f"select id, {_DIST} as score from vecs v order by score, id limit 40",
+)
+def recall_scope_overfetch(t: Layers) -> DataFrame:
+    return recall(t.semantic, t.vectors, t.query_vector(VEC), 10, scope="es", mode="overfetch").select("id", "content", "kind", "scope", "score")
+
+
+@query("select * from h where kind = 'decision' order by score, id limit 10", h=_HITS)
+def recall_kind_exact(t: Layers) -> DataFrame:
+    return recall(t.semantic, t.vectors, t.query_vector(VEC), 10, kind="decision").select("id", "content", "kind", "scope", "score")
+
+
+@query("select * from h where id % 5 <> 0 order by score, id limit 10", h=_HITS)
+def recall_orphan_skip(t: Layers) -> DataFrame:
+    known = t.semantic.where("id % 5 <> 0")  # every fifth vector has no item
+    return recall(known, t.vectors, t.query_vector(VEC), 10).select("id", "content", "kind", "scope", "score")
+
+
+# ---- op log
+
+_LOG = """select id as lsn, 'insert' as op, id, 'v' || cast(id as string) as content, cast(null as string) as scope from {v}
+  union all select 1000000 + id, case when id % 7 = 0 then 'delete' when id % 3 = 0 then 'replace' else 'patch' end, id,
+    case when id % 7 = 0 or id % 2 = 0 then cast(null as string) else 'w' || cast(id as string) end, case when id % 5 = 0 then 'work' end from {v} where id % 2 = 1 or id % 7 = 0
+  union all select 2000000 + id, 'insert', id, 'x' || cast(id as string), cast(null as string) from {v} where id % 21 = 0"""
+_LOG_SQL = _LOG.format(v="vecs")
+
+
+def _log(t: Layers) -> DataFrame:
+    return t.spark.sql(_LOG.format(v="{v}"), v=t.vectors)
+
+
+@query("select id, lsn, op, content, scope from (select *, row_number() over (partition by id order by lsn desc) as n from log) where n = 1", log=_LOG_SQL)
+def oplog_latest_state(t: Layers) -> DataFrame:
+    return oplog.latest(_log(t))
+
+
+@query("select lsn, op, id, content, scope from log where lsn > 1000100 order by lsn", log=_LOG_SQL)
+def oplog_replay_after_lsn(t: Layers) -> DataFrame:
+    return oplog.replay(_log(t), 1_000_100)
+
+
+@query(
+    """select id, arg_max(content, lsn) filter (where content is not null) as content, arg_max(scope, lsn) filter (where scope is not null) as scope, max(lsn) as lsn
+       from alive group by id having bool_or(op in ('insert', 'replace'))""",
+    log=_LOG_SQL,
+    cut="select id, max(lsn) as cut from log where op = 'delete' group by id",
+    alive="select log.* from log left join cut on log.id = cut.id where op <> 'delete' and (cut is null or lsn > cut)",
+)
+def update_patch_merge(t: Layers) -> DataFrame:
+    log = _log(t).withColumn("created_at", F.lit(None).cast("timestamp"))
+    return oplog.merged(log).select("id", "content", "scope", "lsn")
+
+
+_OVER = "select id from vecs where id % 10 <> 3 union all select id from vecs where id % 10 = 3 and id % 4 <> 1"
+
+
+def _overlaid(t: Layers) -> DataFrame:
+    snapshot = t.vectors.where("id % 10 <> 3 or id % 20 = 13")
+    tail = t.vectors.where("id % 10 = 3").selectExpr("id as lsn", "case when id % 4 = 1 then 'delete' else 'insert' end as op", "id", "embedding")
+    return oplog.overlay(snapshot, tail)
+
+
+@query(f"select v.id, {_DIST} as distance from vecs v join o on v.id = o.id order by distance, v.id limit 10", o=_OVER)
+def vector_overlay_search(t: Layers) -> DataFrame:
+    return knn.nearest(_overlaid(t), t.query_vector(VEC), 10).select("id", "distance")
+
+
+@query("select count(*) as live from o", o=_OVER)
+def live_vector_count(t: Layers) -> DataFrame:
+    return _overlaid(t).agg(F.count("*").alias("live"))
+
+
+@query(
+    """select ids.id, case when ids.id in (select id from items) then 'semantic' when ids.id in (select id from pins) then 'procedural'
+            when ids.id in (select id from t where tier = 'hot') then 'hot' when ids.id in (select id from t where tier = 'warm') then 'warm' end as layer from ids""",
+    t=_tier_sql(), ids="select distinct user_id * 3 as id from events",
+)
+def forget_resolution(t: Layers) -> DataFrame:
+    rows = _tiered(t)
+    ids = t.table("events").select((F.col("user_id") * 3).alias("id")).distinct()
+    return oplog.resolve_forget(ids, [("semantic", t.semantic), ("procedural", t.pins), ("hot", rows.where("tier = 'hot'")), ("warm", rows.where("tier = 'warm'"))])
+
+
+# ---- scores and text
+
+
+@query(f"select id, round(retrieval_weight * 0.8 * {_recency('last_accessed')}, 6) + 0.0 as score from epi")
+def scores_episodic(t: Layers) -> DataFrame:
+    return t.episodic.select("id", vectors.rounded(scoring.episodic_score(F.col("retrieval_weight"), F.col("last_accessed"), _now())).alias("score"))
+
+
+@query(f"select i.id, round(least(greatest(1 - ({_DIST}), 0), 1) * 0.7 * {_recency('i.created_at')}, 6) + 0.0 as score from items i join vecs v on i.id = v.id")
+def scores_semantic(t: Layers) -> DataFrame:
+    rows = t.semantic.join(t.vectors, "id").withColumn("d", vectors.rounded(vectors.cosine_distance(F.col("embedding"), vectors.literal(t.query_vector(VEC)))))
+    return rows.select("id", vectors.rounded(scoring.semantic_score(F.col("d"), F.col("created_at"), _now())).alias("score"))
+
+
+@query(f"select session_id, turn_idx, round(0.9 * {_recency('turn_at')}, 6) + 0.0 as score from turns")
+def scores_working(t: Layers) -> DataFrame:
+    return t.turns.select("session_id", "turn_idx", vectors.rounded(scoring.working_score(F.col("turn_at"), _now())).alias("score"))
+
+
+@query("select lang, sum((length(text) + 3) // 4)::bigint as tokens, max((length(text) + 3) // 4)::bigint as most from documents group by lang")
+def token_estimate_by_lang(t: Layers) -> DataFrame:
+    tokens = text.token_estimate(F.col("text"))
+    return t.table("documents").groupBy("lang").agg(F.sum(tokens).alias("tokens"), F.max(tokens).alias("most"))
+
+
+@query("select turn_idx, session_id, case when octet_length(encode(content)) > 500 then substr(content, 1, 500) || '…' else content end as message from turns")
+def truncate_message(t: Layers) -> DataFrame:
+    return t.turns.select("turn_idx", "session_id", text.truncated_message(F.col("content")).alias("message"))
+
+
+@query("select id, content as trimmed, length(content)::int as n from items")
+def trim_nonblank(t: Layers) -> DataFrame:
+    padded = t.semantic.withColumn("padded", F.concat(F.lit("\t  "), "content", F.lit(" \n ")))
+    return padded.where(text.non_blank(F.col("padded"))).select("id", text.trimmed(F.col("padded")).alias("trimmed"), F.length(text.trimmed(F.col("padded"))).alias("n"))
+
+
+@query("""select id, case id % 5 when 0 then [] when 1 then [scope, source] when 2 then [source] when 3 then null else null end as tags from items""")
+def tags_parse(t: Layers) -> DataFrame:
+    quoted = lambda *c: F.to_json(F.array(*c))
+    argument = (
+        F.when(F.col("id") % 5 == 0, F.lit("null")).when(F.col("id") % 5 == 1, quoted("scope", "source"))
+        .when(F.col("id") % 5 == 2, F.concat(F.lit('"'), F.replace(quoted("source"), F.lit('"'), F.lit('\\"')), F.lit('"')))
+        .when(F.col("id") % 5 == 3, F.lit("[1, 2]")).otherwise(F.lit("{}"))
+    )
+    return t.semantic.select("id", text.parsed_tags(argument).alias("tags"))
+
+
+@query(
+    """select id, case id % 4 when 0 then '{"tool":"recall","query":"' || kind || '"}' when 1 then '{"tool":"switch_scope","new_scope":"' || scope || '"}'
+        when 2 then '{"tool":"forget","id":"' || cast(id as varchar) || '"}' else '{"tool":"stats"}' end as payload from epi"""
+)
+def tool_payload_allowlist(t: Layers) -> DataFrame:
+    rows = t.episodic.withColumn("tool", F.element_at(F.array(*map(F.lit, ("recall", "switch_scope", "forget", "stats"))), (F.col("id") % 4 + 1).cast("int")))
+    arguments = F.to_json(F.struct(F.col("kind").alias("query"), F.col("scope"), F.col("id").cast("string").alias("id"), F.col("payload").alias("content")))
+    return rows.select("id", diagnostics.recorded_call(F.col("tool"), arguments).alias("payload"))
+
+
+@query("select kind, sum(cast(json_extract_string(payload, '$.k') as bigint))::bigint as total, count(*) filter (where json_valid(payload)) as valid from epi group by kind")
+def payload_json(t: Layers) -> DataFrame:
+    value = F.get_json_object("payload", "$.k").cast("long")
+    return t.episodic.groupBy("kind").agg(F.sum(value).alias("total"), F.count(F.when(F.expr("try_parse_json(payload)").isNotNull(), 1)).alias("valid"))
+
+
+_STUB = """select id, list_transform(range(0, 8), lambda i: case when i % 2 = 0 then sin(b * 0.07 + i * 0.61803) else cos(n * 0.13 + i * 0.61803) end) as raw from b"""
+
+
+@query(
+    "select id, round(sqrt(list_inner_product(raw, raw)), 6) as norm, list_transform(raw, lambda x: round(x / sqrt(list_inner_product(raw, raw)), 6) + 0.0) as embedding from r",
+    b="select id, cast('0x' || substr(hex(encode(content)), 1, 2) as int)::double as b, octet_length(encode(content))::double as n from items",
+    r=_STUB,
+)
+def reembed_stub(t: Layers) -> DataFrame:
+    made = t.semantic.select("id", embedding.embedder("stub", 8)(F.col("content")).alias("e"), "content")
+    first = F.conv(F.hex(F.substring(F.encode("content", "UTF-8"), 1, 1)), 16, 10).cast("double")
+    raw = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i % 2 == 0, F.sin(first * 0.07 + i * 0.61803)).otherwise(F.cos(F.octet_length("content") * 0.13 + i * 0.61803)))
+    return made.select("id", F.round(F.sqrt(vectors.dot(raw, raw)), 6).alias("norm"), F.transform("e", lambda x: vectors.rounded(x)).alias("embedding"))
+
+
+# ---- context
+
+
+def _context(t: Layers, **options) -> DataFrame:
+    session = t.turns.where("session_id = 0")
+    return context.build_context(t.pins, t.episodic, t.semantic, t.vectors, session, _now(), **options)
+
+
+def _context_sql(query_vector: bool, max_tokens: int = 4000, floor: int | None = None, scope: str | None = None) -> tuple[str, dict]:
+    floor = max_tokens // 16 if floor is None else floor
+    reserve = min(floor, max_tokens // 4)
+    where = f"where scope = '{scope}'" if scope else ""
+    sem = f"select i.id, i.content, i.created_at, {_DIST} as distance from items i join vecs v on i.id = v.id {'where i.scope = ' + repr(scope) if scope else ''} order by distance, i.id limit 32"
+    ctes = {
+        "pin64": f"select * from pins {where} order by line_no limit 64",
+        "epi64": f"select * from epi {where} {_T1} limit 64",
+        "tur32": "select * from turns where session_id = 0 order by turn_idx desc limit 32",
+    }
+    parts = [
+        "select 'procedural' as layer, id, 1.0::double as score, (length(content) + 3) // 4 as tokens, created_at as seen from pin64",
+        f"select 'episodic', id, round(retrieval_weight * 0.8 * {_recency('last_accessed')}, 6) + 0.0, (length(payload) + 3) // 4, last_accessed from epi64",
+        f"select 'working', turn_idx, round(0.9 * {_recency('turn_at')}, 6) + 0.0, (length(content) + 3) // 4, turn_at from tur32",
+    ]
+    if query_vector:
+        ctes["sem32"] = sem
+        parts.append(f"select 'semantic', id, round(least(greatest(1 - distance, 0), 1) * 0.7 * {_recency('created_at')}, 6) + 0.0, (length(content) + 3) // 4, created_at from sem32")
+    ctes |= {
+        "cand": " union all ".join(parts),
+        "o1": "select *, row_number() over (partition by layer order by score desc, id desc) as rn from cand",
+        "p1": f"""select layer, id, rn, tokens, tokens <= {reserve} as keep, case when tokens <= {reserve} then tokens else 0 end as used from o1 where rn = 1
+            union all select o1.layer, o1.id, o1.rn, o1.tokens, p1.used + o1.tokens <= {reserve}, case when p1.used + o1.tokens <= {reserve} then p1.used + o1.tokens else p1.used end
+            from p1 join o1 on o1.layer = p1.layer and o1.rn = p1.rn + 1""",
+        "t1": "select coalesce(sum(tokens), 0) as used from p1 where keep",
+        "o2": "select c.*, row_number() over (order by score desc, id desc, layer) as rn from cand c where not exists (select 1 from p1 where p1.layer = c.layer and p1.id = c.id and p1.keep)",
+        "p2": f"""select cast(null as varchar) as layer, cast(null as bigint) as id, 0::bigint as rn, false as keep, used from t1 where used < {max_tokens}
+            union all select o2.layer, o2.id, o2.rn, p2.used + o2.tokens <= {max_tokens}, case when p2.used + o2.tokens <= {max_tokens} then p2.used + o2.tokens else p2.used end
+            from p2 join o2 on o2.rn = p2.rn + 1""",
+        "kept": "select layer, id from p1 where keep union all select layer, id from p2 where keep",
+    }
+    sql = """select layer, row_number() over (partition by layer order by case when layer = 'procedural' then epoch_us(seen) end, case when layer = 'working' then -epoch_us(seen) end,
+            case when layer in ('semantic', 'episodic') then -score end, case when layer = 'procedural' then id else -id end)::int as pos,
+            id, score, tokens::bigint as tokens, (sum(tokens) over ())::bigint as total_tokens from cand semi join kept using (layer, id)"""
+    return sql, ctes
+
+
+def _register_context(name: str, sql_options: dict, **options) -> None:
+    sql, ctes = _context_sql(**sql_options)
+
+    def run(t: Layers) -> DataFrame:
+        own = dict(options)
+        if sql_options["query_vector"]:
+            own["query"] = t.query_vector(VEC)
+        return _context(t, **own)
+
+    run.__name__ = name
+    query(sql, recursive=True, **ctes)(run)
+
+
+_register_context("context_no_query", {"query_vector": False})
+_register_context("context_with_query", {"query_vector": True})
+_register_context("context_scope", {"query_vector": True, "scope": "personal"}, scope="personal")
+_register_context("context_tight_budget", {"query_vector": True, "max_tokens": 600}, max_tokens=600)
+_register_context("context_zero_budget", {"query_vector": True, "max_tokens": 0}, max_tokens=0)
+
+
+# ---- tiers and the cold store
+
+
+@query("select tier, count(*) as n from t group by tier", t=_tier_sql())
+def consolidate_tier_counts(t: Layers) -> DataFrame:
+    return _tiered(t).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query(f"select count(*) filter (where last_accessed <= {NOW} - interval 7 day) as promoted_to_warm, count(*) filter (where last_accessed <= {NOW} - interval 21 day) as archived_to_cold from epi")
+def consolidation_report(t: Layers) -> DataFrame:
+    return tiers.report(_tiered(t))
+
+
+_LATER = "timestamp '2024-07-15 00:00:00'"
+
+
+@query("select tier, count(*) as n from t group by tier", t=_tier_sql(28, 180, _LATER))
+def consolidate_defaults(t: Layers) -> DataFrame:
+    return _tiered(t, tiers.HOT_DAYS, tiers.WARM_DAYS, _LATER).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+def _orders(t: Layers) -> DataFrame:
+    return t.table("orders").selectExpr("o_orderkey as id", "o_totalprice as price", "cast(o_orderdate as timestamp) as created_at")
+
+
+_ORDERS = "select o_orderkey as id, o_totalprice as price, cast(o_orderdate as timestamp) as created_at from orders"
+
+
+@query("select year(created_at)::int as year, quarter(created_at)::int as quarter, printf('%04d-Q%d', year(created_at), quarter(created_at)) as name, count(*) as n from o group by all", o=_ORDERS)
+def cold_quarter_counts(t: Layers) -> DataFrame:
+    rows = tiers.with_quarter(_orders(t)).groupBy("year", "quarter").agg(F.count("*").alias("n"))
+    return rows.withColumn("name", tiers.quarter_name(F.col("year"), F.col("quarter")))
+
+
+@query("select id, price, created_at from o where year(created_at) = 1996 and quarter(created_at) = 3", o=_ORDERS)
+def cold_read_quarter(t: Layers) -> DataFrame:
+    store = cold.ColdStore(t.spark, Scratch(t.spark, "cold").path("bundles"))
+    store.archive(_orders(t))
+    return store.quarter(1996, 3).select("id", "price", "created_at")
+
+
+@query("select count(distinct (year(created_at), quarter(created_at))) as quarters from o", o=_ORDERS)
+def cold_list_quarters(t: Layers) -> DataFrame:
+    return tiers.with_quarter(_orders(t)).select("year", "quarter").distinct().agg(F.count("*").alias("quarters"))
+
+
+@query("select id, case when id % 3 = 0 then price + 1 else price end as price, created_at from o", o=_ORDERS)
+def cold_upsert(t: Layers) -> DataFrame:
+    store = cold.ColdStore(t.spark, Scratch(t.spark, "cold").path("bundles"))
+    store.archive(_orders(t).where("id % 2 = 0 or id % 3 <> 0"))
+    store.archive(_orders(t).where("id % 3 = 0").withColumn("price", F.col("price") + 1))
+    return store.read().select("id", "price", "created_at")
+
+
+# ---- diagnostics
+
+
+@query(
+    """select 'semantic' as name, count(*) as n from items union all select 'procedural', count(*) from pins union all select 'episodic_hot', count(*) from t where tier = 'hot'
+       union all select 'episodic_warm', count(*) from t where tier = 'warm' union all select 'cold_quarters', count(distinct (year(created_at), quarter(created_at))) from t where tier = 'cold'
+       union all select 'total_stored', (select count(*) from items) + (select count(*) from t where tier <> 'cold')""",
+    t=_tier_sql(),
+)
+def stats_counts(t: Layers) -> DataFrame:
+    return diagnostics.counts(t.semantic, t.pins, tiers.with_quarter(_tiered(t)), ["year", "quarter"])
+
+
+@query("select distinct scope from (select scope from pins union all select scope from t where tier <> 'cold' union all select scope from items)", t=_tier_sql())
+def list_scopes(t: Layers) -> DataFrame:
+    return diagnostics.scopes(t.pins, _tiered(t).where("tier <> 'cold'"), t.semantic)
+
+
+def _export_sql(limit: int, scope: str | None = None) -> str:
+    where = f"where scope = '{scope}'" if scope else ""
+    return f"""(select 'procedural' as layer, id, scope, content, created_at from pins {where} order by line_no limit {limit})
+        union all (select 'episodic', id, scope, payload, created_at from epi {where} {_T1} limit {limit})
+        union all (select 'semantic', id, scope, content, created_at from items {where} order by created_at desc, id limit {limit})"""
+
+
+@query("select * from x", x=_export_sql(200))
+def export_layers(t: Layers) -> DataFrame:
+    return diagnostics.export(t.pins, t.episodic, t.semantic)
+
+
+@query("select * from x", x=_export_sql(50, "personal"))
+def export_scope_limit(t: Layers) -> DataFrame:
+    return diagnostics.export(t.pins, t.episodic, t.semantic, 50, "personal")
+
+
+_LINE = "'- [' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z] ' || kind || ' (' || scope || '): ' || payload"
+
+
+@query(f"select row_number() over ({_T1}) as pos, {_LINE} as line from (select * from epi {_T1} limit 30)")
+def summarize_prompt(t: Layers) -> DataFrame:
+    prompt = diagnostics.summary_prompt(t.episodic, 30)
+    lines = prompt.select(F.posexplode(F.filter(F.split("prompt", "\n"), lambda x: x.startswith("- ["))).alias("p", "line"))
+    return lines.select((F.col("p") + 1).cast("long").alias("pos"), "line")
+
+
+# ---- sessions
+
+
+@query("select session_id, turn_idx, role, content from (select *, row_number() over (partition by session_id order by turn_idx desc) as n from turns) where n <= 4")
+def last_n_turns(t: Layers) -> DataFrame:
+    return working.last_turns(t.turns, 4).select("session_id", "turn_idx", "role", "content")
+
+
+@query("select session_id, turn_idx, role, content from turns where role in ('user', 'assistant') and length(content) > 0")
+def message_mirror(t: Layers) -> DataFrame:
+    events = t.turns.select("session_id", "turn_idx", F.concat("role", F.lit("_message")).alias("kind"), F.to_json(F.struct("content")).alias("payload"))
+    return episodic.mirrored_turns(events).select("session_id", "turn_idx", "role", "content")
+
+
+@query(
+    """select session_id, turn_idx, n as turns_saved, ceil(n / 5.0)::bigint as checkpoint, back = 1 as final from
+       (select *, row_number() over (partition by session_id order by turn_idx) as n, row_number() over (partition by session_id order by turn_idx desc) as back from turns) where n % 5 = 0 or back = 1"""
+)
+def checkpoint_turn_trigger(t: Layers) -> DataFrame:
+    return working.turn_checkpoints(t.turns)
+
+
+@query(
+    "select tick from (select unnest(generate_series(lo, hi, interval 5 minute)) as tick from b) k where not exists (select 1 from a where a.tick = k.tick)",
+    b="select time_bucket(interval 5 minute, min(created_at)) as lo, time_bucket(interval 5 minute, max(created_at)) as hi from epi",
+    a="select distinct time_bucket(interval 5 minute, created_at) as tick from epi",
+)
+def idle_ticks(t: Layers) -> DataFrame:
+    return streams.idle_ticks(t.episodic, 5)
+
+
+# ---- streams
+
+
+@query("select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n, round(sum(value), 4) as total from events where date_trunc('day', ts) < (select date_trunc('day', max(ts)) from events) group by all")
+def stream_daily_counts(t: Layers) -> DataFrame:
+    return streams.daily_counts(t.spark, t.sf_dir)
+
+
+@query(
+    """select user_id, min(ts)::timestamp as started, max(ts)::timestamp as last_event, count(*) as n from
+         (select *, sum(gap) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from
+           (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 6 hour then 0 else 1 end as gap from events))
+       group by user_id, s having max(ts) + interval 6 hour <= (select max(ts) from events)"""
+)
+def stream_sessions(t: Layers) -> DataFrame:
+    return streams.sessions(t.spark, t.sf_dir)
+
+
+@query("select distinct user_id, event_type from events")
+def stream_dedup(t: Layers) -> DataFrame:
+    return streams.first_seen(t.spark, t.sf_dir)
+
+
+@query("select conv_id as session_id, (count(*) // 5)::bigint as full_checkpoints, count(*) as turns from conversations group by conv_id")
+def stream_checkpoints(t: Layers) -> DataFrame:
+    return streams.checkpointed_sessions(t.spark, t.sf_dir)
