@@ -32,6 +32,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.substrings import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.warc import warc_round_trip
 
@@ -71,7 +77,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_format", "width", "height")
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
+QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
