@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import tempfile
+import time
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +56,31 @@ class Scratch:
         for name in names:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession, pause: float = 0.7) -> None:
+    """Let Spark delete the shuffle files of plans that are done, which it does when the driver collects its garbage."""
+    for _ in range(2):  # what the first round frees may hold the last references of more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="lamina-package-"), "lamina.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("lamina", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)
