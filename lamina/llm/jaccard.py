@@ -17,8 +17,8 @@ Only links between different sets are looked for: equal sets are one class from
 start. Within a block's bucket each class is first compared with the smallest one. What
 those links don't connect is compared pair by pair inside tasks, in tiles of bounded
 size; pairs inside one component are never tested again, none across components is
-skipped. So components are those of all links, and no task or table holds all pairs of
-a group of copies.
+skipped, and a tile gives only links that join components. So components are those of
+all links, and no table holds all pairs of a group of copies.
 
 Hashes are 64 bits: of words, of shingles and of whole sets (class ids). A collision of
 class ids stops the run.
@@ -32,22 +32,23 @@ columns are ignored by `link` and kept by `keep_one`.
 
 from __future__ import annotations
 
-import gc
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.llm import features, graph
-from lamina.session import Scratch
+from lamina.session import Scratch, release
 
-SKETCH_BITS = 2048
+#: The shortest flat sketch has two to this power bits.
+LEAST_BITS = 11
 SPARE = 0.22
-TILE = 2048
+TILE, TILE_HASHES = 2048, 2_000_000
 ROWS = "doc_id long, cls long, proof long, n long, sketch binary"
 
 
@@ -60,16 +61,99 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(features.window_hashes(h, min(k, len(h))))
 
 
-def class_of(s: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a set."""
-    m = features.mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    base = np.array([s.sum(), np.bitwise_xor.reduce(m) if len(m) else 0], np.uint64) + np.uint64(len(s))
-    one = features.mixed(base ^ features.mixed(base[::-1].copy()))
-    return tuple(one.view(np.int64).tolist())
-
-
-def flat_sketch(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+class Sets:
+    """The sorted distinct shingle hashes of some texts, one after another: those of text i are hashes[starts[i]:starts[i + 1]]."""
+
+    def __init__(self, texts: list[str | None], k: int):
+        words = [(t or "").encode().lower().split() for t in texts]
+        counts = np.array([len(w) for w in words], np.int64)
+        flat = features.word_hashes(list(itertools.chain.from_iterable(words)))
+        del words
+        first = np.r_[0, np.cumsum(counts)]
+        lengths = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
+        at = np.r_[0, np.cumsum(lengths)]
+        h = np.zeros(at[-1], np.uint64)
+        if len(flat) >= k:
+            windows, of_word = features.window_hashes(flat, k), np.repeat(np.arange(len(counts)), counts)
+            h[np.repeat(counts >= k, lengths)] = windows[of_word[: len(windows)] == of_word[k - 1 :]]
+        for i in np.flatnonzero((counts > 0) & (counts < k)):
+            h[at[i]] = features.window_hashes(flat[first[i] : first[i + 1]], int(counts[i]))[0]
+        for i in np.flatnonzero(lengths > 1):
+            h[at[i] : at[i + 1]].sort()
+        keep = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+        keep[at[:-1][lengths > 0]] = True
+        self.hashes, self.number = h[keep], np.repeat(np.arange(len(counts)), lengths)[keep]
+        self.sizes = np.bincount(self.number, minlength=len(counts))
+        self.starts = np.r_[0, np.cumsum(self.sizes)]
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.hashes[self.starts[i] : self.starts[i + 1]]
+
+    def _folded(self, ufunc: np.ufunc, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self), np.uint64)
+        some = self.sizes > 0
+        if some.any():
+            out[some] = ufunc.reduceat(values, self.starts[:-1][some])
+        return out
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of each set."""
+        size = self.sizes.astype(np.uint64)
+        one = self._folded(np.add, self.hashes) + size
+        two = self._folded(np.bitwise_xor, features.mixed(self.hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))) + size
+        return features.mixed(one ^ features.mixed(two)).view(np.int64), features.mixed(two ^ features.mixed(one)).view(np.int64)
+
+    def sketches(self) -> list[bytes]:
+        """Flat parity sketches: one bit for each hash, at least four bits for each element."""
+        out: list[bytes] = [b""] * len(self)
+        bits = sketch_bits(self.sizes)
+        for width in np.unique(bits).tolist():
+            rows = np.flatnonzero(bits == width)
+            step = max(1, (1 << 19) // width)
+            for at in range(0, len(rows), step):
+                own = rows[at : at + step]
+                place = np.zeros(len(self), np.int64)
+                place[own] = np.arange(len(own))
+                chosen = np.zeros(len(self), bool)
+                chosen[own] = True
+                mine = chosen[self.number]
+                bit = place[self.number[mine]] * width + (self.hashes[mine] & np.uint64(width - 1)).astype(np.int64)
+                packed = np.packbits(np.bincount(bit, minlength=len(own) * width).astype(np.uint8) & 1).reshape(len(own), -1)
+                for i, row in zip(own.tolist(), packed, strict=True):
+                    out[i] = row.tobytes()
+        return out
+
+
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the flat sketch of a set of n hashes: a power of two."""
+    return np.int64(1) << np.maximum(LEAST_BITS, np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64))
+
+
+def stacked(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, folded to the shortest of them (a hash's bit is its low bits, so halves XOR)."""
+    words = [np.frombuffer(x, np.uint64) for x in sketches]
+    least = min(map(len, words), default=0)
+    for i, w in enumerate(words):
+        while len(w) > least:
+            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+        words[i] = w
+    return np.stack(words) if words else np.zeros((0, 0), np.uint64)
+
+
+def in_parts(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str | None]]:
+    """Some texts at a time, about `most` characters (a longer text alone)."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t or "") > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part
 
 
 def bands(num: int, den: int, most: int) -> np.ndarray:
@@ -80,32 +164,31 @@ def bands(num: int, den: int, most: int) -> np.ndarray:
     return np.array([*starts, starts[-1] * den // num + 1], np.int64)
 
 
-def block_keys(s: np.ndarray, starts: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """Keys of the set's blocks, for the band of its size and the one below."""
-    own = int(np.searchsorted(starts, len(s), "right")) - 1
-    words = features.mixed(s)
-    out = []
+def block_keys(sets: Sets, starts: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, number of the set) of the sets' blocks, for the band of each one's size and for the one below."""
+    own = np.searchsorted(starts, sets.sizes, "right") - 1
+    words = features.mixed(sets.hashes)
+    high = sets.hashes >> np.uint64(32)
     for band in (own - 1, own):
-        if band < 0:
+        most = (starts[band + 1] - 1) * (den - num) // num  # largest symmetric difference; if 0, only equal sets are similar
+        blocks = np.where((band >= 0) & (sets.sizes > 0) & (most > 0), most + 1 + np.ceil(SPARE * (most + 1)).astype(np.int64), 0)
+        used = blocks[sets.number] > 0
+        if not used.any():
             continue
-        most = int(starts[band + 1] - 1) * (den - num) // num  # largest symmetric difference
-        if most == 0:
-            continue  # only equal sets
-        n = most + 1 + int(np.ceil(SPARE * (most + 1)))
-        block = ((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        size = np.diff(np.r_[first, len(s)])
-        value, number = np.bitwise_xor.reduceat(words, first), block[first]
+        number = sets.number[used]
+        block = (high[used] * blocks[number].astype(np.uint64)) >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (number[1:] != number[:-1])])
+        value, number, block, size = np.bitwise_xor.reduceat(words[used], first), number[first], block[first], np.diff(np.r_[first, len(block)])
         full = size >= 2
-        if n - int(full.sum()) > n - most - 1:  # too many light blocks
-            light = np.setdiff1d(np.arange(n, dtype=np.uint64), number[full])
-            held = np.zeros(n, np.uint64)
-            held[number.astype(np.int64)] = value
-            number, value = np.r_[number[full], light], np.r_[value[full], held[light.astype(np.int64)]]
-        else:
-            number, value = number[full], value[full]
-        out.append(features.mixed(value ^ features.mixed(number + np.uint64((band + 1) << 32))))
-    return out
+        light = blocks - np.bincount(number[full], minlength=len(sets))
+        unsure = (light > blocks - most - 1) & (blocks > 0)  # so many light blocks that all are emitted
+        keep = full | unsure[number]
+        key = lambda v, b, n, band=band: features.mixed(v ^ features.mixed(b + ((band[n] + 1).astype(np.uint64) << np.uint64(32))))
+        yield key(value[keep], block[keep], number[keep]), number[keep]
+        for i in np.flatnonzero(unsure):
+            empty = np.setdiff1d(np.arange(blocks[i], dtype=np.uint64), block[number == i])
+            some = np.full(len(empty), i)
+            yield key(np.zeros(len(empty), np.uint64), empty, some), some
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -117,14 +200,12 @@ def set_rows(texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, cls, proof, n, sketch = batch.column(0), [], [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), k)
-                one, two = class_of(s)
-                cls.append(one), proof.append(two), n.append(len(s)), sketch.append(flat_sketch(s))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(cls, pa.int64()), pa.array(proof, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "cls", "proof", "n", "sketch"]
-            )
+            at = 0
+            for part in in_parts(batch.column(1).to_pylist()):
+                sets = Sets(part, k)
+                columns = [batch.column(0).slice(at, len(part)), *map(pa.array, sets.classes()), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.sketches(), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cls", "proof", "n", "sketch"])
+                at += len(part)
 
     return texts.mapInArrow(run, ROWS)
 
@@ -135,22 +216,13 @@ def key_rows(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = bands(num, den, 1 << 20)
         for batch in batches:
-            keys, cls, held = [], [], 0
-            for text in batch.column(1):
-                s = shingles(text.as_py(), k)
-                if not len(s):
-                    continue
-                if len(s) >= starts[-2]:
-                    starts = bands(num, den, 2 * len(s))
-                for own in block_keys(s, starts, num, den):
-                    keys.append(own.view(np.int64))
-                    cls.append(np.full(len(own), class_of(s)[0], np.int64))
-                    held += len(own)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(cls))], names=["key", "cls"])
-                    keys, cls, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(cls))], names=["key", "cls"])
+            for part in in_parts(batch.column(1).to_pylist()):
+                sets = Sets(part, k)
+                cls = sets.classes()[0]
+                if sets.sizes.max() >= starts[-2]:
+                    starts = bands(num, den, 2 * int(sets.sizes.max()))
+                for key, number in block_keys(sets, starts, num, den):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[number])], names=["key", "cls"])
 
     return texts.mapInArrow(run, "key long, cls long")
 
@@ -193,26 +265,39 @@ def prune(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5)]
-            hamming = np.bitwise_count(words[0] ^ words[1]).sum(axis=1, dtype=np.int64)
+            sizes = [pa.compute.binary_length(batch.column(i)).to_numpy() for i in (4, 5)]
+            width = np.minimum(*sizes)
+            hamming = np.zeros(batch.num_rows, np.int64)
+            for w in np.unique(width):
+                own = np.flatnonzero(width == w)
+                for at in range(0, len(own), max(1, (1 << 23) // int(w))):
+                    some = own[at : at + max(1, (1 << 23) // int(w))]
+                    one, two = (stacked([*batch.column(i).take(pa.array(some)).to_pylist(), b"\0" * int(w)])[:-1] for i in (4, 5))
+                    hamming[some] = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
             keep = _bounded(batch.column(2).to_numpy(), batch.column(3).to_numpy(), hamming, num, den)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[keep]), pa.array(batch.column(1).to_numpy()[keep]), pa.array(hamming[keep])], names=["a", "b", "hamming"])
 
     return rows.mapInArrow(run, "a long, b long, hamming long")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs whose sets have the similarity. Sets are made again from the texts of the classes in question."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls")
+def sets_of(needed: DataFrame, classes: DataFrame, texts: DataFrame, k: int, scratch: Scratch, name: str) -> DataFrame:
+    """(cls, s) of the classes needed(cls), made again from one text of each."""
+    needed = needed.distinct().join(classes.select("cls", "rep"), "cls")
     found = texts.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), k) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "s"])
+            for part in in_parts(batch.column(1).to_pylist()):
+                sets = Sets(part, k)
+                yield pa.RecordBatch.from_arrays([pa.array(sets.classes()[0]), pa.array([sets.of(i).tobytes() for i in range(len(sets))], pa.binary())], names=["cls", "s"])
 
     sets = found.mapInArrow(make, "cls long, s binary")
-    sets = scratch.table(f"sets_{name}", sets.join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
+    return scratch.table(f"sets_{name}", sets.join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
+
+
+def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs whose sets have the similarity."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")), classes, texts, k, scratch, name)
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("s").alias(f"s_{x}"))
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
 
@@ -230,34 +315,88 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num:
     return links
 
 
-def across(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one bucket in different components that sizes and sketches allow, found in tiles; members(key, cls, root, n, sketch, place, total)."""
-    tiles = F.ceil(F.col("total") / TILE).cast("int")
-    own = F.floor(F.col("place") / TILE).cast("int")
+def tiled(members: DataFrame, *carried: str) -> DataFrame:
+    """Rows of buckets dealt to pairs of tiles (x <= y), sorted; members(key, cls, root, n, place, total, most, ...).
+
+    A tile has at most TILE rows and about TILE_HASHES hashes, so a pair of tiles fits a task.
+    """
+    rows_of = F.greatest(F.lit(16), F.least(F.lit(TILE), F.floor(F.lit(TILE_HASHES) / F.col("most")))).cast("long")
+    tiles = F.ceil(F.col("total") / rows_of).cast("int")
+    own = F.floor(F.col("place") / rows_of).cast("int")
     spread = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y")))
-    rows = members.withColumn("own", own).withColumn("tile", F.explode(spread)).select("key", "tile.x", "tile.y", "own", "cls", "root", "n", "sketch")
+    rows = members.withColumn("own", own).withColumn("tile", F.explode(spread)).select("key", "tile.x", "tile.y", "own", "cls", "root", "n", *carried)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole pairs of tiles from sorted batches."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pa.concat_batches([held, batch])
+        key = np.stack([held.column(i).to_numpy().astype(np.int64) for i in range(3)])
+        ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True) if len(ends) else ():
+            yield held.slice(i, j - i)
+        held = held.slice(ends[-1]) if len(ends) else held
+    if held is not None and held.num_rows:
+        yield held
+
+
+class _Tile:
+    """One pair of tiles: candidates of a row by root, size and sketch."""
+
+    def __init__(self, rows: pa.RecordBatch, num: int, den: int):
+        x, y = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
+        own, self.cls, self.root, self.n = (rows.column(i).to_numpy() for i in (3, 4, 5, 6))
+        self.root = self.root.copy()
+        self.words = stacked(rows.column(7).to_pylist())
+        self.left, self.right, self.same = np.flatnonzero(own == x), np.flatnonzero(own == y), x == y
+        self.num, self.den = num, den
+
+    def fitting(self, i: int) -> np.ndarray:
+        """Rows of other components that may be similar to row i, nearest first."""
+        j = self.right[self.right > i] if self.same else self.right
+        j = j[(self.root[j] != self.root[i]) & (np.minimum(self.n[j], self.n[i]) * self.den >= np.maximum(self.n[j], self.n[i]) * self.num)]
+        hamming = np.bitwise_count(self.words[j] ^ self.words[i]).sum(axis=1, dtype=np.int64)
+        fit = _bounded(self.n[j], self.n[i], hamming, self.num, self.den)
+        return j[fit][np.argsort(hamming[fit], kind="stable")]
+
+
+def open_classes(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """Classes that may be similar to one of another component."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
-        n, root, cls, own = (pdf[c].to_numpy() for c in ("n", "root", "cls", "own"))
-        left, right = np.flatnonzero(own == pdf["x"].iloc[0]), np.flatnonzero(own == pdf["y"].iloc[0])
-        a, b, h = [], [], []
-        for i in left:
-            j = right[(root[right] != root[i]) & ((right > i) if pdf["x"].iloc[0] == pdf["y"].iloc[0] else True)]
-            j = j[(np.minimum(n[j], n[i]) * den >= np.maximum(n[j], n[i]) * num)]
-            hamming = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
-            fit = _bounded(n[j], n[i], hamming, num, den)
-            a.append(np.minimum(cls[j[fit]], cls[i])), b.append(np.maximum(cls[j[fit]], cls[i])), h.append(hamming[fit])
-        join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": join(a), "b": join(b), "hamming": join(h)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _tiles(batches):
+            tile, hit = _Tile(rows, num, den), np.zeros(rows.num_rows, bool)
+            for i in tile.left:
+                j = tile.fitting(i)
+                hit[j] = True
+                hit[i] |= len(j) > 0
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(tile.cls[hit])], names=["cls"])
 
-    return rows.groupBy("key", "x", "y").applyInPandas(run, "a long, b long, hamming long")
+    return tiles.mapInArrow(run, "cls long").distinct()
 
 
-def _release(scratch: Scratch) -> None:
-    """Let Spark delete the shuffle files of plans that are done."""
-    gc.collect()
-    scratch.spark._jvm.System.gc()
+def links_across(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """Verified links that join all components of each pair of tiles that have one: at most a link per row, not a row per pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _tiles(batches):
+            tile, found = _Tile(rows, num, den), []
+            sets = [np.frombuffer(s, np.uint64) for s in rows.column(8).to_pylist()]
+            for i in tile.left:
+                for j in tile.fitting(i):
+                    if tile.root[j] != tile.root[i]:
+                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                            found.append((tile.cls[i], tile.cls[j]))
+                            tile.root[tile.root == tile.root[j]] = tile.root[i]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(found, np.int64).T.copy()], names=["a", "b"])
+
+    return tiles.mapInArrow(run, "a long, b long")
 
 
 def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -268,7 +407,7 @@ def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scra
     sure = F.when(F.col("p") == F.col("q"), F.col("cls")).otherwise(F.raise_error(F.lit("two sets share a class id")).cast("long"))
     classes = scratch.table("classes", classes.select(sure.alias("cls"), "rep", "n", "sketch"))
     stars = scratch.table("stars", buckets(key_rows(texts, k, num, den)))
-    _release(scratch)
+    release(scratch.spark)
 
     pairs = stars.select(F.col("lead").alias("a"), F.col("other").alias("b")).distinct()
     tried = scratch.table("tried", prune(pairs, classes, num, den))
@@ -278,7 +417,7 @@ def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scra
     first = scratch.table("first", nearest)
     links = check(first, "first")
     roots = scratch.table("roots_first", graph.components(links, scratch, "c_first"))
-    _release(scratch)
+    release(scratch.spark)
 
     def apart(some: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs that no path connects yet."""
@@ -290,22 +429,28 @@ def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scra
     if not rest.isEmpty():
         links = scratch.table("links_two", links.unionByName(check(rest, "rest")))
         roots = scratch.table("roots_two", graph.components(links, scratch, "c_two"))
-        _release(scratch)
+        release(scratch.spark)
 
     # buckets whose classes are still in several components, beyond those of two classes
     side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}"))
     placed = stars.join(side("other"), "other", "left").join(side("lead"), "lead", "left")
     placed = placed.select("key", "lead", "other", F.coalesce("r_lead", "lead").alias("r_lead"), F.coalesce("r_other", "other").alias("r_other"))
     open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("r_other").alias("low"), F.max("r_other").alias("high")).where("n > 1 and low <> high")
-    open_rows = scratch.table("open", placed.join(open_keys.select("key", F.col("n").alias("total")), "key").select("key", F.col("other").alias("cls"), F.col("r_other").alias("root"), F.col("total").cast("long").alias("total")))
+    open_rows = placed.join(open_keys.select("key"), "key").select("key", F.col("other").alias("cls"), F.col("r_other").alias("root"))
+    open_rows = scratch.table("open", open_rows.join(classes.select("cls", "n"), "cls"))
     if not open_rows.isEmpty():
-        members = open_rows.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("root", "cls")) - 1).join(classes.select("cls", "n", "sketch"), "cls")
-        more = across(members, num, den).groupBy("a", "b").agg(F.min("hamming").alias("hamming"))
-        more = scratch.table("more", more.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"))
-        if not more.isEmpty():
-            links = scratch.table("links_three", links.unionByName(check(more, "more")))
+        # buckets of the same classes are searched once
+        alike = open_rows.groupBy("key").agg(F.count("*").alias("total"), F.max("n").alias("most"), *(F.sum(F.xxhash64("cls", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (0, 1)))
+        alike = alike.groupBy("total", "most", "h0", "h1").agg(F.min("key").alias("key")).select("key", "total", "most")
+        place = F.row_number().over(W.partitionBy("key").orderBy("root", "cls")) - 1
+        members = scratch.table("members", open_rows.join(alike, "key").withColumn("place", place))
+        sketched = members.join(classes.select("cls", "sketch"), "cls")
+        near = scratch.table("near", open_classes(tiled(sketched, "sketch"), num, den))
+        if not near.isEmpty():
+            full = sketched.join(sets_of(near, classes, texts, k, scratch, "near"), "cls")
+            links = scratch.table("links_three", links.unionByName(links_across(tiled(full, "sketch", "s"), num, den)))
             roots = scratch.table("roots_three", graph.components(links, scratch, "c_three"))
-    _release(scratch)
+    release(scratch.spark)
     return rows.select("doc_id", "cls", "n"), roots
 
 
