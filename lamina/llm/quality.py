@@ -95,15 +95,15 @@ def scores(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
             texts = [t if isinstance(t, str) else "" for t in batch]
             yield pd.Series(linear.sigmoid(np.array([linear.logit(t, features.analyse(t), own) for t in texts], float)), dtype=float)
 
-    return docs.select(*keep, score(F.col("text").cast("string")).alias("_score"))
+    return docs.select(*keep, score(F.col("text").cast("string")).alias("_q_score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """doc_id, held_out, score and predicted for every row."""
     found = scores(docs, train(docs, labels, **options), "doc_id")
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_q_score").alias("score"), (F.col("_q_score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns."""
-    return scores(docs, train(docs, labels, **options), *docs.columns).where(F.col("_score") >= threshold).select(*docs.columns)
+    return scores(docs, train(docs, labels, **options), *docs.columns).where(F.col("_q_score") >= threshold).select(*docs.columns)
