@@ -52,8 +52,8 @@ def _weight(level: str, weights: dict) -> Column:
 def allocate(leaves: DataFrame, levels: list[str], budget: Column, weights: dict) -> DataFrame:
     """Budget of each leaf row (`_m_<level>` columns, `_m_supply`, `_m_total`), level by level from the root.
 
-    Children sorted by supply / weight fill up in that order: a child is capped when its
-    supply is below its proportional share of what its predecessors left.
+    Children sorted by supply / weight fill up in that order; the level they fill to is the
+    largest rate (budget left / weight left) met on the way.
     """
     at = leaves.withColumn("_m_budget", budget)
     parents: list[str] = []
@@ -64,12 +64,9 @@ def allocate(leaves: DataFrame, levels: list[str], budget: Column, weights: dict
         before = order.rowsBetween(W.unboundedPreceding, -1)
         rest = order.rowsBetween(0, W.unboundedFollowing)
         share = (F.col("_m_give") - F.coalesce(F.sum("_m_cap").over(before), F.lit(0))) * F.col("_m_w") / F.sum("_m_w").over(rest)
-        children = children.withColumns({"_m_share": share, "_m_level": F.col("_m_cap") / F.col("_m_w")})
-        # the first child whose supply covers its share fixes the rate for itself and all after it
-        rate = F.min(F.when(F.col("_m_cap") >= F.col("_m_share"), F.struct(F.col("_m_level").alias("l"), (F.col("_m_share") / F.col("_m_w")).alias("r")))).over(W.partitionBy(*parents) if parents else W.partitionBy(F.lit(0)))
-        children = children.withColumn("_m_rate", rate).withColumn(
-            "_m_next", F.least(F.col("_m_cap").cast("double"), F.coalesce(F.col("_m_rate.r") * F.col("_m_w"), F.col("_m_cap").cast("double")))
-        )
+        # the rate rises over the children that are capped and falls after them, so the level is its largest value
+        rate = F.max(share / F.col("_m_w")).over(W.partitionBy(*parents) if parents else W.partitionBy(F.lit(0)))
+        children = children.withColumn("_m_next", F.least(F.col("_m_cap").cast("double"), rate * F.col("_m_w")))
         children = children.select(*(F.col(c).alias(f"{c}_k") for c in node), "_m_next")
         same = [F.col(c).eqNullSafe(F.col(f"{c}_k")) for c in node]
         at = at.join(children, same, "left").withColumn("_m_budget", F.col("_m_next")).drop("_m_next", *(f"{c}_k" for c in node))

@@ -99,19 +99,19 @@ ORACLES = {
         l1 as (select domain, sum(cap) as cap, 1.0::double as w, (select sum(tokens) * 0.5 from leaf) as give from leaf group by all),
         s1 as (select *, (give - coalesce(sum(cap) over (order by cap / w, domain rows between unbounded preceding and 1 preceding), 0))
                       / sum(w) over (order by cap / w, domain rows between current row and unbounded following) as rate from l1),
-        a1 as (select domain, least(cap, coalesce((select min_by(rate, cap / w) from s1 where cap >= rate * w) * w, cap)) as give from s1),
+        a1 as (select domain, least(cap, (select max(rate) from s1) * w) as give from s1),
         l2 as (select f.domain, f.lang, sum(f.cap) as cap, (case f.lang when 'en' then 4 when 'de' then 2 when 'fr' then 2 when 'es' then 2 else 1 end)::double as w,
                       any_value(a1.give) as give from leaf f join a1 on f.domain = a1.domain group by f.domain, f.lang),
         s2 as (select *, (give - coalesce(sum(cap) over (partition by domain order by cap / w, lang rows between unbounded preceding and 1 preceding), 0))
                       / sum(w) over (partition by domain order by cap / w, lang rows between current row and unbounded following) as rate from l2),
-        r2 as (select domain, min_by(rate, cap / w) as rate from s2 where cap >= rate * w group by domain),
-        a2 as (select s2.domain, s2.lang, least(s2.cap, coalesce(r2.rate * s2.w, s2.cap)) as give from s2 left join r2 on s2.domain = r2.domain),
+        r2 as (select domain, max(rate) as rate from s2 group by domain),
+        a2 as (select s2.domain, s2.lang, least(s2.cap, r2.rate * s2.w) as give from s2 left join r2 on s2.domain = r2.domain),
         l3 as (select f.domain, f.lang, f.source, f.tokens, f.cap, 1.0::double as w, a2.give from leaf f join a2 on f.domain = a2.domain and f.lang = a2.lang),
         s3 as (select *, (give - coalesce(sum(cap) over (partition by domain, lang order by cap / w, source rows between unbounded preceding and 1 preceding), 0))
                       / sum(w) over (partition by domain, lang order by cap / w, source rows between current row and unbounded following) as rate from l3),
-        r3 as (select domain, lang, min_by(rate, cap / w) as rate from s3 where cap >= rate * w group by domain, lang),
+        r3 as (select domain, lang, max(rate) as rate from s3 group by domain, lang),
         a3 as (select s3.domain, s3.lang, s3.source, s3.tokens,
-                      floor(round(least(s3.cap, coalesce(r3.rate * s3.w, s3.cap)), 3)) as budget
+                      floor(round(least(s3.cap, r3.rate * s3.w), 3)) as budget
                from s3 left join r3 on s3.domain = r3.domain and s3.lang = r3.lang),
         e as (select t.*, x.epoch, x.epoch < floor(a3.budget / a3.tokens) as whole, a3.budget - x.epoch * a3.tokens as quota
               from t join a3 using (domain, lang, source) join (select unnest([0, 1, 2, 3]) as epoch) x on x.epoch * a3.tokens < a3.budget),
