@@ -29,7 +29,6 @@ an empty result; other input columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -39,7 +38,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.session import Scratch
+from lamina.session import Scratch, release
 
 LENGTH, NAME = 50, 20
 WINDOW = LENGTH - NAME + 1
@@ -286,8 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     owners = scratch.table("owners", rows.groupBy("digest").agg(F.min("doc").alias("doc"), F.max("n_bytes").alias("n_bytes")))
 
     shared = scratch.table("shared", shared_names(name_rows(texts.select("digest", "text"))))
-    gc.collect()
-    spark._jvm.System.gc()  # the shuffle of names can go
+    release(spark)  # the shuffle of names
     # at most (rows of shared) / hot names
     very = shared.groupBy("name").count().where(F.col("count") > hot).select("name")
     very = scratch.table("very", very)
@@ -304,8 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if any_hot:
         marks = marks.unionByName(hot_windows(gathered(shared.join(very, "name", "left_semi"))))
     marks = scratch.table("marks", marks)
-    gc.collect()
-    spark._jvm.System.gc()
+    release(spark)
     lists = marks.groupBy("digest").agg(F.collect_list(F.struct("start", "mask")).alias("marks")).join(owners.select("digest", "doc"), "digest")
     cut = apply_masks(texts.select("doc", "digest", "text").join(lists, ["doc", "digest"]))
     cut = scratch.table("cut", cut.drop("kept").dropDuplicates(["digest"]))
