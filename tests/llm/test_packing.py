@@ -72,7 +72,7 @@ def test_fullest_finds_the_best_sum(seed):
 
 def test_plan_uses_every_piece_once():
     rng = random.Random(3)
-    histogram = {rng.randint(1, 2048): rng.randint(1, 400) for _ in range(300)} | {2048: 17}
+    histogram = {rng.randint(1, 700): rng.randint(1, 400) for _ in range(300)} | {2048: 17}
     plan = packing.plan_bins(histogram)
     used = {}
     for times, chosen in plan:
@@ -80,4 +80,4 @@ def test_plan_uses_every_piece_once():
         for x, n in chosen.items():
             used[x] = used.get(x, 0) + n * times
     assert used == histogram
-    assert sum(t for t, _ in plan) <= -(-sum(x * n for x, n in histogram.items()) // 2048) * 1.02 + 1
+    assert sum(t for t, _ in plan) <= -(-sum(x * n for x, n in histogram.items()) // 2048) * 1.01 + 1
