@@ -12,8 +12,8 @@ from lamina.session import Scratch
 class ColdStore:
     """Rows with `id` and `created_at` under year=/quarter= folders, zstd, each file in (created_at, id) order."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, file_rows: int = 5_000_000):
+        self.spark, self.path, self.file_rows = spark, path, file_rows
 
     def _there(self) -> bool:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -34,7 +34,13 @@ class ColdStore:
             # the folders being replaced are also being read: go through a table of its own first
             scratch = Scratch(self.spark, "upsert")
             new = scratch.table("rows", new)
-        ordered = new.repartition("year", "quarter").sortWithinPartitions("year", "quarter", "created_at", "id")
+        sizes = {(r["year"], r["quarter"]): r["count"] for r in new.groupBy("year", "quarter").count().collect()}  # four a year
+        files = F.lit(1)
+        for (y, q), n in sizes.items():
+            if n > self.file_rows:
+                files = F.when((F.col("year") == y) & (F.col("quarter") == q), -(-n // self.file_rows)).otherwise(files)
+        salted = new.withColumn("_file", F.pmod(F.xxhash64("id"), files))  # a large quarter is written by many tasks
+        ordered = salted.repartition("year", "quarter", "_file").sortWithinPartitions("year", "quarter", "_file", "created_at", "id").drop("_file")
         writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
         writer.partitionBy("year", "quarter").parquet(self.path)
 
