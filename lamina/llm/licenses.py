@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WHOLE, WHOLE_KEY = -1, 4_142_433_123_457_001
 #: Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Sentences that public licenses and their notices are known by.
@@ -55,8 +56,12 @@ def template_grams(spark, phrases=PHRASES, templates=TEMPLATES, k: int = 3) -> D
             raise ValueError(f"a template may have {62 + size - 1} words: {text[:40]}")
         for at in range(len(words) - size + 1):
             rows.append((number, label, number < len(phrases), size, len(words), len(words) - size + 1, at, " ".join(words[at : at + size])))
+    # meets the first word of each text and so carries its number of words
+    rows.append((WHOLE, None, False, 0, 0, 1, 0, ""))
     schema = "template int, label string, base boolean, k int, t_words int, t_grams int, t_at int, t_gram string"
-    return spark.createDataFrame(rows, schema).withColumn("gram_hash", F.xxhash64("t_gram"))
+    words = F.split("t_gram", " ")
+    key = F.when(F.col("k") == 0, WHOLE_KEY).when(F.col("k") == 2, F.xxhash64(F.get(words, F.lit(0)), F.get(words, F.lit(1))))
+    return spark.createDataFrame(rows, schema).withColumn("gram_hash", key.otherwise(F.xxhash64(*(F.get(words, F.lit(i)) for i in range(3)))))
 
 
 def _lowered(text: Column) -> Column:
@@ -65,15 +70,21 @@ def _lowered(text: Column) -> Column:
 
 
 def gram_hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """Hits of all rolling k-grams of all texts, one row per document position and template position."""
+    """Hits of all rolling k-grams of all texts, one row per document position and template position; docs(_id, _key, _text).
+
+    Grams are joined by the hash of their words; only on a hit the words are put together and compared.
+    """
     words = F.regexp_extract_all(_lowered(F.col("_text")), F.lit(WORD), F.lit(0))
     rows = docs.select("_id", "_key", words.alias("words")).select("_id", "_key", "words", F.posexplode("words").alias("at", "word"))
     following = lambda n: F.get(F.col("words"), F.col("at") + n)
-    two = F.concat(F.col("word"), F.lit(" "), following(1))  # null at the end of a text
-    three = F.concat(two, F.lit(" "), following(2))
+    rows = rows.select("_id", "_key", "at", "word", following(1).alias("w1"), following(2).alias("w2"), F.size("words").cast("long").alias("n_words"))
+    keys = F.array(F.xxhash64("word", "w1"), F.xxhash64("word", "w1", "w2"))
+    first = F.array(F.lit(WHOLE_KEY), F.xxhash64("word", "w1"), F.xxhash64("word", "w1", "w2"))
+    rows = rows.select("*", F.explode(F.when(F.col("at") == 0, first).otherwise(keys)).alias("gram"))
     small = F.broadcast(grams)  # bounded by the templates, which are parameters
-    grown = rows.select("_id", "_key", "at", F.explode(F.array(two, three)).alias("gram")).where("gram is not null")
-    return grown.join(small, (F.xxhash64("gram") == F.col("gram_hash")) & (F.col("gram") == F.col("t_gram"))).drop("gram", "gram_hash", "t_gram")
+    two = F.concat(F.col("word"), F.lit(" "), F.col("w1"))
+    same = F.when(F.col("k") == 0, True).when(F.col("k") == 2, F.col("t_gram") == two).otherwise(F.col("t_gram") == F.concat(two, F.lit(" "), F.col("w2")))
+    return rows.join(small, (F.col("gram") == F.col("gram_hash")) & same).drop("gram", "gram_hash", "t_gram", "word", "w1", "w2")
 
 
 def scan(
@@ -88,16 +99,17 @@ def scan(
     hits = gram_hits(texts, template_grams(docs.sparkSession, phrases, templates, k))
     own = ["_id", "_key", "template"]
     diagonals = hits.groupBy(*own, "label", "base", "k", "t_words", "t_grams", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, t_at)")).alias("votes"), F.min("at").alias("low"), F.max("at").alias("high")
+        F.bit_or(F.expr("shiftleft(1L, t_at)")).alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("n_words").alias("n_words")
     )
     along = W.partitionBy(*own).orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > slack).cast("int"), F.lit(0))
     groups = diagonals.withColumn("apart", F.when(F.col("base"), 1).otherwise(apart)).withColumn("part", F.sum("apart").over(along))
     spans = groups.groupBy(*own, "label", "base", "k", "t_words", "t_grams", "part").agg(
-        F.bit_count(F.bit_or("votes")).alias("n"), F.min("low").alias("low"), (F.max("high") + F.first("k")).alias("high")
+        F.bit_count(F.bit_or("votes")).alias("n"), F.min("low").alias("low"), (F.max("high") + F.first("k")).alias("high"), F.max("n_words").alias("n_words")
     )
     spans = spans.withColumn("cover", F.col("n") / F.col("t_grams"))
-    good = F.when(F.col("base"), F.col("n") == F.col("t_grams")).otherwise(
+    whole = F.col("template") == WHOLE
+    good = F.when(whole, True).when(F.col("base"), F.col("n") == F.col("t_grams")).otherwise(
         (F.col("cover") >= coverage) & (F.col("high") - F.col("low") <= F.col("t_words") * stretch)
     )
     found = spans.where(good).groupBy("_id", "_key").agg(
@@ -106,14 +118,15 @@ def scan(
         F.max(F.when(F.col("base"), F.col("low"))).cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
-        F.max("cover").alias("score"),
-        F.sort_array(F.collect_list(F.when(~F.col("base"), F.struct("low", "high", "label", "cover")))).alias("spans"),
+        F.max(F.when(~whole, F.col("cover"))).alias("score"),
+        F.max("n_words").alias("n_words"),
+        F.sort_array(F.collect_list(F.when(~F.col("base") & ~whole, F.struct("low", "high", "label", "cover")))).alias("spans"),
     )
-    every = texts.select("_id", "_key", F.regexp_count(_lowered(F.col("_text")), F.lit(WORD)).cast("long").alias("n_words"))
+    every = texts.select("_id", "_key")
     found = found.withColumnsRenamed({"_id": "_found_id", "_key": "_found_key"})
     rows = every.join(found, F.col("_id").eqNullSafe(F.col("_found_id")) & (F.col("_key") == F.col("_found_key")), "left")
     return rows.select(
-        F.col("_id").alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+        F.col("_id").alias("doc_id"), F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"), "spans",
     )
