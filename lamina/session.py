@@ -8,6 +8,8 @@ import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,7 +60,19 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession, pause: float = 0.7) -> None:
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for what runs inside: wide rows need small batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release(spark: SparkSession, pause: float = 0.4) -> None:
     """Let Spark delete the shuffle files of plans that are done, which it does when the driver collects its garbage."""
     for _ in range(2):  # what the first round frees may hold the last references of more
         gc.collect()
