@@ -5,9 +5,10 @@ blocks of a sketch by their high bits, and each block is the XOR of its hashes'
 Each difference between two sets touches one block only, so of sets whose symmetric
 difference is at most d, in a sketch of more than d blocks some block is untouched and
 equal. Sizes are cut into bands; a pair meets in the band of its smaller set, whose
-largest possible d fixes the number of blocks. Blocks of one element or none say little;
-a set emits them only if it has so many that an untouched full block isn't certain
-(each band has spare blocks for this), which keeps the join exact.
+largest possible d fixes the number of blocks. Blocks of one element or none say little.
+Each band has spare blocks: if a set has no more small blocks than that, some untouched
+block is not small, and it emits the larger ones only (at two elements, else at one, else
+all). A pair is found at the level of the surer of its sets, whose blocks both emit.
 
 Equal blocks propose candidates. A second, flat parity sketch (one bit for each hash)
 bounds the symmetric difference from below by its Hamming distance and removes most of
@@ -43,11 +44,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.llm import features, graph
-from lamina.session import Scratch, release
+from lamina.session import Scratch, arrow_rows, release
 
 #: The shortest flat sketch has two to this power bits.
-LEAST_BITS = 11
-SPARE = 0.22
+LEAST_BITS = 9
+SPARE = 0.2
 TILE, TILE_HASHES = 2048, 2_000_000
 ROWS = "doc_id long, cls long, proof long, n long, sketch binary"
 
@@ -107,7 +108,7 @@ class Sets:
         return features.mixed(one ^ features.mixed(two)).view(np.int64), features.mixed(two ^ features.mixed(one)).view(np.int64)
 
     def sketches(self) -> list[bytes]:
-        """Flat parity sketches: one bit for each hash, at least four bits for each element."""
+        """Flat parity sketches: one bit for each hash, at least as many bits as elements."""
         out: list[bytes] = [b""] * len(self)
         bits = sketch_bits(self.sizes)
         for width in np.unique(bits).tolist():
@@ -129,7 +130,7 @@ class Sets:
 
 def sketch_bits(n: np.ndarray) -> np.ndarray:
     """Bits of the flat sketch of a set of n hashes: a power of two."""
-    return np.int64(1) << np.maximum(LEAST_BITS, np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64))
+    return np.int64(1) << np.maximum(LEAST_BITS, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
 
 
 def stacked(sketches: list[bytes]) -> np.ndarray:
@@ -179,13 +180,14 @@ def block_keys(sets: Sets, starts: np.ndarray, num: int, den: int) -> Iterator[t
         block = (high[used] * blocks[number].astype(np.uint64)) >> np.uint64(32)
         first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (number[1:] != number[:-1])])
         value, number, block, size = np.bitwise_xor.reduceat(words[used], first), number[first], block[first], np.diff(np.r_[first, len(block)])
-        full = size >= 2
-        light = blocks - np.bincount(number[full], minlength=len(sets))
-        unsure = (light > blocks - most - 1) & (blocks > 0)  # so many light blocks that all are emitted
-        keep = full | unsure[number]
+        # a set leaves out blocks of one element, or none, if an untouched fuller block is certain without them
+        lacking = [blocks - np.bincount(number[size >= c], minlength=len(sets)) for c in (1, 2)]
+        spare = blocks - most - 1
+        level = np.where(lacking[1] <= spare, 2, np.where(lacking[0] <= spare, 1, 0))
+        keep = size >= level[number]
         key = lambda v, b, n, band=band: features.mixed(v ^ features.mixed(b + ((band[n] + 1).astype(np.uint64) << np.uint64(32))))
         yield key(value[keep], block[keep], number[keep]), number[keep]
-        for i in np.flatnonzero(unsure):
+        for i in np.flatnonzero((level == 0) & (blocks > 0)):
             empty = np.setdiff1d(np.arange(blocks[i], dtype=np.uint64), block[number == i])
             some = np.full(len(empty), i)
             yield key(np.zeros(len(empty), np.uint64), empty, some), some
@@ -210,18 +212,21 @@ def set_rows(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, ROWS)
 
 
-def key_rows(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(key, cls) of every block of every row."""
+def key_rows(texts: DataFrame, k: int, num: int, den: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """(key, cls) of every block of every row, or those of one part of the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = bands(num, den, 1 << 20)
         for batch in batches:
-            for part in in_parts(batch.column(1).to_pylist()):
-                sets = Sets(part, k)
+            for some in in_parts(batch.column(1).to_pylist()):
+                sets = Sets(some, k)
                 cls = sets.classes()[0]
                 if sets.sizes.max() >= starts[-2]:
                     starts = bands(num, den, 2 * int(sets.sizes.max()))
                 for key, number in block_keys(sets, starts, num, den):
+                    if parts > 1:
+                        mine = key % np.uint64(parts) == np.uint64(part)
+                        key, number = key[mine], number[mine]
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[number])], names=["key", "cls"])
 
     return texts.mapInArrow(run, "key long, cls long")
@@ -363,6 +368,17 @@ class _Tile:
         return j[fit][np.argsort(hamming[fit], kind="stable")]
 
 
+def unlike(rows: DataFrame) -> DataFrame:
+    """Buckets (key, cls, root, n) of several components, those of the same classes once, with place, total and largest n."""
+    alike = rows.groupBy("key").agg(
+        F.count("*").alias("total"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"),
+        *(F.sum(F.xxhash64("cls", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (0, 1)),
+    )
+    alike = alike.where("total > 1 and low <> high").groupBy("total", "most", "h0", "h1").agg(F.min("key").alias("key"))
+    place = F.row_number().over(W.partitionBy("key").orderBy("root", "cls")) - 1
+    return rows.join(alike.select("key", "total", "most"), "key").withColumn("place", place)
+
+
 def open_classes(tiles: DataFrame, num: int, den: int) -> DataFrame:
     """Classes that may be similar to one of another component."""
 
@@ -406,8 +422,13 @@ def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scra
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("proof").alias("p"), F.max("proof").alias("q"))
     sure = F.when(F.col("p") == F.col("q"), F.col("cls")).otherwise(F.raise_error(F.lit("two sets share a class id")).cast("long"))
     classes = scratch.table("classes", classes.select(sure.alias("cls"), "rep", "n", "sketch"))
-    stars = scratch.table("stars", buckets(key_rows(texts, k, num, den)))
-    release(scratch.spark)
+    # a set has about 2 * (den - num) / num keys per hash; their shuffles follow one another to bound the disk
+    parts = max(1, -(-8 * (den - num) // num))
+    stars = None
+    for part in range(parts):
+        own = scratch.table(f"stars_{part}", buckets(key_rows(texts, k, num, den, part, parts)))
+        stars = own if stars is None else stars.unionByName(own)
+        release(scratch.spark)
 
     pairs = stars.select(F.col("lead").alias("a"), F.col("other").alias("b")).distinct()
     tried = scratch.table("tried", prune(pairs, classes, num, den))
@@ -432,22 +453,19 @@ def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scra
         release(scratch.spark)
 
     # buckets whose classes are still in several components, beyond those of two classes
-    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}"))
-    placed = stars.join(side("other"), "other", "left").join(side("lead"), "lead", "left")
-    placed = placed.select("key", "lead", "other", F.coalesce("r_lead", "lead").alias("r_lead"), F.coalesce("r_other", "other").alias("r_other"))
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("r_other").alias("low"), F.max("r_other").alias("high")).where("n > 1 and low <> high")
-    open_rows = placed.join(open_keys.select("key"), "key").select("key", F.col("other").alias("cls"), F.col("r_other").alias("root"))
-    open_rows = scratch.table("open", open_rows.join(classes.select("cls", "n"), "cls"))
-    if not open_rows.isEmpty():
-        # buckets of the same classes are searched once
-        alike = open_rows.groupBy("key").agg(F.count("*").alias("total"), F.max("n").alias("most"), *(F.sum(F.xxhash64("cls", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (0, 1)))
-        alike = alike.groupBy("total", "most", "h0", "h1").agg(F.min("key").alias("key")).select("key", "total", "most")
-        place = F.row_number().over(W.partitionBy("key").orderBy("root", "cls")) - 1
-        members = scratch.table("members", open_rows.join(alike, "key").withColumn("place", place))
+    placed = stars.select("key", F.col("other").alias("cls")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    placed = placed.select("key", "cls", F.coalesce("root", "cls").alias("root")).join(classes.select("cls", "n"), "cls")
+    members = scratch.table("members", unlike(placed))
+    if not members.isEmpty():
         sketched = members.join(classes.select("cls", "sketch"), "cls")
         near = scratch.table("near", open_classes(tiled(sketched, "sketch"), num, den))
+        release(scratch.spark)
         if not near.isEmpty():
-            full = sketched.join(sets_of(near, classes, texts, k, scratch, "near"), "cls")
+            # few classes are left, and most buckets now hold the same ones
+            closer = members.join(near, "cls", "left_semi").select("key", "cls", "root", "n")
+            closer = scratch.table("closer", unlike(closer))
+            full = closer.join(classes.select("cls", "sketch"), "cls").join(sets_of(near, classes, texts, k, scratch, "near"), "cls")
+            release(scratch.spark)
             links = scratch.table("links_three", links.unionByName(links_across(tiled(full, "sketch", "s"), num, den)))
             roots = scratch.table("roots_three", graph.components(links, scratch, "c_three"))
     release(scratch.spark)
@@ -457,7 +475,8 @@ def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scra
 def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and class size of every row; linked where den * intersection >= num * union."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows, roots = classes_and_roots(docs, k, num, den, scratch, id_col, text_col)
+    with arrow_rows(docs.sparkSession, 1000):
+        rows, roots = classes_and_roots(docs, k, num, den, scratch, id_col, text_col)
     sized = rows.groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     named = sized.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
