@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +30,28 @@ def sample(docs: DataFrame, keys: DataFrame, most: int) -> DataFrame:
 
 
 def vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and ids of rows(doc_id, text, label): computed in tasks, then one fixed-size vector per sampled row on the driver."""
+    """Features (with a last column of ones), labels and ids of rows(doc_id, text, label): made in tasks, then a fixed-size vector per sampled row on the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            packed = [features.vector(t if isinstance(t, str) else "").tobytes() for t in batch["text"]]
+            packed = [features.vector(t if isinstance(t, str) else "").astype(np.float16).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "x": packed})
 
-    table = rows.select("doc_id", "label", "text").mapInPandas(run, "doc_id long, label double, x binary").toPandas()
-    table = table.sort_values(["doc_id", "label", "x"], kind="stable")
-    x = np.frombuffer(b"".join(table["x"]), np.float32).reshape(len(table), -1) if len(table) else np.zeros((0, features.SIZE + len(features.STATS)), np.float32)
-    scale = np.ones(x.shape[1], np.float32)
-    scale[: features.SIZE] = SCALE
-    return np.hstack([x * scale, np.ones((len(x), 1), np.float32)]), table["label"].to_numpy(float), table["doc_id"].to_numpy()
+    table = rows.select("doc_id", "label", "text").mapInPandas(run, "doc_id long, label double, x binary").toArrow()
+    ids, labels = (table.column(c).to_numpy() for c in ("doc_id", "label"))
+    order = np.lexsort((labels, ids))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    width, at = features.SIZE + len(features.STATS), 0
+    x = np.ones((len(ids), width + 1), np.float32)
+    for row in table.column("x"):  # filled in place: this is the largest thing the driver holds
+        x[place[at], :width] = np.frombuffer(row.as_buffer(), np.float16)
+        at += 1
+    ids, labels = ids[order], labels[order]
+    row = table = None
+    pa.default_memory_pool().release_unused()
+    x[:, : features.SIZE] *= SCALE
+    return x, labels, ids
 
 
 def fit(x: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], rounds: int = 80, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
