@@ -20,7 +20,7 @@ STATS = ("log_words", "word_length", "symbol_share", "upper_share", "digit_share
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words of a task; emptied when large."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
