@@ -5,10 +5,14 @@ card, phone) whose checks decide alone, and loose kinds (written-out addresses,
 numbers, long tokens). Each candidate is a small vector of format and context features.
 All candidates of all texts are counted by vector; the table of counts is bounded by
 the number of vectors (not by the corpus), and boosted trees with logistic loss are
-fitted to it on the driver. Strict spans and assignments of secrets are its labels.
-Scores are calibrated on the fold the trees have not seen, and each loose kind gets
-the lowest threshold whose calibrated precision there is high enough. The trees are
-then SQL expressions: candidates, features and scores never leave the JVM.
+fitted to it on the driver. Its labels are weak: strict spans, bracketed separators or a
+contact word for addresses, a contact or card word for numbers, assignments for secrets.
+Loose candidates that overlap a strict span are settled by it and not counted. Every tree
+parts the loose kinds first, so that a rare kind is learned beside frequent ones. Scores
+are calibrated on the fold the trees have not seen (a kind whose positives all lie in one
+fold is learned and judged on both), and each loose kind gets the lowest threshold whose
+calibrated precision there is high enough. The trees are then SQL expressions:
+candidates, features and scores never leave the JVM.
 
 Defined results: a null text is empty and has no spans; a null id takes part like any
 other; repeated rows give repeated output rows; strict spans always stay and loose
@@ -45,7 +49,10 @@ CONTEXT = (
     (2, r"(?i)(?:key|token|secret|passw(?:or)?d|auth|bearer)[^A-Za-z]{0,4}$"),
     (3, r"(?i)(?:card|visa|iban|account|ssn)[^A-Za-z]{0,4}$"),
 )
-FEATURES = ("kind", "digits", "letters", "separators", "size", "context", "assigned", "tight", "checksum")
+#: Separators of a written-out address that no running text has.
+BRACKETS = (r"[(\[]at[)\]]", r"[(\[]dot[)\]]")
+FEATURES = ("kind", "digits", "letters", "separators", "size", "context", "assigned", "tight", "checksum", "brackets")
+_ADDRESS, _NUMBER = (len(STRICT) + LOOSE.index(name) for name in ("address", "number"))
 SPAN = "struct<kind:int,start:int,end:int,value:string,before:string,after:string>"
 
 
@@ -86,7 +93,15 @@ def _features() -> str:
         'context', {context},
         'assigned', int(c.before rlike {_sql_text(r'[=:][ ]?["' + chr(39) + r']?$')}),
         'tight', int(c.before rlike '[A-Za-z0-9]$' or c.after rlike '^[A-Za-z0-9]'),
-        'checksum', int(length({_DIGITS}) between 13 and 19 and {_LUHN}))"""
+        'checksum', int(length({_DIGITS}) between 13 and 19 and {_LUHN}),
+        'brackets', if(c.kind = {_ADDRESS}, int(c.value rlike {_sql_text(BRACKETS[0])}) + int(c.value rlike {_sql_text(BRACKETS[1])}), 0))"""
+
+
+def _label(features: str) -> str:
+    """Weak label of a loose candidate, from its own form and context."""
+    return f"""int(case c.kind when {_ADDRESS} then {features}.brackets > 0 or {features}.context = 1
+        when {_NUMBER} then {features}.context in (1, 3)
+        else c.before rlike {_sql_text(CONTEXT[1][1])} and c.before rlike '[=:]' end)"""
 
 
 def candidates(docs: DataFrame, text_col: str) -> DataFrame:
@@ -97,16 +112,15 @@ def candidates(docs: DataFrame, text_col: str) -> DataFrame:
     loose = ", ".join(_matches(text, k + len(STRICT), *GENERATORS[name]) for k, name in enumerate(LOOSE))
     df = df.withColumns({"_p_all": F.expr(f"filter(concat({strict}), c -> {_VALID})"), "_p_raw": F.expr(f"concat({loose})")})
     overlaps = "exists(_p_all, s -> s.start < c.end and c.start < s.end)"
-    assigned = f"(c.kind = {len(STRICT) + LOOSE.index('secret')} and c.before rlike {_sql_text(CONTEXT[1][1])} and c.before rlike '[=:]')"
-    shaped = f"transform(_p_raw, c -> named_struct('span', c, 'covered', {overlaps}, 'label', int({overlaps} or {assigned}), 'f', {_features()}))"
+    shaped = f"transform(_p_raw, c -> transform(array({_features()}), f -> named_struct('span', c, 'covered', {overlaps}, 'label', {_label('f')}, 'f', f))[0])"
     return df.withColumns({"_p_strict": F.col("_p_all"), "_p_loose": F.expr(shaped)})
 
 
 def count_vectors(found: DataFrame, id_col: str) -> list[dict]:
-    """Candidates of the whole corpus by feature vector, fold and label: at most one row for each possible vector."""
+    """Candidates of the whole corpus by feature vector, fold and label, without loose ones that strict spans settle: at most one row for each possible vector."""
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
     strict = F.expr(f"transform(_p_strict, c -> named_struct('f', {_features()}, 'label', 1))")
-    loose = F.expr("transform(_p_loose, c -> named_struct('f', c.f, 'label', c.label))")
+    loose = F.expr("transform(filter(_p_loose, c -> not c.covered), c -> named_struct('f', c.f, 'label', c.label))")
     rows = found.where("size(_p_strict) + size(_p_loose) > 0").select(fold.alias("held_out"), F.explode(F.concat(strict, loose)).alias("c"))
     table = rows.groupBy("held_out", "c.f", "c.label").count()
     return [r["f"].asDict() | {"held_out": r["held_out"], "label": r["label"], "n": r["count"]} for r in table.collect()]
@@ -137,6 +151,18 @@ def _grow(cells, grads, hess, rows, depth):
     return (f, cut, *(_grow(cells, grads, hess, part, depth - 1) for part in parts))
 
 
+def _grow_kinds(cells, grads, hess, depth):
+    """A tree whose first splits part the loose kinds; strict spans, which need no score, share a leaf."""
+    groups: dict[int, list[int]] = {}
+    for i, c in enumerate(cells):
+        groups.setdefault(max(c["kind"], len(STRICT) - 1), []).append(i)
+    tree = None
+    for kind in sorted(groups, reverse=True):
+        own = _grow(cells, grads, hess, groups[kind], depth if kind >= len(STRICT) else 0)
+        tree = own if tree is None else ("kind", kind, own, tree)
+    return tree
+
+
 def _value(tree, cell) -> float:
     while isinstance(tree, tuple):
         tree = tree[2] if cell[tree[0]] <= tree[1] else tree[3]
@@ -146,16 +172,17 @@ def _value(tree, cell) -> float:
 def fit(cells: list[dict], rounds: int = 25, depth: int = 3, rate: float = 0.3) -> dict:
     """Boosted trees on the counts; calibration and thresholds come from the held-out fold where it has both labels."""
     cells = sorted(cells, key=lambda c: (*(c[f] for f in FEATURES), c["held_out"], c["label"]))
-    train, held = [c for c in cells if not c["held_out"]], [c for c in cells if c["held_out"]]
+    folds = {(c["kind"], c["held_out"]) for c in cells if c["label"]}
+    train, held = ([c for c in cells if c["held_out"] == side or not {(c["kind"], False), (c["kind"], True)} <= folds] for side in (False, True))
     model = {"trees": [], "rate": rate, "slope": 1.0, "shift": 0.0, "thresholds": {}}
-    if len({c["label"] for c in train}) < 2:
+    if not any(c["label"] and c["kind"] >= len(STRICT) for c in train):  # nothing that a threshold could let in
         return model
     scores = [0.0] * len(train)
     for _ in range(rounds):
         p = [1 / (1 + math.exp(-s)) for s in scores]
         grads = [c["n"] * (q - c["label"]) for c, q in zip(train, p, strict=True)]
         hess = [c["n"] * q * (1 - q) for c, q in zip(train, p, strict=True)]
-        tree = _grow(train, grads, hess, list(range(len(train))), depth)
+        tree = _grow_kinds(train, grads, hess, depth)
         model["trees"].append(tree)
         scores = [s + rate * _value(tree, c) for s, c in zip(scores, train, strict=True)]
     judge = held if len({c["label"] for c in held}) == 2 else train

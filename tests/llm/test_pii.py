@@ -96,3 +96,26 @@ def test_probe_never_rejects_a_match(kind):
     probe, pattern = pii.GENERATORS[kind]
     samples = {"email": "a@b.c", "ip": "1.2.3.4", "card": "4111 1111 1111 1111", "phone": "+1 23 456 7890", "address": "who (at) host [dot] org", "number": "555 123 4567", "secret": "a1" * 10}
     assert re.search(probe, samples[kind])
+
+
+def test_written_out_addresses_and_numbers_are_found_among_many_others(spark):
+    """Two addresses and a few numbers in a corpus of tokens, plain numbers and strict spans."""
+    rng = random.Random(8)
+    token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [(i, (f'token = "{token()}"', f"mail a{i}@b.org, +1 459 555 {1000 + i}", f"in the years {1000 + i}-{2000 + i} they met", "look at foo dot com now")[i % 4]) for i in range(400)]
+    found = {500: "who (at) host (dot) org", 501: "who [at] host [dot] org", 502: "jo at host dot org", 503: "555 123 4567", 504: "555-987-6543"}
+    texts += [(i, {502: "contact: ", 503: "please call ", 504: "fax "}.get(i, "write to me, ") + t) for i, t in found.items()]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find(frame(spark, texts)).collect()}
+    for i, t in found.items():
+        at = dict(texts)[i].index(t)
+        assert rows[i] == f"{'address' if i < 503 else 'number'}:{at}:{at + len(t)}"
+    assert not any("address" in s or "number" in s for i, s in rows.items() if i < 500)
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, texts)).collect()}
+    assert redacted[500] == redacted[501] == "write to me, <ADDRESS>" and redacted[503] == "please call <NUMBER>"
+    assert redacted[3] == "look at foo dot com now"
+
+
+@pytest.mark.parametrize("doc_id", range(6))
+def test_the_only_candidate_of_a_corpus_is_redacted(spark, doc_id):
+    """Whichever fold it falls into."""
+    assert pii.redact(frame(spark, [(doc_id, "x, who (at) host (dot) org")])).first()["text"] == "x, <ADDRESS>"
