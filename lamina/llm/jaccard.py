@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,7 +50,7 @@ from lamina.session import Scratch, arrow_rows, release
 LEAST_BITS = 9
 SPARE = 0.2
 TILE, TILE_HASHES = 2048, 2_000_000
-ROWS = "doc_id long, cls long, proof long, n long, sketch binary"
+ROWS = "doc_id long, mark long, cls long, proof long, n long, sketch binary"
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -197,19 +197,24 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def _mark(text: Column) -> Column:
+    """With the id, which may be null or repeated, the key of a row: a hash of its text."""
+    return F.xxhash64(text.cast("string"))
+
+
 def set_rows(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id, class, second class hash, size and flat sketch of every row."""
+    """doc_id, mark, class, second class hash, size and flat sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for part in in_parts(batch.column(1).to_pylist()):
                 sets = Sets(part, k)
-                columns = [batch.column(0).slice(at, len(part)), *map(pa.array, sets.classes()), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.sketches(), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cls", "proof", "n", "sketch"])
+                columns = [batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), *map(pa.array, sets.classes()), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.sketches(), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "cls", "proof", "n", "sketch"])
                 at += len(part)
 
-    return texts.mapInArrow(run, ROWS)
+    return texts.withColumn("mark", _mark(F.col("text"))).mapInArrow(run, ROWS)
 
 
 def key_rows(texts: DataFrame, k: int, num: int, den: int, part: int = 0, parts: int = 1) -> DataFrame:
@@ -416,7 +421,7 @@ def links_across(tiles: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, cls, n) of all documents and (node, root) of the classes that have links."""
+    """Rows (doc_id, mark, cls, n) of all documents and (node, root) of the classes that have links."""
     texts = _texts(docs, id_col, text_col)
     rows = scratch.table("rows", set_rows(texts, k))
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("proof").alias("p"), F.max("proof").alias("q"))
@@ -469,7 +474,7 @@ def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scra
             links = scratch.table("links_three", links.unionByName(links_across(tiled(full, "sketch", "s"), num, den)))
             roots = scratch.table("roots_three", graph.components(links, scratch, "c_three"))
     release(scratch.spark)
-    return rows.select("doc_id", "cls", "n"), roots
+    return rows.select("doc_id", "mark", "cls", "n"), roots
 
 
 def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -486,15 +491,21 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id. Documents without words all stay.
+    """One row of each component: the one with the smallest id (null last), then class, then mark. Rows without words all stay.
 
-    Rows that repeat an id are one document: of them the row with the smallest text stays.
+    Rows that share an id, or have none, are documents of their own: only links remove rows.
     """
-    named = link(docs, k, num, den, id_col, text_col)
-    alone = F.col("n_shingles") == 0
-    kept = named.groupBy("doc_id").agg(F.max(alone | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("_j_rows"))
-    kept = Scratch(docs.sparkSession, "kept").table("kept", kept.where("stays").select(F.col("doc_id").alias("_j_id"), "_j_rows"))
-    found = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_j_id")))
-    order = W.partitionBy("_j_id").orderBy(F.col(text_col).asc_nulls_last())
-    repeats = found.where("_j_rows > 1").withColumn("_j_place", F.row_number().over(order)).where("_j_place = 1")
-    return found.where("_j_rows = 1").select(*docs.columns).unionByName(repeats.select(*docs.columns))
+    scratch = Scratch(docs.sparkSession, "kept")
+    with arrow_rows(docs.sparkSession, 1000):
+        rows, roots = classes_and_roots(docs, k, num, den, Scratch(docs.sparkSession, "jaccard"), id_col, text_col)
+    groups = rows.groupBy("doc_id", "mark", "cls").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "mark", "copies")).alias("e")
+    by_class = groups.where("n > 0").groupBy("cls").agg(least).select("e.doc_id", "e.cls", "e.mark", "e.copies")
+    named = by_class.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    of_words = named.groupBy("root").agg(least).select("e.doc_id", "e.mark", F.col("e.copies") > 1)
+    kept = of_words.union(groups.where("n = 0").select("doc_id", "mark", F.lit(False))).toDF("_j_id", "_j_mark", "_j_repeats")
+    kept = scratch.table("kept", kept)
+    found = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_j_id")) & (_mark(F.col(text_col)) == F.col("_j_mark")))
+    row = F.struct(*docs.columns)
+    repeats = found.where("_j_repeats").groupBy("_j_id", "_j_mark").agg(F.min_by(row, F.to_json(row)).alias("_j_row"))
+    return found.where("not _j_repeats").select(*docs.columns).unionByName(repeats.select("_j_row.*"))

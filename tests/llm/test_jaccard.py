@@ -116,6 +116,20 @@ def test_edges(spark, edges, edge_rows, nothing):
     assert jaccard.keep_one(nothing).count() == 0
 
 
+def test_keep_one_drops_only_linked_rows(spark):
+    """Rows that share or lack an id are documents of their own; one row of each component stays."""
+    rng = random.Random(4)
+    fresh = lambda: " ".join("v%d" % rng.randrange(10_000) for _ in range(60))
+    same, late, nameless = fresh(), fresh(), fresh()
+    rows = [(1, same), (1, same), (1, same + " end"), *((1, fresh()) for _ in range(5)), *((None, fresh()) for _ in range(5)), (None, same + " end"), (2, ""), (2, ""), (2, None)]
+    rows += [(7, "a " + late), (3, late), (7, fresh()), (None, nameless), (None, nameless)]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(frame(spark, rows)).collect()]
+    dropped = sorted(set(rows) - set(kept), key=str)
+    assert len(kept) == 1 + 5 + 5 + 3 + 2 + 1 and kept.count((2, "")) == 2 and kept.count((None, nameless)) == 1
+    assert [i for i, t in kept if t and t.startswith(same)] == [1]
+    assert (7, "a " + late) in dropped and all(t.startswith((same, "a " + late)) for _, t in dropped)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 40)]
     star = [(100, i) for i in range(101, 130)]
