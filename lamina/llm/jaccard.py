@@ -293,7 +293,8 @@ def prune(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
 def sets_of(needed: DataFrame, classes: DataFrame, texts: DataFrame, k: int, scratch: Scratch, name: str) -> DataFrame:
     """(cls, s) of the classes needed(cls), made again from one text of each."""
     needed = needed.distinct().join(classes.select("cls", "rep"), "cls")
-    found = texts.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = needed.select(F.col("rep.doc_id").alias("id"), "rep.mark").distinct()
+    found = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("id")) & (_mark(F.col("text")) == F.col("mark")), "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,7 +425,7 @@ def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scra
     """Rows (doc_id, mark, cls, n) of all documents and (node, root) of the classes that have links."""
     texts = _texts(docs, id_col, text_col)
     rows = scratch.table("rows", set_rows(texts, k))
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("proof").alias("p"), F.max("proof").alias("q"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("proof").alias("p"), F.max("proof").alias("q"))
     sure = F.when(F.col("p") == F.col("q"), F.col("cls")).otherwise(F.raise_error(F.lit("two sets share a class id")).cast("long"))
     classes = scratch.table("classes", classes.select(sure.alias("cls"), "rep", "n", "sketch"))
     # a set has about 2 * (den - num) / num keys per hash; their shuffles follow one another to bound the disk

@@ -130,6 +130,16 @@ def test_keep_one_drops_only_linked_rows(spark):
     assert (7, "a " + late) in dropped and all(t.startswith((same, "a " + late)) for _, t in dropped)
 
 
+@pytest.mark.parametrize("every", [1, 2])
+def test_near_copies_without_id_are_linked(spark, every):
+    """All rows, or every second one, lack an id."""
+    rows = [(None if i % every == 0 else i, t) for i, t in near_copies(7, 10)]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(frame(spark, rows), 3, 90, 100).collect()), key=str)
+    assert got == brute(rows, 3, 90, 100)
+    words = [r for r in jaccard.keep_one(frame(spark, rows), 3, 90, 100).collect() if r["text"]]
+    assert len(words) == len({r[2] for r in brute([(i, t) for i, (_, t) in enumerate(rows) if t], 3, 90, 100)})
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 40)]
     star = [(100, i) for i in range(101, 130)]
