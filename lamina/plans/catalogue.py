@@ -299,7 +299,8 @@ def _context(t: Layers, **options) -> DataFrame:
     return context.build_context(t.pins, t.episodic, t.semantic, t.vectors, session, _now(), **options)
 
 
-def _context_sql(query_vector: bool, max_tokens: int = 4000, floor: int | None = None, scope: str | None = None) -> tuple[str, dict]:
+def _context_sql(query_vector: bool, max_tokens: int = 4000, floor: int | None = None, scope: str | None = None, text_ids: bool = False) -> tuple[str, dict]:
+    kind = "varchar" if text_ids else "bigint"
     floor = max_tokens // 16 if floor is None else floor
     reserve = min(floor, max_tokens // 4)
     where = f"where scope = '{scope}'" if scope else ""
@@ -314,6 +315,8 @@ def _context_sql(query_vector: bool, max_tokens: int = 4000, floor: int | None =
         f"select 'episodic', id, round(retrieval_weight * 0.8 * {_recency('last_accessed')}, 6) + 0.0, (length(payload) + 3) // 4, last_accessed from epi64",
         f"select 'working', turn_idx, round(0.9 * {_recency('turn_at')}, 6) + 0.0, (length(content) + 3) // 4, turn_at from tur32",
     ]
+    if text_ids:
+        parts = [part.replace("id,", "lpad(cast(id as varchar), 12, '0') as id,", 1) for part in parts[:2]]
     if query_vector:
         ctes["sem32"] = sem
         parts.append(f"select 'semantic', id, round(least(greatest(1 - distance, 0), 1) * 0.7 * {_recency('created_at')}, 6) + 0.0, (length(content) + 3) // 4, created_at from sem32")
@@ -325,13 +328,13 @@ def _context_sql(query_vector: bool, max_tokens: int = 4000, floor: int | None =
             from p1 join o1 on o1.layer = p1.layer and o1.rn = p1.rn + 1""",
         "t1": "select coalesce(sum(tokens), 0) as used from p1 where keep",
         "o2": "select c.*, row_number() over (order by score desc, id desc, layer) as rn from cand c where not exists (select 1 from p1 where p1.layer = c.layer and p1.id = c.id and p1.keep)",
-        "p2": f"""select cast(null as varchar) as layer, cast(null as bigint) as id, 0::bigint as rn, false as keep, used from t1 where used < {max_tokens}
+        "p2": f"""select cast(null as varchar) as layer, cast(null as {kind}) as id, 0::bigint as rn, false as keep, used from t1 where used < {max_tokens}
             union all select o2.layer, o2.id, o2.rn, p2.used + o2.tokens <= {max_tokens}, case when p2.used + o2.tokens <= {max_tokens} then p2.used + o2.tokens else p2.used end
             from p2 join o2 on o2.rn = p2.rn + 1""",
         "kept": "select layer, id from p1 where keep union all select layer, id from p2 where keep",
     }
     sql = """select layer, row_number() over (partition by layer order by case when layer = 'procedural' then epoch_us(seen) end, case when layer = 'working' then -epoch_us(seen) end,
-            case when layer in ('semantic', 'episodic') then -score end, case when layer = 'procedural' then id else -id end)::int as pos,
+            case when layer in ('semantic', 'episodic') then -score end, case when layer = 'procedural' then id end, id desc)::int as pos,
             id, score, tokens::bigint as tokens, (sum(tokens) over ())::bigint as total_tokens from cand semi join kept using (layer, id)"""
     return sql, ctes
 
@@ -356,6 +359,17 @@ _register_context("context_tight_budget", {"query_vector": True, "max_tokens": 6
 _register_context("context_zero_budget", {"query_vector": True, "max_tokens": 0}, max_tokens=0)
 
 
+_ULID_SQL, _ULID_CTES = _context_sql(query_vector=False, max_tokens=300, text_ids=True)
+
+
+@query(_ULID_SQL, recursive=True, **{k: v for k, v in _ULID_CTES.items() if k != "tur32"})
+def context_ulid_pins(t: Layers) -> DataFrame:
+    """String ids, as the tools have them: of pins with equal scores the newest stay."""
+    named = lambda df: df.withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0"))
+    found = context.build_context(named(t.pins), named(t.episodic), t.semantic, t.vectors, t.turns.where("false"), _now(), max_tokens=300, details=True)
+    return found.select("layer", "pos", "id", "score", "tokens", "total_tokens")
+
+
 # ---- tiers and the cold store
 
 

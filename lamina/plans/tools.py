@@ -251,7 +251,8 @@ class Engine:
         if name == "stats":
             return self.stats()
         if name == "recent":
-            return self.recall_recent(20)
+            rows = self.recall_recent(20)["events"]
+            return {"events": [{k: v for k, v in r.items() if k not in ("retrieval_weight", "tier")} for r in rows]}
         if name == "procedural":
             rows = pins.read(self.spark, self.pins_path).orderBy("line_no").withColumn("created_at", text.rfc3339(F.col("created_at")))
             return {"pins": [r.asDict() for r in rows.collect()]}
@@ -268,16 +269,24 @@ class Engine:
 
     def context(self, query: str | None = None, scope: str | None = None, max_tokens: int | None = None) -> dict:
         max_tokens = self.settings.budgets.auto_context_token_budget if max_tokens is None else max_tokens
-        numbered = lambda df: df.withColumn("id", F.xxhash64("id"))  # noqa: E731  packing orders by number
         items = self.store.items()
         turn_rows = [(i, t["role"], t["content"], datetime.fromisoformat(t["at"])) for i, t in enumerate(self.session["turns"])]
         turns = self.spark.createDataFrame(turn_rows, "turn_idx int, role string, content string, turn_at timestamp")
         vector = self._vector(query) if query else None
         rows = context.build_context(
-            numbered(pins.read(self.spark, self.pins_path)), numbered(self.events().where("tier = 'hot'")), numbered(items.drop("embedding")),
-            numbered(items.select("id", "embedding")), turns, F.lit(datetime.now(timezone.utc)), query=vector, scope=scope, max_tokens=max_tokens,
-        ).orderBy("layer", "pos").collect()
-        out: dict = {layer: [r.asDict() for r in rows if r["layer"] == layer] for layer in ("procedural", "episodic", "semantic", "working")}
+            pins.read(self.spark, self.pins_path), self.events().where("tier = 'hot'"), items.drop("embedding"), items.select("id", "embedding"), turns,
+            F.lit(datetime.now(timezone.utc)), query=vector, scope=scope, max_tokens=max_tokens, details=True,
+        ).orderBy("layer", "pos")
+        rows = rows.withColumns({"at": text.rfc3339(F.col("created_at")), "seen": text.rfc3339(F.col("last_accessed"))}).collect()  # 192 at most
+        out: dict = {"procedural": [], "episodic": [], "semantic": [], "working": []}
+        for r in rows:
+            if r["layer"] == "working":
+                out["working"].append({"role": r["role"], "content": r["body"]})
+                continue
+            row = {"id": r["id"], ("payload" if r["layer"] == "episodic" else "content"): r["body"], "tags": r["tags"] or [], "scope": r["scope"], "created_at": r["at"]}
+            row |= {"kind": r["kind"]} if r["layer"] != "procedural" else {}
+            row |= {"last_accessed": r["seen"]} if r["layer"] == "episodic" else {}
+            out[r["layer"]].append(row)
         return out | {"total_tokens": rows[0]["total_tokens"] if rows else 0, "max_tokens": max_tokens}
 
     # -- background work

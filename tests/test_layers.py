@@ -184,6 +184,23 @@ def test_tools(spark, tmp_path):
     assert e.call("forget", {"id": p})["layer"] == "procedural" and e.call("forget", {"id": a})["layer"] == "semantic"
     assert e.call("forget", {"id": "zz"}) == {"forgotten": False, "layer": None}
     assert e.call("switch_scope", {"scope": " work "})["scope"] == "work"
-    assert e.resource("context")["total_tokens"] > 0
+    found = e.resource("context")
+    assert found["total_tokens"] > 0 and found["max_tokens"] == 4000 and found["semantic"] == []
+    assert {frozenset(r) for r in found["episodic"]} == {frozenset(("id", "kind", "scope", "payload", "tags", "last_accessed", "created_at"))}
+    assert {frozenset(r) for r in e.resource("recent")["events"]} == {frozenset(("id", "kind", "scope", "payload", "tags", "last_accessed", "created_at"))}
     e.close()
     assert e.resource("session", e.session["id"])["clean_shutdown"]
+
+
+def test_context_shows_the_newest_pins(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "data"))
+    made = [e.pin(f"rule number {i} of the house", tags=["t"], scope="home")["id"] for i in range(8)]
+    newest = sorted(made)[-2:]
+    e.remember("the sky is blue", tags=["s"])
+    found = e.context(max_tokens=20, scope="home")  # a rule takes 7 tokens
+    assert [r["id"] for r in found["procedural"]] == [x for x in made if x in newest] and found["total_tokens"] == 14
+    pin = found["procedural"][0]
+    assert pin == {"id": pin["id"], "content": f"rule number {made.index(pin['id'])} of the house", "tags": ["t"], "scope": "home", "created_at": pin["created_at"]} and pin["created_at"].startswith("20")
+    hit = e.context(query="the sky is blue")["semantic"][0]
+    assert hit["content"] == "the sky is blue" and hit["kind"] == "fact" and hit["tags"] == ["s"]
+    assert [t["content"] for t in e.context()["working"]] == [t["content"] for t in reversed(e.session["turns"])]
