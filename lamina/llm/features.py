@@ -9,33 +9,37 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from lamina.llm import workers
+
 BITS = 12
 SIZE = 1 << BITS
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+#: Words of more bytes are hashed anew each time.
+LONG_WORD = 64
 #: Names of the dense statistics, in order.
 STATS = ("log_words", "word_length", "symbol_share", "upper_share", "digit_share", "dup_line_share", "repeat_share", "punct_share", "distinct_share", "line_words", "stutter_share")
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for the words of a task; emptied when large."""
+    """64-bit hashes of words, kept for the words of a task; emptied when large. Only words of usual length are kept, which bounds its bytes."""
 
     def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
 
-_HASHES = WordHashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    known = workers.kept("", WordHashes)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -43,8 +43,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lamina.llm import features, graph
-from lamina.session import Scratch, arrow_rows, release
+from lamina.llm import features, graph, workers
+from lamina.session import Scratch, release, small_batches
 
 #: The shortest flat sketch has two to this power bits.
 LEAST_BITS = 9
@@ -214,7 +214,7 @@ def set_rows(texts: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "cls", "proof", "n", "sketch"])
                 at += len(part)
 
-    return texts.withColumn("mark", _mark(F.col("text"))).mapInArrow(run, ROWS)
+    return texts.withColumn("mark", _mark(F.col("text"))).mapInArrow(workers.task(run), ROWS)
 
 
 def key_rows(texts: DataFrame, k: int, num: int, den: int, part: int = 0, parts: int = 1) -> DataFrame:
@@ -234,7 +234,7 @@ def key_rows(texts: DataFrame, k: int, num: int, den: int, part: int = 0, parts:
                         key, number = key[mine], number[mine]
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[number])], names=["key", "cls"])
 
-    return texts.mapInArrow(run, "key long, cls long")
+    return texts.mapInArrow(workers.task(run), "key long, cls long")
 
 
 def buckets(keys: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def buckets(keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, leads, cls)], names=["key", "lead", "other"])
             last_key, lead, last_cls = key[-1], leads[-1], cls[-1]
 
-    return placed.mapInArrow(run, "key long, lead long, other long")
+    return placed.mapInArrow(workers.task(run), "key long, lead long, other long")
 
 
 def _bounded(n_a, n_b, hamming, num: int, den: int):
@@ -287,7 +287,7 @@ def prune(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
             keep = _bounded(batch.column(2).to_numpy(), batch.column(3).to_numpy(), hamming, num, den)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[keep]), pa.array(batch.column(1).to_numpy()[keep]), pa.array(hamming[keep])], names=["a", "b", "hamming"])
 
-    return rows.mapInArrow(run, "a long, b long, hamming long")
+    return rows.mapInArrow(workers.task(run), "a long, b long, hamming long")
 
 
 def sets_of(needed: DataFrame, classes: DataFrame, texts: DataFrame, k: int, scratch: Scratch, name: str) -> DataFrame:
@@ -302,7 +302,7 @@ def sets_of(needed: DataFrame, classes: DataFrame, texts: DataFrame, k: int, scr
                 sets = Sets(part, k)
                 yield pa.RecordBatch.from_arrays([pa.array(sets.classes()[0]), pa.array([sets.of(i).tobytes() for i in range(len(sets))], pa.binary())], names=["cls", "s"])
 
-    sets = found.mapInArrow(make, "cls long, s binary")
+    sets = found.mapInArrow(workers.task(make), "cls long, s binary")
     return scratch.table(f"sets_{name}", sets.join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
 
 
@@ -321,7 +321,7 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num:
                 keep.append(den * both >= num * (len(one) + len(two) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    links = scratch.table(f"links_{name}", rows.mapInArrow(check, "a long, b long"))
+    links = scratch.table(f"links_{name}", rows.mapInArrow(workers.task(check), "a long, b long"))
     scratch.drop(f"sets_{name}")
     return links
 
@@ -398,7 +398,7 @@ def open_classes(tiles: DataFrame, num: int, den: int) -> DataFrame:
             if hit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(tile.cls[hit])], names=["cls"])
 
-    return tiles.mapInArrow(run, "cls long").distinct()
+    return tiles.mapInArrow(workers.task(run), "cls long").distinct()
 
 
 def links_across(tiles: DataFrame, num: int, den: int) -> DataFrame:
@@ -418,7 +418,7 @@ def links_across(tiles: DataFrame, num: int, den: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(found, np.int64).T.copy()], names=["a", "b"])
 
-    return tiles.mapInArrow(run, "a long, b long")
+    return tiles.mapInArrow(workers.task(run), "a long, b long")
 
 
 def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -481,8 +481,8 @@ def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scra
 def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and class size of every row; linked where den * intersection >= num * union."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    with arrow_rows(docs.sparkSession, 1000):
-        rows, roots = classes_and_roots(docs, k, num, den, scratch, id_col, text_col)
+    small_batches(docs.sparkSession)
+    rows, roots = classes_and_roots(docs, k, num, den, scratch, id_col, text_col)
     sized = rows.groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     named = sized.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -497,8 +497,8 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     Rows that share an id, or have none, are documents of their own: only links remove rows.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    with arrow_rows(docs.sparkSession, 1000):
-        rows, roots = classes_and_roots(docs, k, num, den, Scratch(docs.sparkSession, "jaccard"), id_col, text_col)
+    small_batches(docs.sparkSession)
+    rows, roots = classes_and_roots(docs, k, num, den, Scratch(docs.sparkSession, "jaccard"), id_col, text_col)
     groups = rows.groupBy("doc_id", "mark", "cls").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "mark", "copies")).alias("e")
     by_class = groups.where("n > 0").groupBy("cls").agg(least).select("e.doc_id", "e.cls", "e.mark", "e.copies")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm import features
+from lamina.llm import features, workers
 
 #: Weight of the n-gram parts against the dense statistics.
 SCALE = 30.0
@@ -37,7 +37,7 @@ def vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             packed = [features.vector(t if isinstance(t, str) else "").astype(np.float16).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "x": packed})
 
-    table = rows.select("doc_id", "label", "text").mapInPandas(run, "doc_id long, label double, x binary").toArrow()
+    table = rows.select("doc_id", "label", "text").mapInPandas(workers.task(run), "doc_id long, label double, x binary").toArrow()
     ids, labels = (table.column(c).to_numpy() for c in ("doc_id", "label"))
     order = np.lexsort((labels, ids))
     place = np.empty(len(order), np.int64)

@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm import files
-from lamina.session import Scratch
+from lamina.llm import files, workers
+from lamina.session import Scratch, small_batches
 
 UNIT = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -114,7 +114,7 @@ def write_shards(docs: DataFrame, folder: str, text_col: str = "text", id_col: s
                 stream.write(b"\0" * 1024)
                 stream.close()
 
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(write, INDEX)
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(workers.task(write), INDEX)
 
 
 def _by_place(index: DataFrame, span: int = 64 << 20) -> DataFrame:
@@ -133,7 +133,7 @@ def read_metadata(index: DataFrame) -> DataFrame:
             yield batch.assign(media_format="png", **{c: [h[i] for h in heads] for i, c in enumerate(("width", "height", "bit_depth"))})
         source.close()
 
-    return _by_place(index).mapInPandas(read, f"{INDEX}, {METADATA}")
+    return _by_place(index).mapInPandas(workers.task(read), f"{INDEX}, {METADATA}")
 
 
 def read_features(index: DataFrame) -> DataFrame:
@@ -163,12 +163,13 @@ def read_features(index: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
         source.close()
 
-    return _by_place(index).mapInPandas(read, FEATURES)
+    return _by_place(index).mapInPandas(workers.task(read), FEATURES)
 
 
 def media_columns(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Store all texts in shards of the shared folder and return the columns that reading them back gives."""
     scratch = Scratch(docs.sparkSession, "media")
+    small_batches(docs.sparkSession)
     return read_features(scratch.table("index", write_shards(docs, scratch.path("shards"), text_col, id_col)))
 
 

@@ -18,7 +18,6 @@ input columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import zlib
@@ -31,16 +30,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lamina.session import Scratch
+from lamina.llm import workers
+from lamina.session import Scratch, small_batches
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
+OWNER = "chunk ids"
+#: Bytes of a kept chunk besides its text and ids: two objects and a place in a table.
+ENTRY = 170
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
 class ChunkIds:
-    """Ids of texts as little-endian bytes, put together from the ids of chunks; the first `most` chunks are kept.
+    """Ids of texts as little-endian bytes, put together from the ids of chunks; chunks met twice are kept, up to `most_bytes`.
+
+    A table of bits remembers what was met once, so that chunks of a single text don't take the place.
 
     No token spans white space. Texts of ASCII and Latin-1 letters are also cut where the
     tokenizer's own pattern cuts, after its lower-casing, so that few chunks are distinct;
@@ -52,7 +57,7 @@ class ChunkIds:
     OTHER = bytes([*range(0x80, 0xC0), 0xD7, 0xF7])
     LOWER = bytes(x + 32 if 65 <= x <= 90 or 0xC0 <= x <= 0xDE and x != 0xD7 else x for x in range(256))
 
-    def __init__(self, vocabulary: str, most: int = 600_000):
+    def __init__(self, vocabulary: str, most_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -63,14 +68,29 @@ class ChunkIds:
         self.cut_tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)
         self.latin: dict[bytes, bytes] = {}
         self.raw: dict[bytes, bytes] = {}
-        self.most = most
+        self.room = most_bytes
+        self.met = bytearray(1 << 20)
 
     @classmethod
     def of(cls, vocabulary: str) -> ChunkIds:
-        """One for each worker process, which later tasks find filled."""
-        if vocabulary not in _CHUNKS:
-            _CHUNKS[vocabulary] = cls(vocabulary)
-        return _CHUNKS[vocabulary]
+        """One for each worker process, which later tasks of packing find filled."""
+        own = workers.kept(OWNER, lambda: {})
+        if vocabulary not in own:
+            own.clear()
+            own[vocabulary] = cls(vocabulary)
+        return own[vocabulary]
+
+    def keep(self, known: dict[bytes, bytes], fresh: dict[bytes, bytes]) -> None:
+        for chunk, ids in fresh.items():
+            if self.room <= 0:
+                return
+            at = hash(chunk) & 0x7FFFFF
+            bit = 1 << (at & 7)
+            if self.met[at >> 3] & bit:
+                known[chunk] = ids
+                self.room -= len(chunk) + len(ids) + ENTRY
+            else:
+                self.met[at >> 3] |= bit
 
     def chunks(self, text: str) -> tuple[bool, list[bytes]]:
         try:
@@ -96,13 +116,10 @@ class ChunkIds:
                     fresh[chunk] = array("I", e.ids).tobytes()
             for own, ids in gaps:
                 ids[:] = [fresh[c] if i is None else i for c, i in zip(own, ids, strict=True)]
-            known.update(itertools.islice(fresh.items(), max(0, self.most - len(known))))
+            self.keep(known, fresh)
         return [b"".join(ids) for ids in found]
 
 
-_CHUNKS: dict[str, ChunkIds] = {}
-
-
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece; ids stay in the task and only their checksum leaves it."""
 
@@ -112,6 +129,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_
             rows = []
             texts = [t if isinstance(t, str) else "" for t in batch["t"]]
             keys = batch["k"].to_list()
+            del batch
             for at in range(0, len(texts), 500):
                 for key, own in zip(keys[at : at + 500], ids.encode(texts[at : at + 500]), strict=True):
                     own += END
@@ -121,7 +139,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_
                         rows.append((key, piece, start, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInPandas(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInPandas(workers.task(run, OWNER), PIECES)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -198,6 +216,7 @@ def ranked(pieces: DataFrame, buckets: int = 1024) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     scratch = Scratch(docs.sparkSession, "pack")
+    small_batches(docs.sparkSession)
     pieces = scratch.table("pieces", token_pieces(docs, vocabulary, capacity, id_col, text_col))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # `capacity` rows at most
     places = docs.sparkSession.sparkContext.broadcast(slots(plan_bins(histogram, capacity)))
@@ -211,4 +230,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
             yield batch.drop(columns="rank").assign(sequence_id=table["sequence"][at] + rank - table["rank"][at], offset=table["offset"][at])
 
     names = [c.split()[0] for c in PIECES.split(", ")]
-    return ranked(pieces).select(*names, "rank").mapInPandas(place, PACKED)
+    return ranked(pieces).select(*names, "rank").mapInPandas(workers.task(place), PACKED)

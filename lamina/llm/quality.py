@@ -30,7 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm import features, linear
+from lamina.llm import features, linear, workers
+from lamina.session import small_batches
 
 THRESHOLD = 0.3
 
@@ -85,16 +86,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_size: int = 2000, rounds: i
 
 
 def scores(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
-    """docs[keep] and `_score` for every row, in Arrow batches."""
+    """docs[keep] and `_q_score` for every row, in Arrow batches."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the table of weights: fixed size
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch]
             yield pd.Series(linear.sigmoid(np.array([linear.logit(t, features.analyse(t), own) for t in texts], float)), dtype=float)
 
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from workers.task(run)(batches)
+
     return docs.select(*keep, score(F.col("text").cast("string")).alias("_q_score"))
 
 

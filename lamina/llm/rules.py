@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm import features, linear
+from lamina.llm import features, linear, workers
 from lamina.llm.quality import held_out
+from lamina.session import small_batches
 
 LEAST_WORDS, MOST_REPEATED, THRESHOLD = 50, 50, 0.3
 RESULT = (
@@ -50,6 +51,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_size: int = 4000) -> dict |
 
 def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """Counts, base decision, verdict and probability for every row."""
+    small_batches(docs.sparkSession)
     model = train(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -66,4 +68,4 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
                 rows.append((key, n, found["word_chars"], found["n_symbols"], found["n_dup_lines"], repeated, failed, not failed and p >= threshold, p))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("t")).mapInPandas(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("t")).mapInPandas(workers.task(run), RESULT)

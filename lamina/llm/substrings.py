@@ -38,7 +38,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.session import Scratch, release
+from lamina.llm import workers
+from lamina.session import Scratch, release, small_batches
 
 LENGTH, NAME = 50, 20
 WINDOW = LENGTH - NAME + 1
@@ -117,7 +118,7 @@ def name_rows(texts: DataFrame) -> DataFrame:
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(digests))], names=["name", "digest"])
 
-    return texts.mapInArrow(run, "name long, digest long")
+    return texts.mapInArrow(workers.task(run), "name long, digest long")
 
 
 def shared_names(names: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def shared_names(names: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows[0, keep]), pa.array(rows[1, keep])], names=["name", "digest"])
             held, last = (rows[:, -1:], None) if new[-1] else (rows[:, :0], tuple(rows[:, -1].tolist()))
 
-    return placed.mapInArrow(run, "name long, digest long")
+    return placed.mapInArrow(workers.task(run), "name long, digest long")
 
 
 def _windows(text, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -174,7 +175,7 @@ def context_rows(rows: DataFrame) -> DataFrame:
                         names=["name", "doc", "digest", "start", "bytes"],
                     )
 
-    return rows.select("doc", "digest", "names", "text").mapInArrow(run, "name long, doc long, digest long, start long, bytes binary")
+    return rows.select("doc", "digest", "names", "text").mapInArrow(workers.task(run), "name long, doc long, digest long, start long, bytes binary")
 
 
 def _rebatched(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -226,7 +227,7 @@ def removed_windows(contexts: DataFrame) -> DataFrame:
             seen, at = np.unique(pool, return_index=True)
             low, last_name = pool_docs[at], name[-1]
 
-    return placed.mapInArrow(run, "digest long, start long, mask long")
+    return placed.mapInArrow(workers.task(run), "digest long, start long, mask long")
 
 
 def hot_windows(rows: DataFrame) -> DataFrame:
@@ -242,7 +243,7 @@ def hot_windows(rows: DataFrame) -> DataFrame:
                     prefix = window_hashes(x, LENGTH)[at].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(np.full(len(at), doc)), pa.array(np.full(len(at), digest)), pa.array(at + offset)], names=["prefix", "doc", "digest", "start"])
 
-    windows = rows.select("doc", "digest", "names", "text").mapInArrow(run, "prefix long, doc long, digest long, start long")
+    windows = rows.select("doc", "digest", "names", "text").mapInArrow(workers.task(run), "prefix long, doc long, digest long, start long")
     lowest = windows.groupBy("prefix").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     return windows.join(lowest.select("prefix", "low"), "prefix").where("doc > low").select("digest", "start", F.lit(1).cast("long").alias("mask"))
 
@@ -270,13 +271,14 @@ def apply_masks(rows: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.select("digest", "text", "marks").mapInArrow(run, "digest long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.select("digest", "text", "marks").mapInArrow(workers.task(run), "digest long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
+    small_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     last = (1 << 63) - 1
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))

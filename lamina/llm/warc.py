@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm import files
-from lamina.session import Scratch
+from lamina.llm import files, workers
+from lamina.session import Scratch, small_batches
 
 LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, least: int = LEAST, archi
             if stream is not None:
                 stream.close()
 
-    return scratch.table("index", rows.mapInPandas(write, INDEX))
+    return scratch.table("index", rows.mapInPandas(workers.task(write), INDEX))
 
 
 def read_records(index: DataFrame, with_html: bool = False, span: int = 64 << 20) -> DataFrame:
@@ -133,7 +133,7 @@ def read_records(index: DataFrame, with_html: bool = False, span: int = 64 << 20
             yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
         source.close()
 
-    return placed.mapInPandas(read, RECORD)
+    return placed.mapInPandas(workers.task(read), RECORD)
 
 
 def warc_round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:

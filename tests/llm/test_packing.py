@@ -20,7 +20,7 @@ def test_ids_equal_the_tokenizer(tokenizer):
     rng = random.Random(1)
     alphabet = [*"abAB'stTrel  \n\t.,!<|>019éÉßÄ–²½µ×́KİςΣ中\x1c\x85\xa0ªº\x00", "<|endoftext|>", "'s ", "'ll", "don't"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    coder = packing.ChunkIds(VOCABULARY, most=50)
+    coder = packing.ChunkIds(VOCABULARY, most_bytes=9000)
     for at in range(0, len(texts), 100):
         part = texts[at : at + 100]
         for t, got in zip(part, coder.encode(part), strict=True):
