@@ -2,7 +2,7 @@
 
 All rolling word k-grams of a document are joined by hash to the positions of the
 templates. A hit votes for the diagonal (document position - template position);
-votes of a diagonal are gathered as a bit set of template positions, neighbouring
+votes of a diagonal are gathered as bit sets of template positions, neighbouring
 diagonals of one template are merged (words were inserted or dropped), and a merged
 span counts if it covers enough of the template and isn't much longer than it. The
 join compares the k-gram itself besides its hash, so a hit is always real words.
@@ -18,12 +18,15 @@ other input columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WHOLE, WHOLE_KEY = -1, 4_142_433_123_457_001
+#: Positions of a template that one bit set holds; longer templates have several.
+SLOT = 62
 #: Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Sentences that public licenses and their notices are known by.
@@ -43,48 +46,84 @@ TEMPLATES = (
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or "
+        "other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+        "dealings in the software",
+        "mit",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with "
+        "regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special "
+        "direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "isc",
+    ),
 )
 
 
-def template_grams(spark, phrases=PHRASES, templates=TEMPLATES, k: int = 3) -> DataFrame:
-    """One row per template position (k-grams; 2-grams for phrases of two words): a few rows per word of the templates, whatever the corpus."""
+def template_rows(phrases=PHRASES, templates=TEMPLATES, k: int = 3) -> list[tuple]:
+    """(template, label, base, k, words, grams, position, gram, hash) of every template position (k-grams; 2-grams for phrases of two words).
+
+    The hash is the one that the SQL function xxhash64 gives for the words.
+    """
     rows = []
     for number, (text, label) in enumerate((*phrases, *templates)):
         words = text.split()
         size = min(k, len(words))
-        if len(words) - size + 1 > 62:
-            raise ValueError(f"a template may have {62 + size - 1} words: {text[:40]}")
         for at in range(len(words) - size + 1):
-            rows.append((number, label, number < len(phrases), size, len(words), len(words) - size + 1, at, " ".join(words[at : at + size])))
+            h = 42
+            for word in words[at : at + size]:
+                h = xxhash.xxh64_intdigest(word, h)
+            gram = " ".join(words[at : at + size])
+            rows.append((number, label, number < len(phrases), size, len(words), len(words) - size + 1, at, gram, h - (h >> 63 << 64)))
+    return rows
+
+
+def template_grams(spark, rows: list[tuple]) -> DataFrame:
+    """The same as a table: a few rows per word of the templates, whatever the corpus."""
     # meets the first word of each text and so carries its number of words
-    rows.append((WHOLE, None, False, 0, 0, 1, 0, ""))
-    schema = "template int, label string, base boolean, k int, t_words int, t_grams int, t_at int, t_gram string"
-    words = F.split("t_gram", " ")
-    key = F.when(F.col("k") == 0, WHOLE_KEY).when(F.col("k") == 2, F.xxhash64(F.get(words, F.lit(0)), F.get(words, F.lit(1))))
-    return spark.createDataFrame(rows, schema).withColumn("gram_hash", key.otherwise(F.xxhash64(*(F.get(words, F.lit(i)) for i in range(3)))))
+    rows = [*rows, (WHOLE, None, False, 0, 0, 1, 0, "", WHOLE_KEY)]
+    return spark.createDataFrame(rows, "template int, label string, base boolean, k int, t_words int, t_grams int, t_at int, t_gram string, gram_hash long")
 
 
 def _lowered(text: Column) -> Column:
-    """Lower case. Beyond A-Z it changes letters that are word characters before and after, so words keep their bounds."""
-    return F.lower(F.coalesce(text, F.lit("")))
+    """A-Z lower-cased. Beyond A-Z `lower` changes letters that are word characters before and after, so words keep their bounds; the Kelvin sign, the one that would become a plain letter, is set aside."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
 
 
-def gram_hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
+def gram_hits(docs: DataFrame, spark_grams: DataFrame, rows: list[tuple]) -> DataFrame:
     """Hits of all rolling k-grams of all texts, one row per document position and template position; docs(_id, _key, _text).
 
-    Grams are joined by the hash of their words; only on a hit the words are put together and compared.
+    Each position hashes its k-grams once; those that no template has leave at once, the
+    others are joined by hash, and only then the words are put together and compared.
     """
     words = F.regexp_extract_all(_lowered(F.col("_text")), F.lit(WORD), F.lit(0))
-    rows = docs.select("_id", "_key", words.alias("words")).select("_id", "_key", "words", F.posexplode("words").alias("at", "word"))
+    # outer, since the filter that is inferred for an inner one would cut every text into words a second time
+    places = docs.select("_id", "_key", words.alias("words")).select("_id", "_key", "words", F.posexplode_outer("words").alias("at", "word"))
     following = lambda n: F.get(F.col("words"), F.col("at") + n)
-    rows = rows.select("_id", "_key", "at", "word", following(1).alias("w1"), following(2).alias("w2"), F.size("words").cast("long").alias("n_words"))
-    keys = F.array(F.xxhash64("word", "w1"), F.xxhash64("word", "w1", "w2"))
-    first = F.array(F.lit(WHOLE_KEY), F.xxhash64("word", "w1"), F.xxhash64("word", "w1", "w2"))
-    rows = rows.select("*", F.explode(F.when(F.col("at") == 0, first).otherwise(keys)).alias("gram"))
-    small = F.broadcast(grams)  # bounded by the templates, which are parameters
-    two = F.concat(F.col("word"), F.lit(" "), F.col("w1"))
-    same = F.when(F.col("k") == 0, True).when(F.col("k") == 2, F.col("t_gram") == two).otherwise(F.col("t_gram") == F.concat(two, F.lit(" "), F.col("w2")))
-    return rows.join(small, (F.col("gram") == F.col("gram_hash")) & same).drop("gram", "gram_hash", "t_gram", "word", "w1", "w2")
+    sizes = sorted({r[3] for r in rows})
+    hashes = {n: F.xxhash64("word", *(following(i) for i in range(1, n))) for n in sizes}
+    wanted = {n: sorted({r[8] for r in rows if r[3] == n}) for n in sizes}
+    met = F.col("at") == 0
+    for n in sizes:
+        met = met | hashes[n].isin(wanted[n])
+    keys = [F.struct(F.lit(n).alias("size"), hashes[n].alias("hash")) for n in sizes]
+    whole = F.struct(F.lit(0).alias("size"), F.lit(WHOLE_KEY).alias("hash"))
+    found = places.where(met).select(
+        "_id", "_key", "at", F.size("words").cast("long").alias("n_words"), F.slice("words", F.col("at") + 1, max(sizes, default=1)).alias("words"),
+        F.explode(F.when(F.col("at") == 0, F.array(whole, *keys)).otherwise(F.array(*keys) if keys else F.array(whole))).alias("gram"),
+    )
+    gram = F.array_join(F.slice("words", 1, F.col("k")), " ")
+    same = (F.col("gram.size") == F.col("k")) & ((F.col("k") == 0) | (F.col("t_gram") == gram))
+    small = F.broadcast(spark_grams)  # bounded by the templates, which are parameters
+    return found.join(small, (F.col("gram.hash") == F.col("gram_hash")) & same).drop("gram", "gram_hash", "t_gram", "words")
 
 
 def scan(
@@ -96,16 +135,20 @@ def scan(
     spans: label, first word, end word and coverage of each verified span of the method.
     """
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
-    hits = gram_hits(texts, template_grams(docs.sparkSession, phrases, templates, k))
-    own = ["_id", "_key", "template"]
-    diagonals = hits.groupBy(*own, "label", "base", "k", "t_words", "t_grams", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, t_at)")).alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("n_words").alias("n_words")
+    grams = template_rows(phrases, templates, k)
+    hits = gram_hits(texts, template_grams(docs.sparkSession, grams), grams)
+    own = ["_id", "_key", "template", "label", "base", "k", "t_words", "t_grams"]
+    slot = F.floor(F.col("t_at") / SLOT).cast("int").alias("slot")
+    diagonals = hits.groupBy(*own, (F.col("at") - F.col("t_at")).alias("diagonal"), slot).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, t_at % {SLOT})")).alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("n_words").alias("n_words")
     )
-    along = W.partitionBy(*own).orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > slack).cast("int"), F.lit(0))
-    groups = diagonals.withColumn("apart", F.when(F.col("base"), 1).otherwise(apart)).withColumn("part", F.sum("apart").over(along))
-    spans = groups.groupBy(*own, "label", "base", "k", "t_words", "t_grams", "part").agg(
-        F.bit_count(F.bit_or("votes")).alias("n"), F.min("low").alias("low"), (F.max("high") + F.first("k")).alias("high"), F.max("n_words").alias("n_words")
+    along = W.partitionBy("_id", "_key", "template").orderBy("diagonal", "slot")
+    step = F.col("diagonal") - F.lag("diagonal").over(along)
+    apart = F.coalesce((step > F.when(F.col("base"), 0).otherwise(slack)).cast("int"), F.lit(0))
+    groups = diagonals.withColumn("apart", apart).withColumn("part", F.sum("apart").over(along))
+    voted = groups.groupBy(*own, "part", "slot").agg(F.bit_or("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("n_words").alias("n_words"))
+    spans = voted.groupBy(*own, "part").agg(
+        F.sum(F.bit_count("votes")).alias("n"), F.min("low").alias("low"), (F.max("high") + F.first("k")).alias("high"), F.max("n_words").alias("n_words")
     )
     spans = spans.withColumn("cover", F.col("n") / F.col("t_grams"))
     whole = F.col("template") == WHOLE

@@ -55,3 +55,66 @@ def test_inserted_and_dropped_words_merge_diagonals(spark):
 def test_plan_has_no_python(spark, edges):
     plan = licenses.scan(edges)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def voted(text, slack=4, coverage=0.6, stretch=1.5):
+    """The method in plain Python: labels and score of a text."""
+    words = WORD.findall((text or "").translate(LOWER))
+    labels, score = set(base(text)[4].split(",")) - {""}, 0.0
+    for phrase, _ in licenses.PHRASES:
+        own = phrase.split()
+        if any(words[i : i + len(own)] == own for i in range(len(words))):
+            score = 1.0
+    for template, label in licenses.TEMPLATES:
+        own = template.split()
+        votes = {}
+        for i in range(len(words) - 2):
+            for j in range(len(own) - 2):
+                if words[i : i + 3] == own[j : j + 3]:
+                    votes.setdefault(i - j, []).append((i, j))
+        last, groups = None, []
+        for diagonal in sorted(votes):
+            if last is None or diagonal - last > slack:
+                groups.append([])
+            groups[-1] += votes[diagonal]
+            last = diagonal
+        for group in groups:
+            cover = len({j for _, j in group}) / (len(own) - 2)
+            length = max(i for i, _ in group) + 3 - min(i for i, _ in group)
+            if cover >= coverage and length <= stretch * len(own):
+                labels.add(label)
+                score = max(score, cover)
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_labels_and_score_against_plain_voting(spark):
+    rng = random.Random(5)
+    texts = []
+    for i in range(250):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            own = rng.choice(licenses.TEMPLATES)[0].split()
+            own = [w for w in own if rng.random() > rng.choice([0, 0.02, 0.1])]
+            cut = rng.randint(0, len(own) // 2)
+            words += ["x"] * rng.randint(0, 3) + own[cut : rng.randint(cut, len(own) + 5)]
+            if rng.random() < 0.3:
+                words.insert(rng.randint(0, len(words)), "Inserted")
+        texts.append((i, " ".join(words)))
+    texts += [(900, licenses.TEMPLATES[-2][0]), (901, licenses.TEMPLATES[-1][0].upper()), (902, "mit license " * 100)]
+    found = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in licenses.scan(frame(spark, texts)).collect()}
+    assert found == {i: voted(t) for i, t in texts}
+    assert len({v for v in found.values()}) > 30
+
+
+def test_hashes_are_those_of_sql(spark):
+    rows = licenses.template_rows()
+    table = licenses.template_grams(spark, rows).where("k > 0").selectExpr("gram_hash", "xxhash64(get(split(t_gram, ' '), 0), get(split(t_gram, ' '), 1), get(split(t_gram, ' '), 2)) as h")
+    assert table.where("gram_hash <> h").count() == 0 and table.count() == len(rows)
+
+
+def test_long_phrases_and_kelvin_signs(spark):
+    phrase = " ".join(f"word{i}" for i in range(150))
+    rows = licenses.scan(frame(spark, [(1, phrase + " " + phrase), (2, phrase[:-1]), (3, "a book to keep safe"), (4, "a booK to Keep safe")]), ((phrase, "long"),), (("a book to keep safe", "book"),)).collect()
+    found = {r["doc_id"]: r for r in rows}
+    assert (found[1]["n_base"], found[1]["first_word"], found[1]["last_word"]) == (2, 0, 150)
+    assert found[2]["n_base"] == 0 and found[3]["labels"] == "book" and found[4]["labels"] == ""
