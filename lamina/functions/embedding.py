@@ -24,6 +24,20 @@ def stub_embedding(text: Column, dim: int = 32) -> Column:
     return l2_normalised(slots)
 
 
+def mean_pooled(tokens: Column, mask: Column) -> Column:
+    """Unit vector along the mean of the token vectors whose mask isn't 0; zeros where there are none."""
+    kept = F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda t: t["m"] != 0)
+    zeros = F.transform(F.element_at(tokens, 1), lambda x: F.lit(0.0))
+    total = F.aggregate(kept, zeros, lambda acc, t: F.zip_with(acc, t["v"], lambda a, x: a + x.cast("double")))
+    count = F.greatest(F.size(kept), F.lit(1))
+    return l2_normalised(F.transform(total, lambda x: x / count))
+
+
+def cls_pooled(tokens: Column) -> Column:
+    """Unit vector along the first token's."""
+    return l2_normalised(F.element_at(tokens, 1))
+
+
 _REGISTRY: dict[tuple[str, int], Callable[[Column], Column]] = {}
 
 
@@ -31,16 +45,31 @@ def register(name: str, dim: int, embed: Callable[[Column], Column]) -> None:
     _REGISTRY[name, dim] = embed
 
 
-def register_model(name: str, dim: int, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> None:
-    """A model loaded once per task; batches of texts go through it whole."""
+def register_model(name: str, dim: int, load: Callable[[], Callable[[list[str]], list]], pooling: str | None = None, batch: int = 32) -> None:
+    """A model loaded once per task; texts go through it `batch` at a time.
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Without pooling it gives a vector for each text; with "mean" or "cls" it gives, for each
+    text, the vectors of its tokens, which are pooled by column expressions.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
-            yield pd.Series(model(texts.fillna("").to_list()))
+            every = texts.fillna("").to_list()
+            yield pd.Series([v for at in range(0, len(every), batch) for v in model(every[at : at + batch])])
 
-    register(name, dim, embed)
+    @F.pandas_udf("array<float>" if pooling is None else "array<array<float>>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from run(batches)
+
+    if pooling is None:
+        register(name, dim, embed)
+    elif pooling == "cls":
+        register(name, dim, lambda text: cls_pooled(embed(text)))
+    elif pooling == "mean":
+        register(name, dim, lambda text: F.transform(F.array(embed(text)), lambda t: mean_pooled(t, F.transform(t, lambda _: F.lit(1))))[0])
+    else:
+        raise ValueError(f"unknown pooling {pooling!r}")
 
 
 def embedder(name: str, dim: int) -> Callable[[Column], Column]:

@@ -35,6 +35,14 @@ def timestamp_ms(text: str) -> int:
     return parse(text) >> 80
 
 
+def timed(ms: Column, seed: Column) -> Column:
+    """An id column of a time, with the other 80 bits from a hash of `seed`."""
+    letter = lambda value: F.substring(F.lit(ALPHABET), (value.bitwiseAND(31) + 1).cast("int"), F.lit(1))
+    head = F.transform(F.sequence(F.lit(45), F.lit(0), F.lit(-5)), lambda shift: letter(F.call_function("shiftright", ms, shift)))
+    rest = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: letter(F.xxhash64(seed, i)))
+    return F.array_join(F.concat(head, rest), "")
+
+
 def created_ms(ids: Column) -> Column:
     """Milliseconds since 1970 of an id column, from its first ten characters."""
     digits = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.position(F.substring(ids, i, F.lit(1)), F.lit(ALPHABET)) - 1)

@@ -21,42 +21,56 @@ def nearest(corpus: DataFrame, query: list[float], k: int, id_col: str = "id", v
     return scored.orderBy("distance", id_col).limit(k)
 
 
-def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", block: int = 2000) -> DataFrame:
-    """(qid, id, distance, rank) of the k nearest rows for every row of queries(qid, embedding).
+def nearest_per_id(corpus: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """The k ids nearest to one vector where an id may have several: each counts by its nearest one, once."""
+    scored = corpus.where(F.size(vec_col) == len(query)).select(id_col, vectors.rounded(vectors.cosine_distance(F.col(vec_col), vectors.literal(query))).alias("distance"))
+    return scored.groupBy(id_col).agg(F.min("distance").alias("distance")).orderBy("distance", id_col).limit(k)
 
-    The query set is read in blocks of bounded size that travel to the tasks; a task keeps k
-    candidates per query, so k rows per query and task meet in the final ranking.
-    """
-    total, parts = queries.count(), []
-    numbered = queries.select("qid", vec_col)
-    blocks = max(1, -(-total // block))
-    if blocks > 1:
-        numbered = numbered.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+
+def _query_blocks(queries: DataFrame, vec_col: str, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the query set, in blocks of bounded size."""
+    blocks = max(1, -(-queries.count() // block))
+    numbered = queries.select("qid", vec_col).withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
     for b in range(blocks):
-        own = (numbered.where(F.col("_b") == b) if blocks > 1 else numbered).orderBy("qid").collect()
-        if not own:
-            continue
-        ids = np.array([r["qid"] for r in own], np.int64)
-        q = np.array([r[vec_col] for r in own], np.float64)
-
-        def scan(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            best_d = np.full((len(q), 0), 0.0)
-            best_i = np.full((len(q), 0), 0, np.int64)
-            for batch in batches:
-                lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                ok = lengths == q.shape[1]
-                key = batch.column(0).to_numpy()[ok]
-                x = batch.column(1).filter(pa.array(ok)).flatten().to_numpy().astype(np.float64).reshape(-1, q.shape[1])
-                for at in range(0, len(x), 8192):
-                    d = np.round(1.0 - q @ x[at : at + 8192].T, 6) + 0.0
-                    best_d = np.hstack([best_d, d])
-                    best_i = np.hstack([best_i, np.broadcast_to(key[at : at + 8192], d.shape)])
-                    keep = np.lexsort((best_i, best_d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(best_d, keep, 1), np.take_along_axis(best_i, keep, 1)
-            if best_d.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["qid", "id", "distance"])
-
-        parts.append(corpus.select(F.col(id_col).cast("long"), vec_col).mapInArrow(scan, "qid long, id long, distance double"))
+        own = numbered.where(F.col("_b") == b).orderBy("qid").collect()
+        if own:
+            yield np.array([r["qid"] for r in own], np.int64), np.array([r[vec_col] for r in own], np.float64)
+
+
+def _merged_best(best: tuple[np.ndarray, np.ndarray], d: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest (distance, id) of each row, of those so far and new ones."""
+    best_d, best_i = np.hstack([best[0], d]), np.hstack([best[1], np.broadcast_to(key, d.shape)])
+    keep = np.lexsort((best_i, best_d), axis=1)[:, :k]
+    return np.take_along_axis(best_d, keep, 1), np.take_along_axis(best_i, keep, 1)
+
+
+def _scanned(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """(qid, id, distance) of at most k rows per query and task; with centres, only rows of the `probes` lists nearest to the query are compared."""
+    open_lists = None if centres is None else np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = (np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max))
+        for batch in batches:
+            lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            ok = lengths == q.shape[1]
+            key = batch.column(0).to_numpy()[ok]
+            x = batch.column(1).filter(pa.array(ok)).flatten().to_numpy().astype(np.float64).reshape(-1, q.shape[1])
+            if centres is None:
+                groups = [(slice(None), slice(at, at + 8192)) for at in range(0, len(x), 8192)]
+            else:
+                own = np.argmax(x @ centres.T, axis=1)
+                groups = [(np.flatnonzero((open_lists == c).any(axis=1)), np.flatnonzero(own == c)) for c in np.unique(own).tolist()]
+            for rows, some in groups:
+                d = np.round(1.0 - q[rows] @ x[some].T, 6) + 0.0
+                found = _merged_best((best[0][rows], best[1][rows]), d, key[some], k)
+                best[0][rows], best[1][rows] = found
+        hit = np.isfinite(best[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, hit.sum(axis=1))), pa.array(best[1][hit]), pa.array(best[0][hit])], names=["qid", "id", "distance"])
+
+    return corpus.mapInArrow(scan, "qid long, id long, distance double")
+
+
+def _ranked(parts: list[DataFrame], corpus: DataFrame, k: int) -> DataFrame:
     if not parts:
         return corpus.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
     found = parts[0]
@@ -66,6 +80,41 @@ def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", block: int = 2000) -> DataFrame:
+    """(qid, id, distance, rank) of the k nearest rows for every row of queries(qid, embedding).
+
+    The query set is read in blocks of bounded size that travel to the tasks; a task keeps k
+    candidates per query, so k rows per query and task meet in the final ranking.
+    """
+    rows = corpus.select(F.col(id_col).cast("long"), vec_col)
+    return _ranked([_scanned(rows, ids, q, k) for ids, q in _query_blocks(queries, vec_col, block)], corpus, k)
+
+
+def centres_of(corpus: DataFrame, lists: int, sample: int, id_col: str = "id", vec_col: str = "embedding", rounds: int = 12) -> np.ndarray:
+    """Directions of `lists` groups of unit vectors, by spherical k-means on a bounded sample (the smallest hashes of the ids)."""
+    rows = corpus.select(id_col, vec_col).orderBy(F.xxhash64(F.lit(3), id_col), id_col).limit(sample).collect()
+    x = np.array([r[vec_col] for r in rows], np.float64)
+    centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)] if len(x) else np.zeros((1, 1))
+    for _ in range(rounds if len(x) else 0):
+        own = np.argmax(x @ centres.T, axis=1)
+        for c in range(len(centres)):
+            total = x[own == c].sum(axis=0)
+            size = np.sqrt((total**2).sum())
+            if size > 0:
+                centres[c] = total / size
+    return centres
+
+
+def nearest_lists(
+    corpus: DataFrame, queries: DataFrame, k: int, lists: int = 32, probes: int = 16, sample: int = 20_000,
+    id_col: str = "id", vec_col: str = "embedding", block: int = 2000,
+) -> DataFrame:
+    """Approximate `nearest_batch`: every row belongs to the list of its nearest centre, and a query meets the rows of its `probes` nearest lists only."""
+    centres = centres_of(corpus, lists, sample, id_col, vec_col)
+    rows = corpus.select(F.col(id_col).cast("long"), vec_col)
+    return _ranked([_scanned(rows, ids, q, k, centres, probes) for ids, q in _query_blocks(queries, vec_col, block)], corpus, k)
+
+
 def nearest_lsh(corpus: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "embedding", tables: int = 8, length: float = 1.0) -> DataFrame:
     """Approximate: random-projection hashing proposes rows, exact distances rank them."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

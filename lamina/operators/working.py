@@ -13,6 +13,12 @@ def last_turns(turns: DataFrame, n: int) -> DataFrame:
     return turns.withColumn("_back", rank).where(F.col("_back") <= n).drop("_back")
 
 
+def timer_checkpoints(turns: DataFrame, seconds: int = 30) -> DataFrame:
+    """(session_id, flushes): saves by a timer alone, which writes at its tick if any turn came since the last one."""
+    tick = F.floor(F.unix_seconds("turn_at") / seconds)
+    return turns.groupBy("session_id").agg(F.count_distinct(tick).alias("flushes"))
+
+
 def turn_checkpoints(turns: DataFrame, every: int = 5) -> DataFrame:
     """Turns after which a session is saved: whenever `every` turns wait, and at its end (a clean close saves what is left)."""
     by_turn = W.partitionBy("session_id").orderBy("turn_idx")

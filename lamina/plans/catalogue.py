@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lamina.functions import embedding, scoring, text, vectors
+from lamina.functions import embedding, scoring, text, ulid, vectors
 from lamina.operators import episodic, knn, oplog, tiers, working
 from lamina.plans import context, diagnostics
 from lamina.plans.recall import recall
+from lamina.schemas import MEMORY_KINDS, OPLOG
 from lamina.session import Scratch
-from lamina.sources import cold, testdata
+from lamina.sources import cold, pins, sessions, testdata
+from lamina.sources.store import OpLogStore
 from lamina.sources.testdata import Layers
 from lamina.streaming import events as streams
+from lamina.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -526,3 +529,195 @@ def stream_dedup(t: Layers) -> DataFrame:
 @query("select conv_id as session_id, (count(*) // 5)::bigint as full_checkpoints, count(*) as turns from conversations group by conv_id")
 def stream_checkpoints(t: Layers) -> DataFrame:
     return streams.checkpointed_sessions(t.spark, t.sf_dir)
+
+
+# ---- ids, kinds, tags and pooling
+
+
+@query("select id, kind in ('fact', 'decision', 'preference', 'conversation') and id % 3 = 0 as valid from items")
+def valid_kinds(t: Layers) -> DataFrame:
+    given = F.when(F.col("id") % 3 == 0, F.col("kind")).when(F.col("id") % 3 == 1, F.upper("kind")).otherwise(F.concat("kind", F.lit(" ")))
+    return t.semantic.select("id", text.valid_kind(given).alias("valid"))
+
+
+@query("select id, case id % 3 when 0 then [scope, source] when 1 then [] end as tags from items")
+def tags_strict(t: Layers) -> DataFrame:
+    """An array or nothing; a string that holds an array is refused."""
+    quoted = F.to_json(F.array("scope", "source"))
+    nested = F.concat(F.lit('"'), F.replace(quoted, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    argument = F.when(F.col("id") % 3 == 0, quoted).when(F.col("id") % 3 == 1, F.lit("null")).otherwise(nested)
+    return t.semantic.select("id", text.parsed_tags(argument, nested=False).alias("tags"))
+
+
+@query("select distinct cast(session_id as varchar) as session_id from turns")
+def session_uri(t: Layers) -> DataFrame:
+    tail = F.element_at(F.array(*map(F.lit, ("", "?x=1", "#top", "/turns"))), (F.col("session_id") % 4 + 1).cast("int"))
+    uri = F.concat(F.lit("memory://session/"), F.col("session_id").cast("string"), tail)
+    return t.turns.select(text.session_id_of(uri).alias("session_id")).distinct()
+
+
+@query("select id, (epoch_us(created_at) // 1000)::bigint as ms, 26 as n from epi")
+def ulid_times(t: Layers) -> DataFrame:
+    made = ulid.timed(F.unix_millis("created_at"), F.col("id"))
+    return t.episodic.select("id", made.alias("u")).select("id", ulid.created_ms(F.col("u")).alias("ms"), F.length("u").alias("n"))
+
+
+@query("select id, row_number() over (order by epoch_ms(created_at), id)::bigint as pos from (select min(id) as id, created_at from (select id, date_trunc('second', created_at) as created_at from epi) group by created_at)")
+def ulid_order(t: Layers) -> DataFrame:
+    """Ids sort as their times do: one event of each second."""
+    rows = t.episodic.groupBy(F.date_trunc("second", "created_at").alias("created_at")).agg(F.min("id").alias("id"))
+    return _positions(rows.select("id", ulid.timed(F.unix_millis("created_at"), F.col("id")).alias("u")), "u").select("id", "pos")
+
+
+_TOKENS = "select id, list_transform(range(0, 16), lambda i: list_transform(range(1, 5), lambda d: v.embedding[4 * i + d]::double)) as tokens from vecs v"
+_UNIT = "list_transform(s, lambda x: round(x / greatest(sqrt(list_inner_product(s, s)), 1.1920929e-07), 6) + 0.0)"
+
+
+def _tokens(t: Layers) -> DataFrame:
+    """Vectors of 64 values as 16 token vectors of four."""
+    cut = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", 4 * i + 1, F.lit(4)))
+    return t.vectors.select("id", cut.alias("tokens"))
+
+
+@query(
+    f"select id, {_UNIT} as pooled from (select id, list_transform(range(1, 5), lambda d: list_sum(list_transform(kept, lambda x: x[d])) / len(kept)) as s from k)",
+    k=f"select id, list_transform(list_filter(range(1, 17), lambda i: i <= 4 + id % 13), lambda i: tokens[i]) as kept from ({_TOKENS})",
+)
+def pooling_mean(t: Layers) -> DataFrame:
+    mask = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: (i <= 4 + F.col("id") % 13).cast("int"))
+    return _tokens(t).select("id", F.transform(embedding.mean_pooled(F.col("tokens"), mask), lambda x: vectors.rounded(x)).alias("pooled"))
+
+
+@query(f"select id, {_UNIT} as pooled from (select id, tokens[1] as s from k)", k=_TOKENS)
+def pooling_cls(t: Layers) -> DataFrame:
+    return _tokens(t).select("id", F.transform(embedding.cls_pooled(F.col("tokens")), lambda x: vectors.rounded(x)).alias("pooled"))
+
+
+# ---- vectors of several rows, and of other dimensions
+
+
+@query(f"select id, min(distance) as distance from d group by id order by min(distance), id limit 10", d=f"select v.id // 3 as id, {_DIST} as distance from vecs v")
+def knn_min_per_id(t: Layers) -> DataFrame:
+    return knn.nearest_per_id(t.vectors.withColumn("id", F.floor(F.col("id") / 3)), t.query_vector(VEC), 10)
+
+
+@query("select id as lsn, id from vecs where id > 20 and id % 4 <> 1")
+def replay_skips_other_dimensions(t: Layers) -> DataFrame:
+    """Every fourth vector was written under a model of another dimension, every sixth op has none."""
+    vector = F.when(F.col("id") % 4 == 1, F.slice("embedding", 1, 8)).when(F.col("id") % 6 == 0, F.lit(None)).otherwise(F.col("embedding"))
+    return oplog.replay(t.vectors.withColumn("embedding", vector).withColumn("lsn", F.col("id")), 20, 64).select("lsn", "id")
+
+
+# ---- the file stores
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://")
+
+
+def _pin_file(t: Layers) -> str:
+    """The pins as a file that people edit: a comment and a blank before each line."""
+    path = Scratch(t.spark, "pins").path("pinned.jsonl")
+    stamp = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = F.to_json(F.struct(F.col("id").cast("string").alias("id"), "content", "scope", stamp.alias("created_at")))
+    t.pins.orderBy("line_no").select(F.explode(F.array(F.lit("# rule"), F.lit(""), line)).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+@query("select cast(id as varchar) as id, content, scope, created_at, 3 * row_number() over (order by line_no) as line_no from pins")
+def pinned_file_read(t: Layers) -> DataFrame:
+    return pins.read(t.spark, _pin_file(t)).select("id", "content", "scope", "created_at", "line_no")
+
+
+@query("select count(*) as n from pins")
+def pinned_line_count(t: Layers) -> DataFrame:
+    return t.spark.range(1).select(F.lit(pins.count_lines(t.spark, _pin_file(t))).cast("long").alias("n"))
+
+
+@query("select content, scope from pins where line_no < 30 and line_no % 3 <> 0")
+def pin_and_unpin(t: Layers) -> DataFrame:
+    path = _local(Scratch(t.spark, "pins").path("pinned.jsonl"))
+    for r in t.pins.where("line_no < 30").orderBy("line_no").collect():  # 30 rows at most
+        made = pins.append(path, r["content"], r["scope"])
+        if r["line_no"] % 3 == 0:
+            pins.remove(path, made)
+    return pins.read(t.spark, path).select("content", "scope")
+
+
+@query("select cast(session_id as varchar) as session_id, (row_number() over (partition by session_id order by turn_idx) - 1)::int as turn_idx, role, content, turn_at from turns where session_id < 5")
+def session_files(t: Layers) -> DataFrame:
+    folder = _local(Scratch(t.spark, "sessions").path("saved"))
+    saved: dict[int, list] = {}
+    for r in t.turns.where("session_id < 5").orderBy("session_id", "turn_idx").collect():  # five sessions
+        saved.setdefault(r["session_id"], []).append({"role": r["role"], "content": r["content"], "at": r["turn_at"].isoformat() + "Z"})
+    for number, turns in saved.items():
+        sessions.write(folder, {"id": str(number), "turns": turns, "started_at": None, "last_checkpoint_at": None, "clean_shutdown": False})
+    return sessions.turns(sessions.read(t.spark, folder)).select("session_id", "turn_idx", "role", "content", "turn_at")
+
+
+def _committed(t: Layers) -> OpLogStore:
+    """The op log through group commit, as a stream, into a store."""
+    scratch = Scratch(t.spark, "store")
+    log = _log(t).withColumn("id", F.col("id").cast("string"))
+    missing = [F.lit(None).cast(f.dataType.simpleString()).alias(f.name) for f in OPLOG.fields if f.name not in log.columns]
+    log.select("*", *missing).select([f.name for f in OPLOG.fields]).orderBy("lsn").coalesce(1).write.parquet(scratch.path("ops"))
+    store = OpLogStore(t.spark, _local(scratch.path("store")), 64)
+    jobs.group_commit(t.spark.readStream.schema(OPLOG).parquet(scratch.path("ops")), store, scratch.path("checkpoint")).awaitTermination()
+    return store
+
+
+@query("select cast(id as varchar) as id, content, scope from m", log=_LOG_SQL, cut="select id, max(lsn) as cut from log where op = 'delete' group by id",
+       alive="select log.* from log left join cut on log.id = cut.id where op <> 'delete' and (cut is null or lsn > cut)",
+       m="""select id, arg_max(content, lsn) filter (where content is not null) as content, arg_max(scope, lsn) filter (where scope is not null) as scope
+            from alive group by id having bool_or(op in ('insert', 'replace'))""")
+def group_commit_state(t: Layers) -> DataFrame:
+    """The store's rows after a group commit and a compaction."""
+    store = _committed(t)
+    store.compact()
+    store.close()
+    return store.items().select("id", "content", "scope")
+
+
+@query("select count(*) as lsn, count(*) as pending from log", log=_LOG_SQL)
+def group_commit_lsn(t: Layers) -> DataFrame:
+    store = _committed(t)
+    store.close()
+    return t.spark.range(1).select(F.lit(store.last_lsn()).cast("long").alias("lsn"), F.lit(store.pending()).cast("long").alias("pending"))
+
+
+# ---- events and timers
+
+
+@query("select id, case when id = (select max(id) from t where tier = 'hot') then timestamp '2024-02-01 00:00:00' else last_accessed end as last_accessed from t", t=_tier_sql())
+def touch_event(t: Layers) -> DataFrame:
+    rows = _tiered(t)
+    last = rows.where("tier = 'hot'").agg(F.max("id")).first()[0]
+    return episodic.touch(rows, last, _now()).select("id", "last_accessed")
+
+
+@query("select session_id, count(distinct epoch(turn_at)::bigint // 30)::bigint as flushes from turns group by session_id")
+def checkpoint_timer(t: Layers) -> DataFrame:
+    """Saves of each session by the timer alone: one at the end of each 30 seconds in which a turn came."""
+    return working.timer_checkpoints(t.turns, 30)
+
+
+@query("select count(*) as ran, (select count(*) from k) as ticks from k where not exists (select 1 from a where a.tick = k.tick)",
+       k="select unnest(generate_series(time_bucket(interval 60 minute, min(created_at)), time_bucket(interval 60 minute, max(created_at)), interval 60 minute)) as tick from epi",
+       a="select distinct time_bucket(interval 60 minute, created_at) as tick from epi")
+def idle_gate_runs(t: Layers) -> DataFrame:
+    """How often consolidation would have run, at hourly ticks, with the events' writes as activity."""
+    return streams.gate_runs(t.episodic, 60)
+
+
+# ---- approximate search
+
+
+@query("select 10::bigint as least, true as enough")
+def ann_lists_recall(t: Layers) -> DataFrame:
+    """Approximate search for every hundredth vector against exact search: rows of the worst query, and whether 0.9 of all were found."""
+    queries = t.vectors.where("id % 100 = 0").selectExpr("id as qid", "embedding")
+    near = knn.nearest_lists(t.vectors, queries, 10)
+    exact = knn.nearest_batch(t.vectors, queries, 10)
+    hits = exact.select("qid", "id").join(near.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left").groupBy("qid").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    rows = hits.join(near.groupBy("qid").agg(F.count("*").alias("found")), "qid", "left")
+    return rows.agg(F.min(F.coalesce("found", F.lit(0))).alias("least"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("enough"))

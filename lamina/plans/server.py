@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime
 import json
+from collections.abc import Iterator
 from typing import IO
 
-from lamina.plans.tools import RESOURCES, TOOLS, Engine, InvalidArguments, NotFound
+from lamina.plans.tools import RESOURCES, Engine, InvalidArguments, NotFound, descriptors
 
 #: Error codes of the protocol and the longest frame.
 PARSE_ERROR, INVALID_REQUEST, NO_METHOD, INTERNAL = -32700, -32600, -32601, -32603
@@ -43,7 +44,7 @@ class Server:
         if method == "ping":
             return {}
         if method == "tools/list":
-            return {"tools": [{"name": t} for t in TOOLS]}
+            return {"tools": descriptors()}
         if method == "resources/list":
             return {"resources": [{"uri": SCHEME + r, "name": r} for r in RESOURCES]}
         if method == "tools/call":
@@ -72,12 +73,22 @@ class Server:
         except Exception as e:  # noqa: BLE001  the loop goes on
             return reply | {"error": {"code": INTERNAL, "message": str(e)[:500]}}
 
+    @staticmethod
+    def _frames(source: IO[str]) -> Iterator[tuple[str, bool]]:
+        """(line, whether it is whole); of a line beyond the cap only the cap's part is ever held."""
+        while line := source.readline(LONGEST + 1):
+            whole = len(line) <= LONGEST or line.endswith("\n")
+            while not whole and (more := source.readline(1 << 20)) and not more.endswith("\n"):
+                pass
+            yield line, whole and len(line) <= LONGEST + 1
+
     def serve(self, source: IO[str], sink: IO[str]) -> None:
         """Read lines until the end; blanks are skipped, an oversized frame is answered with an error and dropped."""
-        for line in source:
+        self.engine.open()
+        for line, whole in self._frames(source):
             if not line.strip():
                 continue
-            reply = self.answer(line) if len(line) <= LONGEST else {"jsonrpc": "2.0", "id": None, "error": {"code": INVALID_REQUEST, "message": "frame too long"}}
+            reply = self.answer(line) if whole else {"jsonrpc": "2.0", "id": None, "error": {"code": INVALID_REQUEST, "message": "frame too long"}}
             if reply is not None:
                 sink.write(json.dumps(reply, ensure_ascii=False) + "\n")
                 sink.flush()

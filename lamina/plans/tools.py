@@ -5,9 +5,12 @@ Write calls default to the current scope, read calls to all scopes.
 
 from __future__ import annotations
 
+import inspect
 import json
 import math
 import os
+import shutil
+import threading
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,12 @@ from lamina.sources import backup, cold, config, pins, sessions
 from lamina.sources.store import OpLogStore
 
 TOOLS = ("remember", "recall", "update", "forget", "pin", "unpin", "recall_recent", "summarize_session", "record_event", "switch_scope", "stats", "list_scopes", "export")
+#: JSON types of the tools' arguments, and those that must be given.
+ARGUMENTS = {
+    "content": "string", "type": "string", "tags": "array", "scope": "string", "query": "string", "limit": "integer", "id": "string", "kind": "string", "payload": "object",
+    "retrieval_weight": "number", "events": "integer", "limit_per_layer": "integer", "pinned": "boolean", "mode": "string",
+}
+REQUIRED = {"remember": ("content",), "recall": ("query",), "update": ("id",), "pin": ("content",), "unpin": ("id",), "record_event": ("kind",), "switch_scope": ("scope",)}
 RESOURCES = ("context", "recent", "procedural", "stats", "session")
 
 
@@ -66,6 +75,17 @@ def _kind(value, default: str | None = None):
     return value
 
 
+def descriptors() -> list[dict]:
+    """Name, description and argument schema of every tool, from the methods that answer them."""
+    out = []
+    for tool in TOOLS:
+        names = list(inspect.signature(getattr(Engine, tool)).parameters)[1:]
+        typed = {"type" if n == "kind" and tool in ("remember", "recall", "update") else n for n in names}
+        schema = {"type": "object", "properties": {n: {"type": ARGUMENTS[n]} for n in sorted(typed)}, "required": list(REQUIRED.get(tool, ()))}
+        out.append({"name": tool, "description": (getattr(Engine, tool).__doc__ or "").strip(), "inputSchema": schema})
+    return out
+
+
 class Engine:
     """All tools over one data folder, for one process."""
 
@@ -79,6 +99,9 @@ class Engine:
         self.scope = self.settings.scopes.default
         self.session = {"id": ulid.new(), "turns": [], "started_at": self._now(), "last_checkpoint_at": None, "clean_shutdown": False}
         self.unsaved, self.embed = 0, embedding.embedder(model, dim)
+        #: Writes of any layer so far; background work waits until it stands still.
+        self.activity, self.checkpoints_total = 0, 0
+        self.lock, self.timers, self.opened = threading.RLock(), [], False
 
     @staticmethod
     def _now() -> str:
@@ -88,18 +111,30 @@ class Engine:
 
     def events(self) -> DataFrame:
         """Live events with their tier."""
-        folder = f"{self.root}/episodic/events"
+        folder = self._events_folder()
         if not os.path.isdir(folder):
             return self.spark.createDataFrame([], EPISODIC_EVENT).withColumn("tier", F.lit("hot"))
         return self.spark.read.parquet(folder)
 
     def _rewrite_events(self, rows: DataFrame) -> None:
-        """Replace the event table: written beside, then swapped."""
-        target = f"{self.root}/episodic/events"
-        rows.write.mode("overwrite").parquet(f"{target}.new")
-        if os.path.isdir(target):
-            os.replace(target, f"{target}.old-{ulid.new()}")
-        os.replace(f"{target}.new", target)
+        """Replace the event table: written beside, then the pointer is swapped, then the old one goes."""
+        made = f"events-{ulid.new()}"
+        rows.write.parquet(f"{self.root}/episodic/{made}")
+        old = self._events_folder()
+        pointer = f"{self.root}/episodic/current"
+        with open(f"{pointer}.tmp", "w") as f:
+            f.write(made)
+        os.replace(f"{pointer}.tmp", pointer)  # from here on the new table is the one
+        shutil.rmtree(old, ignore_errors=True)  # forgotten events don't stay on disk
+
+    def _events_folder(self) -> str:
+        """The folder of the event table: the one that the pointer names, at first the plain one."""
+        pointer = f"{self.root}/episodic/current"
+        name = "events"
+        if os.path.exists(pointer):
+            with open(pointer) as f:
+                name = f.read().strip()
+        return f"{self.root}/episodic/{name}"
 
     def _vector(self, value: str) -> list[float]:
         return [float(x) for x in self.spark.range(1).select(self.embed(F.lit(value)).alias("v")).first()["v"]]
@@ -109,9 +144,17 @@ class Engine:
         event_id = ulid.new()
         row = (event_id, kind, scope, payload, tags, weight, now, now)
         frame = self.spark.createDataFrame([row], EPISODIC_EVENT).withColumn("tier", F.lit("hot"))
-        frame.coalesce(1).write.mode("append").parquet(f"{self.root}/episodic/events")
+        frame.coalesce(1).write.mode("append").parquet(self._events_folder())
+        self.activity += 1
         return event_id
 
+    def _log(self, op: dict) -> None:
+        """Append an op and compact when enough of them wait."""
+        self.store.append([op])
+        self.activity += 1
+        if self.store.pending() >= self.settings.checkpoints.snapshot_inserts:
+            self.store.compact()
+
     def _turn(self, role: str, content: str) -> None:
         self.session["turns"].append({"role": role, "content": content, "at": self._now()})
         self.unsaved += 1
@@ -122,9 +165,28 @@ class Engine:
         self.session |= {"last_checkpoint_at": self._now(), "clean_shutdown": clean}
         sessions.write(f"{self.root}/sessions", self.session)
         self.unsaved = 0
+        self.checkpoints_total += 1
+
+    def open(self, timers: bool = True) -> None:
+        """Begin to serve: the event that opens the session, and the background jobs."""
+        from lamina.streaming import jobs
+
+        self.opened = True
+        start = {"session_id": self.session["id"], "started_at": self.session["started_at"], "embedder": self.store.model, "embed_dim": self.store.dim}
+        self._append_event("session_start", json.dumps(start), self.scope, [], 0.5)
+        if timers:
+            self.timers = [jobs.checkpoints(self), jobs.consolidations(self)]
 
     def close(self) -> None:
+        """Stop the jobs, close the session with its event, save it, and compact what waits."""
+        for timer in self.timers:
+            timer.stop()
+        if self.opened:
+            end = {"session_id": self.session["id"], "ended_at": self._now(), "clean_shutdown": True, "turns_total": len(self.session["turns"]), "checkpoints_total": self.checkpoints_total}
+            self._append_event("session_end", json.dumps(end), self.scope, [], 0.5)
         self.checkpoint(clean=True)
+        if self.store.pending():
+            self.store.compact()
         self.store.close()
 
     # -- dispatch
@@ -133,7 +195,10 @@ class Engine:
         """Run a tool and record the call in the event log, or the failure without its arguments."""
         if tool not in TOOLS:
             raise NotFound(f"no tool {tool}")
-        arguments = arguments or {}
+        with self.lock:
+            return self._call(tool, arguments or {})
+
+    def _call(self, tool: str, arguments: dict) -> dict:
         try:
             answer = getattr(self, tool)(**{("kind" if k == "type" else k): v for k, v in arguments.items()})
         except Exception as e:
@@ -152,23 +217,24 @@ class Engine:
     # -- tools
 
     def remember(self, content=None, kind=None, tags=None, scope=None, pinned=None) -> dict:
+        """Keep a fact, preference or decision; answers with its id."""
         content, item_id = _text(content, "content"), ulid.new()
-        self.store.append([{
+        self._log({
             "op": "insert", "id": item_id, "content": content, "kind": _kind(kind, "fact"), "tags": _tags(tags), "scope": scope or self.scope,
             "created_at": datetime.now(timezone.utc), "embedding": self._vector(content),
-        }])
-        if self.store.pending() >= self.settings.checkpoints.snapshot_inserts:
-            self.store.compact()
+        })
         return {"id": item_id}
 
     def recall(self, query=None, limit=None, scope=None, kind=None, mode="exact") -> dict:
-        limit = _limit(limit, 10, 100)
+        """The items nearest to a query."""
+        limit = _limit(limit, self.settings.budgets.default_recall_limit, 100)
         items = self.store.items()
         hits = recall(items.drop("embedding"), items.select("id", "embedding"), self._vector(_text(query, "query")), limit, scope, _kind(kind), mode)
         rows = hits.withColumn("created_at", text.rfc3339(F.col("created_at"))).select("id", "content", "kind", "tags", "scope", "created_at", "score").collect()
         return {"hits": [r.asDict() for r in rows]}
 
     def update(self, id=None, content=None, kind=None, tags=None, scope=None) -> dict:
+        """Change fields of an item."""
         item_id = _text(id, "id")
         patch = {k: v for k, v in (("kind", _kind(kind)), ("scope", scope), ("tags", None if tags is None else _tags(tags, nested=False))) if v is not None}
         if content is not None:
@@ -176,16 +242,17 @@ class Engine:
         if self.store.items().where(F.col("id") == item_id).isEmpty():
             return {"updated": False}
         if patch:
-            self.store.append([{"op": "patch", "id": item_id} | patch])
+            self._log({"op": "patch", "id": item_id} | patch)
         return {"updated": True}
 
     def forget(self, id=None, query=None, scope=None) -> dict:
+        """Remove an item, a pin or an event by its id."""
         if sum(x is not None for x in (id, query, scope)) != 1:
             raise InvalidArguments("exactly one of id, query and scope")
         if id is None:
             raise InvalidArguments("only forgetting by id is implemented")
         if not self.store.items().where(F.col("id") == id).isEmpty():
-            self.store.append([{"op": "delete", "id": id}])
+            self._log({"op": "delete", "id": id})
             return {"forgotten": True, "layer": "semantic"}
         if pins.remove(self.pins_path, id):
             return {"forgotten": True, "layer": "procedural"}
@@ -193,22 +260,32 @@ class Engine:
         if found is None:
             return {"forgotten": False, "layer": None}
         self._rewrite_events(episodic.forget(self.events(), id))
+        self.activity += 1
         return {"forgotten": True, "layer": found["tier"]}
 
     def pin(self, content=None, tags=None, scope=None) -> dict:
-        return {"id": pins.append(self.pins_path, _text(content, "content"), scope or self.scope, _tags(tags))}
+        """Pin a rule that is always part of the context."""
+        made = pins.append(self.pins_path, _text(content, "content"), scope or self.scope, _tags(tags))
+        self.activity += 1
+        return {"id": made}
 
     def unpin(self, id=None) -> dict:
-        return {"removed": pins.remove(self.pins_path, _text(id, "id"))}
+        """Remove a pinned rule."""
+        removed = pins.remove(self.pins_path, _text(id, "id"))
+        self.activity += removed
+        return {"removed": removed}
 
     def recall_recent(self, limit=None, scope=None, kind=None) -> dict:
+        """The latest events."""
         rows = episodic.recall_recent(self.events().where("tier = 'hot'"), _limit(limit, 20, 200), scope, kind)
         return {"events": [r.asDict() for r in rows.withColumn("created_at", text.rfc3339(F.col("created_at"))).withColumn("last_accessed", text.rfc3339(F.col("last_accessed"))).collect()]}
 
     def summarize_session(self, events=None, scope=None) -> dict:
+        """A prompt that asks for a summary of the latest events."""
         return {"prompt": diagnostics.summary_prompt(self.events().where("tier = 'hot'"), _limit(events, 30, 200), scope).first()["prompt"]}
 
     def record_event(self, kind=None, payload=None, tags=None, scope=None, retrieval_weight=None) -> dict:
+        """Record an event; user and assistant messages become turns of the session."""
         weight = 0.5 if retrieval_weight is None else retrieval_weight
         if isinstance(weight, bool) or not isinstance(weight, (int, float)) or math.isnan(weight) or not 0 <= weight <= 1:
             raise InvalidArguments("retrieval_weight must be from 0 to 1")
@@ -220,10 +297,12 @@ class Engine:
         return {"id": event_id}
 
     def switch_scope(self, scope=None) -> dict:
+        """Set the scope that writes go to."""
         before, self.scope = self.scope, _text(scope, "scope")
         return {"scope": self.scope, "previous": before}
 
     def stats(self) -> dict:
+        """Counts of all layers."""
         rows = tiers.with_quarter(self.events())
         found = {r["name"]: r["n"] for r in diagnostics.counts(self.store.items(), pins.read(self.spark, self.pins_path), rows, ["year", "quarter"]).collect()}
         return {
@@ -234,10 +313,12 @@ class Engine:
         }
 
     def list_scopes(self) -> dict:
+        """All scopes in use."""
         rows = diagnostics.scopes(pins.read(self.spark, self.pins_path), self.events().where("tier <> 'cold'"), self.store.items())
         return {"scopes": [r["scope"] for r in rows.collect()], "current": self.scope}
 
     def export(self, scope=None, limit_per_layer=None) -> dict:
+        """Rows of all layers."""
         limit = _limit(limit_per_layer, 200, 5000)
         rows = diagnostics.export(pins.read(self.spark, self.pins_path), self.events().where("tier = 'hot'"), self.store.items(), limit, scope)
         out: dict[str, list] = {"procedural": [], "episodic": [], "semantic": []}

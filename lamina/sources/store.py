@@ -11,12 +11,17 @@ import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.operators import oplog
 from lamina.schemas import OPLOG, SCHEMA_VERSION
 
 
+#: Steps by the schema version they start from; each leads to the next version.
+MIGRATIONS: dict = {}
+
+
 class OpLogStore:
     def __init__(self, spark: SparkSession, root: str, dim: int, model: str = "stub"):
         self.spark, self.root, self.dim, self.model = spark, root, dim, model
@@ -24,9 +29,7 @@ class OpLogStore:
         self._lock()
         if not os.path.exists(f"{root}/manifest.json"):
             self._swap({"schema_version": SCHEMA_VERSION, "applied_lsn": 0, "snapshot": None, "dim": dim, "model": model})
-        found = self.manifest()
-        if found["schema_version"] > SCHEMA_VERSION:
-            raise ValueError(f"the store has schema {found['schema_version']}; this engine reads up to {SCHEMA_VERSION}")
+        self.migrate()
 
     # -- manifest and lock
 
@@ -53,17 +56,43 @@ class OpLogStore:
             json.dump(manifest, f)
         os.replace(f"{self.root}/manifest.tmp", f"{self.root}/manifest.json")
 
+    def migrate(self, steps: dict | None = None, target: int = SCHEMA_VERSION) -> int:
+        """Bring the manifest to the target schema, a step at a time in ascending order; returns the number of steps run.
+
+        Each step takes the store and is followed by a swap of the manifest, so a run that stops goes on where it was.
+        """
+        steps, done = MIGRATIONS if steps is None else steps, 0
+        while (found := self.manifest())["schema_version"] != target:
+            at = found["schema_version"]
+            if at > target:
+                raise ValueError(f"the store has schema {at}; this engine reads up to {target}")
+            if at not in steps:
+                raise ValueError(f"no step leads from schema {at}")
+            steps[at](self)
+            self._swap(self.manifest() | {"schema_version": at + 1})
+            done += 1
+        return done
+
     # -- log
 
     def _files(self) -> list[tuple[int, int, str]]:
-        """(first lsn, last lsn, path) by the names of the log's folders, in order."""
+        """(first lsn, last lsn, path) by the names of the log's folders, in order; a folder counts once it is complete."""
         found = []
         for name in os.listdir(f"{self.root}/oplog"):
             if name.startswith("ops-") and os.path.exists(f"{self.root}/oplog/{name}/_SUCCESS"):
-                _, first, last = name.split("-")
+                first, last = name.split("-")[1:3]
                 found.append((int(first), int(last), f"{self.root}/oplog/{name}"))
         return sorted(found)
 
+    def applied(self, stream: str) -> int:
+        """The last batch of a stream that the log or the snapshot holds, -1 if none."""
+        last = self.manifest().get("streams", {}).get(stream, -1)
+        for _, _, path in self._files():
+            parts = os.path.basename(path).split("-")  # ops, first, last, stream, batch
+            if len(parts) == 5 and parts[3] == stream:
+                last = max(last, int(parts[4]))
+        return last
+
     def last_lsn(self) -> int:
         files = self._files()
         return max(self.manifest()["applied_lsn"], files[-1][1] if files else 0)
@@ -80,6 +109,31 @@ class OpLogStore:
         self.spark.createDataFrame(rows, OPLOG).coalesce(1).write.mode("overwrite").parquet(target)
         return last
 
+    def append_batch(self, ops: DataFrame, stream: str, number: int) -> bool:
+        """Write batch `number` of a stream from the executors: all of it or none, and once only; whether it was written now.
+
+        The folder's name carries the batch, so the rows and the fact that they are there become visible together.
+        """
+        if not stream.isalnum():
+            raise ValueError("the name of a stream has letters and digits only")
+        if number <= self.applied(stream):
+            return False
+        ops = ops.withColumn("_order", F.monotonically_increasing_id()).persist()
+        try:
+            n = ops.count()
+            if not n:
+                return False
+            first = self.last_lsn() + 1
+            wrong = F.size("embedding") != self.dim
+            checked = F.when(wrong, F.raise_error(F.lit(f"vectors must have {self.dim} values")).cast("array<float>")).otherwise(F.col("embedding"))
+            # the source's rate limit bounds a batch, so one task can number it
+            rows = ops.withColumn("lsn", F.row_number().over(W.orderBy("_order")) + F.lit(first - 1)).withColumn("embedding", checked)
+            rows = rows.select(*(F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in OPLOG.fields))
+            rows.write.mode("overwrite").parquet(f"{self.root}/oplog/ops-{first:020d}-{first + n - 1:020d}-{stream}-{number:020d}")
+        finally:
+            ops.unpersist()
+        return True
+
     def log(self) -> DataFrame:
         """Ops after the snapshot."""
         applied = self.manifest()["applied_lsn"]
@@ -105,7 +159,9 @@ class OpLogStore:
         rows = self.items().withColumn("op", F.lit("insert")).select([f.name for f in OPLOG.fields])
         rows.write.parquet(f"{self.root}/{name}")
         old = self.manifest()
-        self._swap(old | {"applied_lsn": last, "snapshot": name})
+        names = [os.path.basename(path).split("-") for _, _, path in self._files()]
+        streams = {s: self.applied(s) for s in {x[3] for x in names if len(x) == 5} | set(old.get("streams", {}))}
+        self._swap(old | {"applied_lsn": last, "snapshot": name, "streams": streams})
         for _, covered, path in self._files():
             if covered <= last:
                 shutil.rmtree(path)

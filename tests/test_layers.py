@@ -1,4 +1,5 @@
 import json
+import os
 import tarfile
 from datetime import datetime, timedelta
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from lamina.operators import episodic, knn, oplog, tiers, working
 from lamina.plans.recall import recall
 from lamina.plans.tools import Engine, InvalidArguments, NotFound
+from lamina.schemas import OPLOG
 from lamina.sources import backup, config, pins, sessions
 from lamina.sources.cold import ColdStore
 from lamina.sources.store import OpLogStore
@@ -204,3 +206,100 @@ def test_context_shows_the_newest_pins(spark, tmp_path):
     hit = e.context(query="the sky is blue")["semantic"][0]
     assert hit["content"] == "the sky is blue" and hit["kind"] == "fact" and hit["tags"] == ["s"]
     assert [t["content"] for t in e.context()["working"]] == [t["content"] for t in reversed(e.session["turns"])]
+
+
+def test_group_commit_writes_each_batch_once(spark, tmp_path):
+    """A batch that fails after its rows are there, and a replay of the whole stream, add nothing."""
+    source = str(tmp_path / "source")
+    rows = [(i, "insert", f"id{i}", "text", "fact", [], "s", None, [0.0, 1.0]) for i in range(20)]
+    for part in range(4):
+        spark.createDataFrame(rows[part * 5 : part * 5 + 5], OPLOG).coalesce(1).write.mode("append").parquet(source)
+    store = OpLogStore(spark, str(tmp_path / "store"), 2)
+    stream = spark.readStream.schema(OPLOG).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.group_commit(stream, store, str(tmp_path / "one")).awaitTermination()
+    assert store.last_lsn() == 20 and store.applied("ops") == 3 and sorted(r["lsn"] for r in store.log().collect()) == list(range(1, 21))
+    jobs.group_commit(stream, store, str(tmp_path / "two")).awaitTermination()  # all batches again
+    assert store.last_lsn() == 20
+    store.compact()
+    assert store.applied("ops") == 3 and not store.append_batch(spark.createDataFrame(rows[:1], OPLOG), "ops", 2) and store.items().count() == 20
+    assert not store.append_batch(spark.createDataFrame([], OPLOG), "ops", 9)
+    with pytest.raises(Exception, match="vectors must have 2 values"):
+        store.append_batch(spark.createDataFrame([(0, "insert", "x", "t", "fact", [], "s", None, [1.0])], OPLOG), "ops", 10)
+    assert store.last_lsn() == 20
+    store.close()
+
+
+def test_migrations_run_in_order_and_go_on_where_they_stopped(spark, tmp_path):
+    store, seen = OpLogStore(spark, str(tmp_path), 2), []
+    at = store.manifest()["schema_version"]
+    steps = {at: lambda s: seen.append(at), at + 1: lambda s: seen.append(at + 1) or 1 / (len(seen) > 2)}
+    with pytest.raises(ZeroDivisionError):
+        store.migrate(steps, at + 2)
+    assert store.manifest()["schema_version"] == at + 1
+    assert store.migrate(steps, at + 2) == 1 and seen == [at, at + 1, at + 1]
+    with pytest.raises(ValueError):
+        store.migrate(steps, at + 5)
+    with pytest.raises(ValueError):
+        store.migrate()
+    store.close()
+
+
+def test_events_keep_consolidation_away(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "data"))
+    gate = jobs.IdleGate(str(tmp_path / "gate"))
+    assert jobs.consolidate_if_idle(e, gate) is None
+    e.call("record_event", {"kind": "a", "payload": {}})
+    assert jobs.consolidate_if_idle(e, gate) is None and jobs.consolidate_if_idle(e, gate) is not None
+    e.pin("x")
+    assert jobs.consolidate_if_idle(e, gate) is None
+    e.close()
+
+
+def test_timer_saves_what_waits(spark, tmp_path):
+    import time
+
+    settings = config.Config()
+    settings.checkpoints.session_interval_secs = 0.2
+    e = Engine(spark, str(tmp_path / "data"), settings)
+    e.open()
+    e.call("list_scopes")
+    assert e.unsaved == 1
+    for _ in range(100):
+        time.sleep(0.1)
+        if not e.unsaved:
+            break
+    assert e.unsaved == 0 and e.session["last_checkpoint_at"]
+    e.close()
+    assert all(not t._thread.is_alive() for t in e.timers) and [r["kind"] for r in e.events().collect()].count("session_end") == 1
+
+
+def test_timer_runs_one_pass_at_a_time_and_goes_on_after_errors():
+    import threading
+    import time
+
+    seen, done = [], threading.Event()
+
+    def work(poked):
+        seen.append(poked)
+        if len(seen) == 1:
+            raise ValueError
+        if len(seen) == 3:
+            done.set()
+        return True
+
+    timer = jobs.Timer(0.05, work)
+    assert done.wait(10)
+    timer.poke()
+    time.sleep(0.1)
+    timer.stop()
+    assert timer.errors == 1 and timer.runs == len(seen) - 1
+
+
+def test_forgotten_events_leave_the_disk(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "data"))
+    made = e.record_event("note", {"content": "secret"})["id"]
+    e.record_event("note", {"content": "other"})
+    e.forget(id=made)
+    assert [r["payload"] for r in e.events().collect()] == ['{"content": "other"}']
+    assert len([f for f in os.listdir(tmp_path / "data" / "episodic") if f.startswith("events")]) == 1
+    e.close()

@@ -23,6 +23,8 @@ def test_frames(spark, tmp_path):
         replies[r["id"]] = r
         errors += [r["error"]["code"]] if r["id"] is None else []
     assert len(replies[2]["result"]["tools"]) == len(TOOLS) == 13
+    schema = next(t for t in replies[2]["result"]["tools"] if t["name"] == "remember")["inputSchema"]
+    assert schema["required"] == ["content"] and schema["properties"]["type"] == {"type": "string"} and "kind" not in schema["properties"]
     assert len(replies[3]["result"]["resources"]) == len(RESOURCES) == 5
     assert "id" in json.loads(replies[4]["result"]["content"][0]["text"])
     assert replies[5]["error"]["code"] == -32602
@@ -30,6 +32,17 @@ def test_frames(spark, tmp_path):
     assert replies[7]["error"]["code"] == -32601 and replies[8]["error"]["code"] == -32601
     assert errors == [-32700, -32600, -32600]
     assert json.loads(replies[9]["result"]["contents"][0]["text"])["max_tokens"] == 4000
+    kinds = [r["kind"] for r in Engine(spark, str(tmp_path / "data")).events().orderBy("created_at").collect()]
+    assert kinds[0] == "session_start" and kinds[-1] == "session_end"
+
+
+def test_an_endless_line_is_not_held(monkeypatch):
+    from lamina.plans import server
+
+    monkeypatch.setattr(server, "LONGEST", 10)
+    frames = list(Server._frames(io.StringIO("a" * 10 + "\n" + "b" * 11 + "\n" + "c" * 5000 + "\nd\n" + "e" * 12)))
+    assert [(line.strip()[:3], whole) for line, whole in frames] == [("aaa", True), ("bbb", False), ("ccc", False), ("d", True), ("eee", False)]
+    assert max(len(line) for line, _ in frames) == 11
 
 
 def test_command_line(spark, tmp_path, capsys):
