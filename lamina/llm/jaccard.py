@@ -40,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.llm import features, graph, workers
@@ -49,7 +48,9 @@ from lamina.session import Scratch, release, small_batches
 #: The shortest flat sketch has two to this power bits.
 LEAST_BITS = 9
 SPARE = 0.2
-TILE, TILE_HASHES = 2048, 2_000_000
+TILE, TILE_HASHES = 512, 2_000_000
+#: Keys that a task gathers before it groups them, and parts that a key's local rows are dealt to.
+GATHER, SALTS = 1 << 20, 64
 ROWS = "doc_id long, mark long, cls long, proof long, n long, sketch binary"
 
 
@@ -90,6 +91,14 @@ class Sets:
     def __len__(self) -> int:
         return len(self.sizes)
 
+    def only(self, chosen: np.ndarray) -> Sets:
+        """Some of the sets, by a mask."""
+        out = object.__new__(Sets)
+        mine = chosen[self.number]
+        out.hashes, out.number, out.sizes = self.hashes[mine], (np.cumsum(chosen) - 1)[self.number[mine]], self.sizes[chosen]
+        out.starts = np.r_[0, np.cumsum(out.sizes)]
+        return out
+
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.starts[i] : self.starts[i + 1]]
 
@@ -217,35 +226,77 @@ def set_rows(texts: DataFrame, k: int) -> DataFrame:
     return texts.withColumn("mark", _mark(F.col("text"))).mapInArrow(workers.task(run), ROWS)
 
 
+def grouped(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, class, lead, is lead) of distinct pairs; the lead of a key is its smallest class."""
+    order = np.lexsort((cls, key))
+    key, cls = key[order], cls[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    keep = new | np.r_[True, cls[1:] != cls[:-1]]
+    key, cls, new = key[keep], cls[keep], new[keep]
+    first = np.flatnonzero(new)
+    return key, cls, np.repeat(cls[first], np.diff(np.r_[first, len(key)])), new
+
+
 def key_rows(texts: DataFrame, k: int, num: int, den: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """(key, cls) of every block of every row, or those of one part of the keys."""
+    """(key, cls, lead, salt) of the blocks of all classes, or those of one part of the keys.
+
+    Each task gives the blocks of a class once, however many rows have it, and groups its keys:
+    one class of each key leads (lead null, salt 0), the others go with it, dealt by salt. So
+    what meets in one place for a key is bounded by the number of tasks, not by its rows.
+    """
+    gather, salts = GATHER, SALTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = bands(num, den, 1 << 20)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()  # of the rows of this task
+
+        def rows() -> pa.RecordBatch:
+            key, cls, lead, first = grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            salt = np.where(first, 0, 1 + cls % salts).astype(np.int32)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), pa.array(lead, mask=first), pa.array(salt)], names=["key", "cls", "lead", "salt"])
+
         for batch in batches:
             for some in in_parts(batch.column(1).to_pylist()):
                 sets = Sets(some, k)
                 cls = sets.classes()[0]
+                fresh = np.zeros(len(cls), bool)
+                for i, c in enumerate(cls.tolist()):
+                    if c not in seen:
+                        seen.add(c)
+                        fresh[i] = True
+                if not fresh.any():
+                    continue
+                sets, cls = sets.only(fresh), cls[fresh]
                 if sets.sizes.max() >= starts[-2]:
                     starts = bands(num, den, 2 * int(sets.sizes.max()))
                 for key, number in block_keys(sets, starts, num, den):
                     if parts > 1:
                         mine = key % np.uint64(parts) == np.uint64(part)
                         key, number = key[mine], number[mine]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[number])], names=["key", "cls"])
+                    held.append((key.view(np.int64), cls[number]))
+                if sum(len(x) for x, _ in held) > gather:
+                    yield rows()
+        if held:
+            yield rows()
 
-    return texts.mapInArrow(workers.task(run), "key long, cls long")
+    return texts.mapInArrow(workers.task(run), "key long, cls long, lead long, salt int")
 
 
 def buckets(keys: DataFrame) -> DataFrame:
-    """(key, lead, other) for every key with at least two classes: lead is the smallest, one row for each other class."""
+    """(key, lead, other) for every key with at least two classes: each class but the smallest has a row, with its task's lead or, if it leads there, the smallest."""
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = keys.repartition(parts, "key").sortWithinPartitions("key", "cls")
+    placed = keys.repartition(parts, "key", "salt").sortWithinPartitions("key", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = lead = last_cls = None
         for batch in batches:
-            key, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            leading = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            key, cls, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(0).to_numpy()
+            if not leading.all():
+                yield pa.RecordBatch.from_arrays([pa.array(x[~leading]) for x in (key, own, cls)], names=["key", "lead", "other"])
+            key, cls = key[leading], cls[leading]
             if not len(key):
                 continue
             new = np.r_[last_key is None or key[0] != last_key, key[1:] != key[:-1]]
@@ -327,14 +378,18 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num:
 
 
 def tiled(members: DataFrame, *carried: str) -> DataFrame:
-    """Rows of buckets dealt to pairs of tiles (x <= y), sorted; members(key, cls, root, n, place, total, most, ...).
+    """Rows of buckets dealt to pairs of tiles (x <= y), sorted; members(key, cls, root, n, main, mains, total, most, ...).
 
-    A tile has at most TILE rows and about TILE_HASHES hashes, so a pair of tiles fits a task.
+    A tile has about TILE rows and TILE_HASHES hashes, so a pair of tiles fits a task. Tiles of
+    the bucket's largest component come last and don't meet each other: a large group of near
+    copies beside a few other classes is dealt once for each tile of those.
     """
     rows_of = F.greatest(F.lit(16), F.least(F.lit(TILE), F.floor(F.lit(TILE_HASHES) / F.col("most")))).cast("long")
-    tiles = F.ceil(F.col("total") / rows_of).cast("int")
-    own = F.floor(F.col("place") / rows_of).cast("int")
-    spread = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y")))
+    others = F.ceil((F.col("total") - F.col("mains")) / rows_of).cast("int")
+    tiles = others + F.ceil(F.col("mains") / rows_of).cast("int")
+    hashed = F.xxhash64(F.lit(5), "cls")
+    own = F.when(F.col("main"), others + F.pmod(hashed, tiles - others)).otherwise(F.pmod(hashed, others)).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), F.when(F.col("main"), others).otherwise(tiles) - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y")))
     rows = members.withColumn("own", own).withColumn("tile", F.explode(spread)).select("key", "tile.x", "tile.y", "own", "cls", "root", "n", *carried)
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y")
@@ -375,14 +430,17 @@ class _Tile:
 
 
 def unlike(rows: DataFrame) -> DataFrame:
-    """Buckets (key, cls, root, n) of several components, those of the same classes once, with place, total and largest n."""
-    alike = rows.groupBy("key").agg(
-        F.count("*").alias("total"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"),
-        *(F.sum(F.xxhash64("cls", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (0, 1)),
-    )
-    alike = alike.where("total > 1 and low <> high").groupBy("total", "most", "h0", "h1").agg(F.min("key").alias("key"))
-    place = F.row_number().over(W.partitionBy("key").orderBy("root", "cls")) - 1
-    return rows.join(alike.select("key", "total", "most"), "key").withColumn("place", place)
+    """Buckets (key, cls, root, n) of several components, those of the same classes once, with total, largest n and the size of their largest component.
+
+    Counts are made by key and component first, so a bucket of very many classes is never ordered or gathered.
+    """
+    marks = [F.sum(F.xxhash64("cls", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (0, 1)]
+    parts = rows.groupBy("key", "root").agg(F.count("*").alias("total"), F.max("n").alias("most"), *marks)
+    sums = [F.sum(c).alias(c) for c in ("total", "h0", "h1")]
+    alike = parts.groupBy("key").agg(*sums, F.max("most").alias("most"), F.count("*").alias("roots"), F.max(F.struct("total", "root")).alias("main"))
+    alike = alike.where("roots > 1").groupBy("total", "most", "h0", "h1").agg(F.min(F.struct("key", "main")).alias("e"))
+    alike = alike.select("e.key", "total", "most", F.col("e.main.total").alias("mains"), F.col("e.main.root").alias("main_root"))
+    return rows.join(alike, "key").withColumn("main", F.col("root") == F.col("main_root")).drop("main_root")
 
 
 def open_classes(tiles: DataFrame, num: int, den: int) -> DataFrame:
@@ -434,7 +492,7 @@ def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scra
     for part in range(parts):
         own = scratch.table(f"stars_{part}", buckets(key_rows(texts, k, num, den, part, parts)))
         stars = own if stars is None else stars.unionByName(own)
-        release(scratch.spark)
+        release(scratch)
 
     pairs = stars.select(F.col("lead").alias("a"), F.col("other").alias("b")).distinct()
     tried = scratch.table("tried", prune(pairs, classes, num, den))
@@ -444,7 +502,7 @@ def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scra
     first = scratch.table("first", nearest)
     links = check(first, "first")
     roots = scratch.table("roots_first", graph.components(links, scratch, "c_first"))
-    release(scratch.spark)
+    release(scratch)
 
     def apart(some: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs that no path connects yet."""
@@ -456,25 +514,28 @@ def classes_and_roots(docs: DataFrame, k: int, num: int, den: int, scratch: Scra
     if not rest.isEmpty():
         links = scratch.table("links_two", links.unionByName(check(rest, "rest")))
         roots = scratch.table("roots_two", graph.components(links, scratch, "c_two"))
-        release(scratch.spark)
+        release(scratch)
 
-    # buckets whose classes are still in several components, beyond those of two classes
-    placed = stars.select("key", F.col("other").alias("cls")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    # buckets whose classes are still in several components, beyond those of a single pair, which is settled
+    several = stars.groupBy("key").agg(F.count("*").alias("pairs")).where("pairs > 1").select("key")
+    placed = stars.join(several, "key").select("key", F.explode(F.array("lead", "other")).alias("cls")).distinct()
+    placed = placed.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     placed = placed.select("key", "cls", F.coalesce("root", "cls").alias("root")).join(classes.select("cls", "n"), "cls")
     members = scratch.table("members", unlike(placed))
     if not members.isEmpty():
         sketched = members.join(classes.select("cls", "sketch"), "cls")
         near = scratch.table("near", open_classes(tiled(sketched, "sketch"), num, den))
-        release(scratch.spark)
+        release(scratch)
         if not near.isEmpty():
             # few classes are left, and most buckets now hold the same ones
             closer = members.join(near, "cls", "left_semi").select("key", "cls", "root", "n")
             closer = scratch.table("closer", unlike(closer))
             full = closer.join(classes.select("cls", "sketch"), "cls").join(sets_of(near, classes, texts, k, scratch, "near"), "cls")
-            release(scratch.spark)
+            release(scratch)
             links = scratch.table("links_three", links.unionByName(links_across(tiled(full, "sketch", "s"), num, den)))
             roots = scratch.table("roots_three", graph.components(links, scratch, "c_three"))
-    release(scratch.spark)
+    scratch.drop(*(f"stars_{part}" for part in range(parts)), "tried", "first", "rest", "members", "near", "closer", "sets_near")
+    release(scratch)
     return rows.select("doc_id", "mark", "cls", "n"), roots
 
 
@@ -506,7 +567,8 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     of_words = named.groupBy("root").agg(least).select("e.doc_id", "e.mark", F.col("e.copies") > 1)
     kept = of_words.union(groups.where("n = 0").select("doc_id", "mark", F.lit(False))).toDF("_j_id", "_j_mark", "_j_repeats")
     kept = scratch.table("kept", kept)
-    found = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_j_id")) & (_mark(F.col(text_col)) == F.col("_j_mark")))
-    row = F.struct(*docs.columns)
-    repeats = found.where("_j_repeats").groupBy("_j_id", "_j_mark").agg(F.min_by(row, F.to_json(row)).alias("_j_row"))
-    return found.where("not _j_repeats").select(*docs.columns).unionByName(repeats.select("_j_row.*"))
+    # as one struct the columns of the documents, whatever their names, clash with nothing
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), _mark(F.col(text_col)).alias("mark"))
+    found = whole.join(kept, F.col("id").eqNullSafe(F.col("_j_id")) & (F.col("mark") == F.col("_j_mark"))).select("id", "mark", "row", "_j_repeats")
+    repeats = found.where("_j_repeats").groupBy("id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return found.where("not _j_repeats").select("row.*").unionByName(repeats.select("row.*"))

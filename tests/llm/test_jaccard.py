@@ -59,6 +59,38 @@ def test_components_equal_brute_force(spark, seed, k, num):
     assert got == brute(rows, k, num, 100)
 
 
+def test_hot_buckets_of_unlike_sets(spark, monkeypatch):
+    """A passage in every text fills buckets with sets that aren't similar, beside near copies; tasks group a few keys at a time, tiles are small."""
+    monkeypatch.setattr(jaccard, "GATHER", 30)
+    monkeypatch.setattr(jaccard, "SALTS", 3)
+    monkeypatch.setattr(jaccard, "TILE_HASHES", 1)
+    rng = random.Random(11)
+    passage = ["p%d" % i for i in range(14)]
+    rows = []
+    for _ in range(50):
+        rows.append(" ".join(passage + ["u%d" % rng.randrange(10_000) for _ in range(4)]))
+    near = passage + ["n%d" % i for i in range(30)]
+    for _ in range(25):
+        words = list(near)
+        words[rng.randrange(len(words))] = "y%d" % rng.randrange(100)
+        rows.append(" ".join(words))
+    rows += [rows[0]] * 20 + [rows[60]] * 20
+    rows = list(enumerate(rows))
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(frame(spark, rows).repartition(5), 1, 80, 100).collect()), key=str)
+    assert got == brute(rows, 1, 80, 100)
+
+
+def test_grouped_keys():
+    key, cls = np.array([3, 1, 3, 1, 3, 2]), np.array([9, 5, 7, 5, 8, 4])
+    assert [x.tolist() for x in jaccard.grouped(key, cls)] == [[1, 2, 3, 3, 3], [5, 4, 7, 8, 9], [5, 4, 7, 7, 7], [True, True, True, False, False]]
+
+
+def test_columns_named_like_helpers(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h", i, True, "x", "y", "z") for i in range(3)], "doc_id long, text string, _j_id long, _j_repeats boolean, row string, mark string, id string")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and [r["_j_id"] for r in kept.collect()] == [0]
+
+
 def test_chain_of_a_bucket_is_linked_across_tiles(spark, monkeypatch):
     """Near copies that aren't all similar to the smallest one, in tiles of 16 rows."""
     monkeypatch.setattr(jaccard, "TILE_HASHES", 1)
