@@ -273,8 +273,12 @@ def removed_windows(contexts: DataFrame) -> DataFrame:
     return placed.mapInArrow(workers.task(run), "doc long, digest long, start long, mask long")
 
 
-def hot_windows(rows: DataFrame) -> DataFrame:
-    """The same for hot names, without a group per name: smallest document by prefix, pre-aggregated, then joined back."""
+def hot_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for hot names, without a group per name: smallest document by prefix, pre-aggregated, then joined back.
+
+    Prefixes with more than a task's even share of the rows are fewer than the tasks, so their smallest
+    documents travel to the rows; all others are joined by prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,9 +292,13 @@ def hot_windows(rows: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=["prefix", "other", "doc", "digest", "start"])
 
     windows = rows.select("doc", "digest", "names", "text").mapInArrow(workers.task(run), "prefix long, other long, doc long, digest long, start long")
-    lowest = windows.groupBy("prefix", "other").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    gone = windows.join(lowest.select("prefix", "other", "low"), ["prefix", "other"]).where("doc > low")
-    return gone.select("doc", "digest", "start", F.lit(1).cast("long").alias("mask"))
+    windows, key = scratch.table("hot_windows", windows), ["prefix", "other"]
+    lowest = windows.groupBy(*key).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high")
+    lowest = scratch.table("lowest", lowest.select(*key, "low", "n"))
+    share = max(LEAST_HOT, windows.count() // int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    few = F.broadcast(lowest.where(F.col("n") > share))  # fewer rows than partitions
+    found = windows.join(few, key).unionByName(windows.join(few.select(*key), key, "left_anti").join(lowest.where(F.col("n") <= share), key))
+    return found.where("doc > low").select("doc", "digest", "start", F.lit(1).cast("long").alias("mask"))
 
 
 def apply_masks(rows: DataFrame) -> DataFrame:
@@ -351,9 +359,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     usual = shared.join(very, "name", "left_anti") if any_hot else shared
     marks = removed_windows(context_rows(gathered(usual)))
     if any_hot:
-        marks = marks.unionByName(hot_windows(gathered(shared.join(very, "name", "left_semi"))))
+        marks = marks.unionByName(hot_windows(gathered(shared.join(very, "name", "left_semi")), scratch))
     marks = scratch.table("marks", marks)
-    scratch.drop("shared", "very")
+    scratch.drop("shared", "very", "hot_windows", "lowest")
     release(scratch)
     lists = marks.groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     cut = apply_masks(texts.select("doc", "digest", "text").join(lists, ["doc", "digest"]))

@@ -45,6 +45,15 @@ def test_equals_brute_force(spark, hot):
     assert results(substrings.remove_repeats(frame(spark, rows), hot=hot)) == brute(rows)
 
 
+def test_hot_prefixes(spark, monkeypatch):
+    """A line that most texts share, beside others: its prefixes travel to the rows."""
+    monkeypatch.setattr(substrings, "LEAST_HOT", 1)
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(70)) for _ in range(12)]
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(30)) + lines[0] * (i % 3 > 0) + rng.choice(lines)) for i in range(60)]
+    assert results(substrings.remove_repeats(frame(spark, rows), hot=1)) == brute(rows)
+
+
 def test_edges(spark, edges, edge_rows, nothing):
     short = [(d, t if t is None or len(t) < 3000 else t[:3000]) for d, t in edge_rows]
     assert results(substrings.remove_repeats(frame(spark, short))) == brute(short)
