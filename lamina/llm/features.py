@@ -121,19 +121,19 @@ def statistics(text: str, found: dict) -> np.ndarray:
 
 
 def gram_groups(text: str, found: dict) -> list[np.ndarray]:
-    """Buckets of word 1- and 2-grams and of byte 3- and 4-grams; each group has a part of the table."""
+    """Buckets of word 1- and 2-grams and of character 3- and 4-grams; each group has a part of the table."""
     groups = []
     quarter = BITS - 2
     h = found["hashes"]
     for k in (1, 2):
         own = window_hashes(h, k) if len(h) >= k else h[:0]
         groups.append((own >> np.uint64(64 - quarter)).astype(np.int32) + (k - 1) * (1 << quarter))
-    x = np.frombuffer(text.encode(), np.uint8).astype(np.uint32)
+    x = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     for k in (3, 4):
         n = max(0, len(x) - k + 1)
         code = np.zeros(n, np.uint32)
         for j in range(k):
-            code = code * np.uint32(257) + x[j : j + n]
+            code = code * np.uint32(1000003) + x[j : j + n]
         groups.append(((code * np.uint32(2654435761)) >> np.uint32(32 - quarter)).astype(np.int32) + (k - 1) * (1 << quarter))
     return groups
 

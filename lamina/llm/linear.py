@@ -21,12 +21,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, keys: DataFrame, most: int) -> DataFrame:
-    """The documents of the `most` keys with the smallest hashes (the same at every run); keys(doc_id, label) has one row per id.
+    """(doc_id, label, text) of the `most` keys with the smallest hashes (the same at every run); keys(doc_id, label) has one row per id.
 
-    The broadcast side has `most` rows at most, whatever the corpus.
+    The broadcast side has `most` rows at most, whatever the corpus, and so has the result:
+    of rows that share an id, the text with the smallest hash stands for it.
     """
     chosen = keys.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(most)
-    return docs.join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

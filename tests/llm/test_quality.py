@@ -93,7 +93,90 @@ def test_edges(spark, edges, nothing, labels):
     assert rules.apply_rules(edges, labels.limit(0)).count() == edges.count()
 
 
+def test_columns_named_like_helpers(spark, corpus):
+    rows, labels = corpus
+    docs = frame(spark, rows[:60]).withColumnsRenamed({"key": "_q_score", "name": "row"})
+    kept = quality.keep_good(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert kept.columns == docs.columns and 0 < kept.count() < 60
+
+
 def test_vector_parts_add_up():
     x = features.vector("one two three two")
     assert x[: features.SIZE].sum() == pytest.approx(4.0, abs=1e-4)
     assert not features.vector("").any()
+
+
+def plain_logit(text, model):
+    """The model applied one gram at a time."""
+    import re
+
+    import xxhash
+
+    full = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & full
+        return h ^ (h >> 31)
+
+    width = features.SIZE // 4
+    h = [xxhash.xxh64_intdigest(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    groups = [[mixed(a) * width >> 64 for a in h], [mixed((mixed(a) + b * 0x9E3779B97F4A7C15) & full) * width >> 64 for a, b in zip(h, h[1:], strict=False)]]
+    for k in (3, 4):
+        own = []
+        for i in range(len(text) - k + 1):
+            code = 0
+            for c in text[i : i + k]:
+                code = (code * 1000003 + ord(c)) % (1 << 32)
+            own.append((code * 2654435761 % (1 << 32)) * width >> 32)
+        groups.append(own)
+    total = float(features.statistics(text, features.analyse(text)) @ model["stats"][:-1] + model["stats"][-1])
+    return total + sum(sum(float(model["grams"][n * width + b]) for b in own) / len(own) for n, own in enumerate(groups) if own)
+
+
+def test_scores_against_plain_arithmetic(spark, corpus, edge_rows):
+    rows, labels = corpus
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    model, rule = quality.train(docs, table), rules.train(docs, table)
+    texts = [(i, t) for i, t in [*rows[:40], *edge_rows] if i is not None]
+    some = frame(spark, texts)
+    plain = lambda t, m: plain_logit(t or "", m)
+    want = sorted((i, float(linear.sigmoid(np.array(plain(t, model))))) for i, t in texts)
+    got = sorted((r["doc_id"], r["_q_score"]) for r in quality.scores(some, model, "doc_id").collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-4)
+    want = sorted((i, float(linear.sigmoid(np.array(rule["slope"] * plain(t, rule) + rule["shift"])))) for i, t in texts)
+    got = sorted((r["doc_id"], r["probability"]) for r in rules.apply_rules(docs.unionByName(some.withColumn("doc_id", some.doc_id + 10_000)), table).where("doc_id >= 10000").collect())
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-4)
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.4, 0.8])
+def test_best_bin_estimation(prior):
+    rng = np.random.default_rng(7)
+    unl = np.r_[rng.normal(2, 1, int(2000 * prior)), rng.normal(-2, 1, 2000 - int(2000 * prior))]
+    assert quality.best_bin(rng.normal(2, 1, 2000), unl) == pytest.approx(prior, abs=0.06)
+
+
+def test_prior_reads_no_negative_labels(spark, corpus):
+    rows, labels = corpus
+    docs = frame(spark, rows)
+    kinds = "doc_id long, quality int, toxic int"
+    whole = quality.train(docs, spark.createDataFrame(labels, kinds))
+    part = quality.train(docs, spark.createDataFrame([x for x in labels if x[1]], kinds))
+    assert (whole["grams"] == part["grams"]).all() and (whole["stats"] == part["stats"]).all()
+
+
+def test_sample_is_bounded_in_rows(spark):
+    docs = frame(spark, [(1, f"text {i % 3}") for i in range(500)] + [(2, "b")])
+    keys = spark.createDataFrame([(1, 1.0), (2, 0.0)], "doc_id long, label double")
+    rows = linear.sample(docs, keys, 10).collect()
+    assert sorted(r["doc_id"] for r in rows) == [1, 2]
+
+
+def test_values_of_edge_rows(spark, edges, edge_rows, labels):
+    """Null and blank texts score as a text without features; rows with the same text score the same."""
+    found = [(r["_q_score"], r["text"]) for r in quality.scores(edges, quality.train(edges, labels), "text").collect()]
+    blank = {round(s, 12) for s, t in found if not (t or "").split()}
+    assert len(found) == len(edge_rows) and len({t: s for s, t in found}) == len({(t, round(s, 12)) for s, t in found}) and len(blank) <= 2
+    kept = rules.apply_rules(edges, labels).collect()
+    assert all(r["base_failed"] and not r["kept"] for r in kept if r["n_words"] == 0) and len(kept) == len(edge_rows)
