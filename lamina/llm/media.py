@@ -1,4 +1,4 @@
-"""Media columns: content-addressed payloads in tar shards, header-only reads for metadata.
+"""Media columns: content-addressed payloads in tar shards, header-only reads for metadata, whole reads for features.
 
 Each text becomes a grey 8-bit PNG whose samples are the UTF-8 bytes padded with 255
 to a positive multiple of 576 (one row of the image per 576 bytes). Tasks append the
@@ -123,27 +123,39 @@ def _by_place(index: DataFrame, span: int = 64 << 20) -> DataFrame:
     return index.repartition(parts, "shard", F.floor(F.col("offset") / span)).sortWithinPartitions("shard", "offset")
 
 
-def read_metadata(index: DataFrame) -> DataFrame:
-    """Fill format, width, height and bit depth from 33-byte range reads; payloads stay where they are."""
+HEADER = 33
+
+
+def read_metadata(placed: DataFrame, gap: int = 4 << 10) -> DataFrame:
+    """Fill format, width, height and bit depth from reads of the headers alone; payloads longer than `gap` stay where they are.
+
+    placed: index rows as _by_place deals them.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source = files.Reader()
         for batch in batches:
-            heads = [png_header(source.read(u, int(o), 33)) for u, o in zip(batch["shard"], batch["offset"], strict=True)]
-            yield batch.assign(media_format="png", **{c: [h[i] for h in heads] for i, c in enumerate(("width", "height", "bit_depth"))})
+            heads: dict[int, tuple[int, int, int]] = {}
+            for shard, of_shard in batch.groupby("shard", sort=False):
+                ranges = ((int(o), HEADER, i) for o, i in zip(of_shard["offset"], of_shard.index, strict=True))
+                for start, end, members in files.coalesced(ranges, gap):
+                    block = source.read(shard, start, end - start)
+                    heads |= {i: png_header(block[offset - start : offset - start + HEADER]) for offset, _, i in members}
+            yield batch.assign(media_format="png", **{c: [heads[i][n] for i in batch.index] for n, c in enumerate(("width", "height", "bit_depth"))})
         source.close()
 
-    return _by_place(index).mapInPandas(workers.task(read), f"{INDEX}, {METADATA}")
+    return placed.mapInPandas(workers.task(read), f"{INDEX}, {METADATA}")
 
 
-def read_features(index: DataFrame) -> DataFrame:
-    """Metadata from the header bytes, then checks and features of the payload, read back in coalesced ranges."""
+def read_features(described: DataFrame) -> DataFrame:
+    """Checks and features of the payloads, read back in coalesced ranges, beside the metadata that is there; in the order of `described`."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source = files.Reader()
         last, values = None, None
         for batch in batches:
             rows = []
+            known = batch[["media_format", "width", "height", "bit_depth"]].to_dict("index")
             for shard, of_shard in batch.groupby("shard", sort=False):
                 ranges = zip(of_shard["offset"].astype(int), of_shard["length"].astype(int), of_shard.index, strict=True)
                 for start, end, members in files.coalesced(ranges):
@@ -154,23 +166,24 @@ def read_features(index: DataFrame) -> DataFrame:
                             payload = decode_png(stored)
                             values = (
                                 len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), length,
-                                hashlib.sha256(stored).hexdigest(), describe(payload), shard, offset, "png", *png_header(stored[:33]),
+                                hashlib.sha256(stored).hexdigest(), describe(payload), shard, offset,
                             )
-                            if values[4] != batch.at[i, "digest"]:
-                                raise ValueError(f"{shard} at {offset}: stored bytes differ from their address")
+                            if values[4] != batch.at[i, "digest"] or len(payload) != known[i]["width"] * known[i]["height"]:
+                                raise ValueError(f"{shard} at {offset}: stored bytes differ from their address or header")
                             last = (shard, offset)
-                        rows.append((batch.at[i, "doc_id"], batch.at[i, "n_bytes"], *values))
+                        rows.append((batch.at[i, "doc_id"], batch.at[i, "n_bytes"], *values, *known[i].values()))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
         source.close()
 
-    return _by_place(index).mapInPandas(workers.task(read), FEATURES)
+    return described.mapInPandas(workers.task(read), FEATURES)
 
 
 def media_columns(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Store all texts in shards of the shared folder and return the columns that reading them back gives."""
     scratch = Scratch(docs.sparkSession, "media")
     small_batches(docs.sparkSession)
-    return read_features(scratch.table("index", write_shards(docs, scratch.path("shards"), text_col, id_col)))
+    index = scratch.table("index", write_shards(docs, scratch.path("shards"), text_col, id_col))
+    return read_features(read_metadata(_by_place(index)))
 
 
 def members(shard: bytes) -> dict[str, bytes]:

@@ -92,6 +92,21 @@ def test_media_columns(spark, edges, edge_rows, nothing):
     assert media.media_columns(nothing).count() == 0
 
 
+def test_features_and_header_columns(spark, edges, edge_rows):
+    texts = {t or "" for _, t in edge_rows}
+    found = {}
+    for t in texts:
+        x = list(media.pad(t.encode()))
+        mean = sum(x) / len(x)
+        bins = [0] * 16
+        for v in x:
+            bins[v // 16] += 1
+        found[hashlib.sha256(bytes(x)).hexdigest()] = (int(mean * 1000), int((sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5 * 1000), bins, len(x) // 576)
+    for r in media.media_columns(edges).collect():
+        mean, std, bins, height = found[r["payload_sha256"]]
+        assert r["feature"] == f"mean={mean};std={std};hist={','.join(map(str, bins))}" and (r["media_format"], r["width"], r["height"], r["bit_depth"]) == ("png", 576, height, 8)
+
+
 def test_shards_are_tar_files_addressed_by_content(spark, edges):
     scratch = Scratch(spark, "m")
     index = scratch.table("index", media.write_shards(edges.coalesce(1), scratch.path("shards")))
@@ -102,5 +117,5 @@ def test_shards_are_tar_files_addressed_by_content(spark, edges):
     held = media.members(raw)
     assert {f"{r['digest']}.png" for r in rows} == set(held) and len(held) < len(rows)
     assert all(held[f"{r['digest']}.png"] == raw[r["offset"] : r["offset"] + r["length"]] for r in rows)
-    heads = media.read_metadata(index).collect()
+    heads = media.read_metadata(media._by_place(index)).collect()
     assert all((r["media_format"], r["width"], r["bit_depth"]) == ("png", 576, 8) for r in heads)
