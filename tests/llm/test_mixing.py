@@ -74,6 +74,12 @@ def test_edges(spark, edges, nothing):
     assert mixing.mix(untagged, share=1.0, max_epochs=1).count() == 2
 
 
+def test_columns_named_like_helpers(spark):
+    docs = frame(spark, [(i, "a b c") for i in range(9)]).withColumnsRenamed({"key": "_m_tokens", "name": "_m_row"})
+    got = mixing.mixed_documents(docs, share=0.5, max_epochs=1)
+    assert got.columns == docs.columns and sum(len(r["text"].split()) for r in got.collect()) in (12, 13)
+
+
 def test_cut_keeps_white_space(spark):
     df = spark.createDataFrame([(" a  b\nc d",)], "t string")
     assert df.select(mixing.first_words(F.col("t"), F.lit(3)).alias("x")).first()["x"] == " a  b\nc"
