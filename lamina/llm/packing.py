@@ -18,6 +18,7 @@ input columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -36,6 +37,8 @@ from lamina.session import Scratch, small_batches
 CAPACITY = 2048
 END = b"\0\0\0\0"
 OWNER = "chunk ids"
+#: Pieces of one length that are ranked in one task, about.
+ROWS_RANKED = 200_000
 #: Bytes of a kept chunk besides its text and ids: two objects and a place in a table.
 ENTRY = 170
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -57,11 +60,18 @@ class ChunkIds:
     OTHER = bytes([*range(0x80, 0xC0), 0xD7, 0xF7])
     LOWER = bytes(x + 32 if 65 <= x <= 90 or 0xC0 <= x <= 0xDE and x != 0xD7 else x for x in range(256))
 
+    #: The settings of the tokenizer whose cuts PATTERN makes.
+    NORMALIZERS = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+    SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
     def __init__(self, vocabulary: str, most_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.known = self.cuts_alike(json.loads(self.tokenizer.to_str()))
+        if not self.known:
+            return
         #: The same without lower-casing and pattern, for chunks that have been through both.
         self.cut_tokenizer = Tokenizer.from_file(vocabulary)
         self.cut_tokenizer.normalizer = normalizers.Sequence([])
@@ -71,6 +81,17 @@ class ChunkIds:
         self.room = most_bytes
         self.met = bytearray(1 << 20)
 
+    @classmethod
+    def cuts_alike(cls, settings: dict) -> bool:
+        """Whether a tokenizer cuts texts as PATTERN does; texts of any other go through it whole."""
+        normal, cut = settings["normalizer"] or {}, settings["pre_tokenizer"] or {}
+        kinds = [(x["type"], (x.get("pattern") or {}).get("Regex")) for x in normal.get("normalizers", [])]
+        first, *rest = [*cut.get("pretokenizers", []), {}]
+        split = first.get("type") == "Split" and first.get("invert") and (first.get("pattern") or {}).get("Regex") == cls.SPLIT
+        bytewise = [x.get("type") for x in rest] == ["ByteLevel", None] and not rest[0]["use_regex"] and not rest[0]["add_prefix_space"]
+        special = all(t["content"].startswith("<|") for t in settings["added_tokens"])
+        return kinds == cls.NORMALIZERS and bool(split) and bytewise and special and not (settings["truncation"] or settings["padding"])
+
     @classmethod
     def of(cls, vocabulary: str) -> ChunkIds:
         """One for each worker process, which later tasks of packing find filled."""
@@ -102,6 +123,8 @@ class ChunkIds:
         return True, self.PATTERN.findall(raw.translate(self.LOWER))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.known:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         cut = [self.chunks(t) for t in texts]
         found = [list(map((self.latin if latin else self.raw).get, own)) for latin, own in cut]
         for latin, known in ((True, self.latin), (False, self.raw)):
@@ -204,12 +227,12 @@ def slots(plan: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
 
 
 def ranked(pieces: DataFrame, buckets: int = 1024) -> DataFrame:
-    """Adds `rank`, from 0, among the pieces of the same length."""
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    """Adds `rank`, from 0, among the pieces of the same length; pieces have a `place` that no two share."""
+    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)).cast("int"))
     sums = rows.groupBy("length", "bucket").count()
     ahead = F.sum("count").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select("length", "bucket", F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    own = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
+    own = F.row_number().over(W.partitionBy("length", "bucket").orderBy("place"))
     return rows.withColumn("own", own).join(sums, ["length", "bucket"]).withColumn("rank", F.col("ahead") + F.col("own") - 1).drop("bucket", "own", "ahead")
 
 
@@ -217,7 +240,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     scratch = Scratch(docs.sparkSession, "pack")
     small_batches(docs.sparkSession)
-    pieces = scratch.table("pieces", token_pieces(docs, vocabulary, capacity, id_col, text_col))
+    # written with their places, pieces keep them, also those of rows that share or lack an id
+    placed = token_pieces(docs, vocabulary, capacity, id_col, text_col).withColumn("place", F.monotonically_increasing_id())
+    pieces = scratch.table("pieces", placed)
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # `capacity` rows at most
     places = docs.sparkSession.sparkContext.broadcast(slots(plan_bins(histogram, capacity)))
 
@@ -230,4 +255,5 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
             yield batch.drop(columns="rank").assign(sequence_id=table["sequence"][at] + rank - table["rank"][at], offset=table["offset"][at])
 
     names = [c.split()[0] for c in PIECES.split(", ")]
-    return ranked(pieces).select(*names, "rank").mapInPandas(workers.task(place), PACKED)
+    buckets = max(1024, max(histogram.values(), default=0) // ROWS_RANKED)
+    return ranked(pieces, buckets).select(*names, "rank").mapInPandas(workers.task(place), PACKED)

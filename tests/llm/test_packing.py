@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lamina.llm import packing
+from tests.llm.conftest import frame
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -81,3 +82,49 @@ def test_plan_uses_every_piece_once():
             used[x] = used.get(x, 0) + n * times
     assert used == histogram
     assert sum(t for t, _ in plan) <= -(-sum(x * n for x, n in histogram.items()) // 2048) * 1.01 + 1
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+    import os
+
+    texts = ["Hello, world!  it's 12 o'clock", "ÉÉ no", "", "a\nb"]
+    folder = os.path.dirname(VOCABULARY)
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".json"):
+            try:
+                other = Tokenizer.from_file(os.path.join(folder, name))
+            except Exception:  # noqa: BLE001  not a tokenizer of this library
+                continue
+            got = packing.ChunkIds(os.path.join(folder, name)).encode(texts)
+            assert got == [np.array(other.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts], name
+    settings = json.loads(Tokenizer.from_file(VOCABULARY).to_str())
+    assert packing.ChunkIds.cuts_alike(settings)
+    settings["normalizer"]["normalizers"].pop()
+    assert not packing.ChunkIds.cuts_alike(settings)
+
+
+def test_kept_chunks_are_bounded_in_bytes():
+    coder = packing.ChunkIds(VOCABULARY, most_bytes=20_000)
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    texts = [f"{letters(i)} {letters(i * i)}" for i in range(5000)]
+    for _ in range(3):
+        for at in range(0, len(texts), 500):
+            coder.encode(texts[at : at + 500])
+    size = sum(len(k) + len(v) + packing.ENTRY for k, v in (*coder.latin.items(), *coder.raw.items()))
+    assert 10_000 < size < 21_000
+
+
+def test_workers_drop_what_other_operators_kept():
+    from lamina.llm import features, workers
+
+    list(workers.task(lambda batches: iter([packing.ChunkIds.of(VOCABULARY)]), packing.OWNER)(iter([])))
+    assert packing.OWNER in workers._KEPT
+    list(workers.task(lambda batches: iter([features.word_hashes([b"a"])]))(iter([])))
+    assert not workers._KEPT
+
+
+def test_rows_that_share_or_lack_an_id_are_packed_each(spark, tokenizer):
+    rows = [(None if i % 3 else 7, "some words here") for i in range(300)]
+    got = packing.pack(frame(spark, rows), VOCABULARY, 64).collect()
+    assert len(got) == 300 and len({(r["sequence_id"], r["offset"]) for r in got}) == 300
