@@ -80,10 +80,101 @@ def test_overlapping_spans_are_redacted_once(spark):
 
 
 def test_boosting_separates_and_calibrates():
-    cells = [dict.fromkeys(pii.FEATURES, 0) | {"kind": 6, "assigned": a, "held_out": h, "label": y, "n": n} for a, y, n in ((1, 1, 90), (1, 0, 2), (0, 0, 80), (0, 1, 1)) for h in (False, True)]
-    model = pii.fit(cells)
+    blank = dict.fromkeys(pii.AROUND, 0)
+    cells = [blank | {"kind": 6, "assigned": a, "held_out": h, "label": y, "n": n} for a, y, n in ((1, 1, 90), (1, 0, 2), (0, 0, 80), (0, 1, 1)) for h in (False, True)]
+    model = pii.fit(cells, pii.AROUND)
     assert model["trees"] and 6 in model["thresholds"]
-    assert pii.fit([])["trees"] == []
+    assert pii.fit([], pii.AROUND)["trees"] == []
+
+
+def plain_spans(text, models):
+    """Loose spans of the method in plain Python, with the models that were fitted."""
+    import numpy as np
+
+    hidden = list(text)
+    for _, a, b in base(text):
+        hidden[a:b] = "\x01" * (b - a)
+    hidden, found = "".join(hidden), []
+    bucket = lambda v, bounds: sum(v > x for x in bounds)
+    luhn = lambda d: sum(x * 2 - 9 * (x > 4) if i % 2 else x for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    for k, name in enumerate(pii.LOOSE, len(pii.STRICT)):
+        probe, pattern = pii.GENERATORS[name]
+        for m in re.finditer(pattern, hidden) if re.search(probe, hidden) else ():
+            last = max((x[2] for x in found if x[0] == k), default=0)
+            v, before, after = m.group(), hidden[max(last, m.start() - 24) : m.start()], hidden[m.end() : m.end() + 8]
+            digits = re.sub("[^0-9]", "", v)
+            mark = bool(re.search(pii.KNOWN_KEY, v))
+            if k == 4:
+                mark = bool(re.search(pii.BRACKETS[0], v)) + bool(re.search(pii.BRACKETS[1], v))
+            if k == 5:
+                mark = bool(re.search(pii.TELEPHONE, v)) or 13 <= len(digits) <= 19 and luhn(digits)
+            side = lambda t, far, near: 0 if t == "" else 1 if re.search(far, t) else 2 if re.search(near, t) else 3
+            x = {
+                "kind": k, "digits": bucket(len(digits), (0, 3, 6, 9, 12)), "separators": min(2, sum(bool(re.search(p, v)) for p in ("[ ]", "[_-]", "[.]", r"[()\[\]]"))), "size": bucket(len(v), (11, 15, 23, 35)),
+                "letters": 0 if not re.search("[A-Za-z]", v) else 1 if re.fullmatch("[0-9a-f]+", v) else 2 if re.search("[a-z]", v) and re.search("[A-Z]", v) else 3,
+                "variety": bucket(len(set(v[:64])), (6, 12)), "runs": bucket(len(re.sub("[0-9]+|[A-Za-z]+", "x", v[:64])), (3, 8)), "mark": int(mark),
+                "tight": int(bool(re.search("[A-Za-z0-9]$", before) or re.search("^[A-Za-z0-9]", after))), "context": next((n for n, p in pii.CONTEXT if re.search(p, before)), 0),
+                "assigned": int(bool(re.search("[=:][ ]?[\"']?$", before))), "opens": side(before, "[ ]$", "[\"'(=:,;]$"), "closes": side(after, "^[ ]", "^[\"').,;]"), "line": int("\n" in before),
+            }
+            row = {f: np.array([n]) for f, n in x.items()}
+            good = False
+            for model in models.values():
+                raw = model["rate"] * sum(pii._values(t, row)[0] for t in model["trees"]) if model["trees"] else 0.0
+                good |= 1 / (1 + np.exp(-(model["slope"] * raw + model["shift"]))) >= model["thresholds"].get(k, 2)
+            found.append((k, m.start(), m.end(), good))
+    out, at = [], 0
+    for k, a, b, good in sorted(found, key=lambda c: (c[1], -c[2])):
+        if good and a >= at:
+            out.append((pii.LOOSE[k - len(pii.STRICT)], a, b))
+            at = b
+    return out
+
+
+def test_loose_spans_against_plain_code(spark):
+    rng = random.Random(12)
+    token = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    pieces = [
+        lambda: f'token = "{token(40)}"', lambda: token(40), lambda: token(27), lambda: "call (640) 555-0953", lambda: "(640) 555-0953", lambda: f"{rng.randrange(10**9)}", lambda: "12.10.2019 - 14",
+        lambda: "1 000 000", lambda: "who (at) host (dot) org", lambda: "mail jo at host dot org", lambda: "at noon dot the end", lambda: "a@b.org", lambda: "10.2.3.4", lambda: "chapter-12-of-the-long-story",
+        lambda: "+1 (459) 555-9246 12 34", lambda: "\n", lambda: "é中", lambda: "AKIA" + token(20).upper(), lambda: "key: " + token(22),
+    ]
+    texts = [(i, " ".join(rng.choice(pieces)() for _ in range(rng.randint(1, 8)))) for i in range(400)]
+    docs = frame(spark, texts)
+    models = pii.fitted(pii.candidates(docs.select(docs.doc_id.alias("_p_id"), pii._text("text"))), spark)
+    kinds = set()
+    for r in pii.find(docs).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
+        loose = sorted((s for s in spans if s[0] in pii.LOOSE), key=lambda s: s[1])
+        text = dict(texts)[r["doc_id"]]
+        assert loose == plain_spans(text, models), (text, loose, plain_spans(text, models))
+        kinds |= {s[0] for s in loose}
+    assert kinds == set(pii.LOOSE)
+
+
+def test_formats_are_learned_from_contexts(spark):
+    """Tokens of the form that stands behind key words are found where no word announces them; other long names are left alone."""
+    rng = random.Random(3)
+    token = lambda: "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(28))
+    texts = [(i, f'password = "{token()}"' if i % 2 else "see the product_catalogue_2019_edition here") for i in range(300)]
+    hidden = [(500 + i, f"we had {token()} on the wall") for i in range(20)]
+    names = [(600 + i, f"file report_of_year_20{i:02d}_final here") for i in range(20)]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find(frame(spark, texts + hidden + names)).collect()}
+    assert sum(rows[i] == "secret:7:35" for i, _ in hidden) >= 18
+    assert not any(rows[i] for i, _ in names) and not any(rows[i] for i, _ in texts if not i % 2)
+
+
+def test_many_candidates_fold_in_chunks(spark):
+    many = "call 555 123 4567, " * 3000 + "x " * 10
+    row = pii.find(frame(spark, [(1, many)])).first()
+    spans = row["spans"].split(",")
+    assert len(spans) == 3000 and spans[700] == f"number:{19 * 700 + 5}:{19 * 700 + 17}"
+    assert pii.redact(frame(spark, [(1, many)])).first()["text"] == "call <NUMBER>, " * 3000 + "x " * 10
+
+
+def test_columns_named_like_helpers(spark):
+    docs = frame(spark, [(1, "mail a@b.org"), (2, None)]).withColumnsRenamed({"key": "_p_text", "name": "_p_spans", "label": "_p_id"})
+    got = pii.redact(docs)
+    assert got.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, "mail <EMAIL>"), (2, None)]
 
 
 def test_plan_has_no_python(spark, edges):
