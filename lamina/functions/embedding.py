@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lamina.functions.vectors import l2_normalised
+from lamina.functions.vectors import EPSILON, l2_normalised
 
 GOLDEN = 0.61803
 
@@ -49,27 +50,25 @@ def register_model(name: str, dim: int, load: Callable[[], Callable[[list[str]],
     """A model loaded once per task; texts go through it `batch` at a time.
 
     Without pooling it gives a vector for each text; with "mean" or "cls" it gives, for each
-    text, the vectors of its tokens, which are pooled by column expressions.
+    text, the vectors of its tokens, which become one unit vector as in `mean_pooled` and `cls_pooled`.
     """
+    if pooling not in (None, "mean", "cls"):
+        raise ValueError(f"unknown pooling {pooling!r}")
+
+    def one(tokens) -> list[float]:
+        x = np.asarray(tokens, float)
+        v = x[0] if pooling == "cls" else x.mean(axis=0)
+        return (v / max(float(np.sqrt(v @ v)), EPSILON)).tolist()
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
             every = texts.fillna("").to_list()
-            yield pd.Series([v for at in range(0, len(every), batch) for v in model(every[at : at + batch])])
+            made = [v for at in range(0, len(every), batch) for v in model(every[at : at + batch])]
+            yield pd.Series(made if pooling is None else [one(v) for v in made])
 
-    @F.pandas_udf("array<float>" if pooling is None else "array<array<float>>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from run(batches)
-
-    if pooling is None:
-        register(name, dim, embed)
-    elif pooling == "cls":
-        register(name, dim, lambda text: cls_pooled(embed(text)))
-    elif pooling == "mean":
-        register(name, dim, lambda text: F.transform(F.array(embed(text)), lambda t: mean_pooled(t, F.transform(t, lambda _: F.lit(1))))[0])
-    else:
-        raise ValueError(f"unknown pooling {pooling!r}")
+    register(name, dim, embed)
 
 
 def embedder(name: str, dim: int) -> Callable[[Column], Column]:

@@ -16,8 +16,11 @@ def recall(items: DataFrame, vectors: DataFrame, query: list[float], k: int, sco
 
     exact: filters first, then the top k, so k rows come back wherever k match.
     overfetch: the top 4k of all vectors, then the filters, so a rare scope may give fewer.
-    Vectors without an item are never returned.
+    Vectors without an item are never returned. Items that carry their `embedding` are scanned once, without a join.
     """
+    if mode == "exact" and "embedding" in items.columns:
+        hits = nearest(selected(items, scope, kind), query, k)
+        return hits.drop("embedding").withColumnRenamed("distance", "score").orderBy("score", "id")
     if mode == "exact":
         wanted = selected(items, scope, kind)
         if scope is None and kind is None:

@@ -229,7 +229,7 @@ class Engine:
         """The items nearest to a query."""
         limit = _limit(limit, self.settings.budgets.default_recall_limit, 100)
         items = self.store.items()
-        hits = recall(items.drop("embedding"), items.select("id", "embedding"), self._vector(_text(query, "query")), limit, scope, _kind(kind), mode)
+        hits = recall(items if mode == "exact" else items.drop("embedding"), items.select("id", "embedding"), self._vector(_text(query, "query")), limit, scope, _kind(kind), mode)
         rows = hits.withColumn("created_at", text.rfc3339(F.col("created_at"))).select("id", "content", "kind", "tags", "scope", "created_at", "score").collect()
         return {"hits": [r.asDict() for r in rows]}
 
@@ -355,7 +355,7 @@ class Engine:
         turns = self.spark.createDataFrame(turn_rows, "turn_idx int, role string, content string, turn_at timestamp")
         vector = self._vector(query) if query else None
         rows = context.build_context(
-            pins.read(self.spark, self.pins_path), self.events().where("tier = 'hot'"), items.drop("embedding"), items.select("id", "embedding"), turns,
+            pins.read(self.spark, self.pins_path), self.events().where("tier = 'hot'"), items, items.select("id", "embedding"), turns,
             F.lit(datetime.now(timezone.utc)), query=vector, scope=scope, max_tokens=max_tokens, details=True,
         ).orderBy("layer", "pos")
         rows = rows.withColumns({"at": text.rfc3339(F.col("created_at")), "seen": text.rfc3339(F.col("last_accessed"))}).collect()  # 192 at most

@@ -303,3 +303,45 @@ def test_forgotten_events_leave_the_disk(spark, tmp_path):
     assert [r["payload"] for r in e.events().collect()] == ['{"content": "other"}']
     assert len([f for f in os.listdir(tmp_path / "data" / "episodic") if f.startswith("events")]) == 1
     e.close()
+
+
+def test_streams_of_several_files(spark, tmp_path):
+    """Files that arrive out of order, one a batch: a lateness that covers them loses nothing, none loses what comes late."""
+    from lamina.streaming import events as streams
+
+    kinds = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    days = [[5, 6, 7], [1, 2, 3], [4, 8, 9], [30]]
+    for number, own in enumerate(days):
+        rows = [(100 * number + i, datetime(2024, 1, d, 12), d % 2, "view", 1.0, "{}") for i, d in enumerate(own * 2)]
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        for name in os.listdir(tmp_path / "events.parquet"):  # the order of arrival is that of the files' times
+            path = tmp_path / "events.parquet" / name
+            if path.stat().st_mtime > 2_000_000:
+                os.utime(path, (1_000_000 + number, 1_000_000 + number))
+    counts = lambda lateness: {r["day"].day: r["n"] for r in streams.daily_counts(spark, str(tmp_path), lateness, files=1).collect()}
+    assert counts("20 days") == {d: 2 for d in range(1, 10)}
+    assert set(counts("0 seconds")) < set(range(1, 10))
+    assert streams.first_seen(spark, str(tmp_path)).count() == 2
+    assert sum(r["n"] for r in streams.sessions(spark, str(tmp_path), "36 hours", "20 days", 1).collect()) == 16  # the one of the 9th is still open
+
+
+def test_recall_without_a_join(spark):
+    items = spark.createDataFrame([("a", "s", "fact", [1.0, 0.0]), ("b", "t", "fact", [0.0, 1.0]), ("c", "s", "fact", [0.6, 0.8])], "id string, scope string, kind string, embedding array<float>")
+    one = recall(items, items, [1.0, 0.0], 2, scope="s").collect()
+    two = recall(items.drop("embedding"), items.select("id", "embedding"), [1.0, 0.0], 2, scope="s").select("id", "scope", "kind", "score").collect()
+    assert one == two and "Join" not in recall(items, items, [1.0, 0.0], 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pooling_of_a_model(spark):
+    from lamina.functions import embedding
+
+    load = lambda: lambda texts: [[[float(len(t)), 0.0], [0.0, 1.0]] for t in texts]
+    embedding.register_model("toy-mean", 2, load, "mean", 2)
+    embedding.register_model("toy-cls", 2, load, "cls", 2)
+    df = spark.createDataFrame([("a",), ("bbb",), ("cc",)], "t string")
+    rows = df.select("t", embedding.embedder("toy-mean", 2)(F.col("t")).alias("m"), embedding.embedder("toy-cls", 2)(F.col("t")).alias("c")).collect()
+    for r in rows:
+        n = len(r["t"])
+        assert r["m"] == pytest.approx([n / (n * n + 1) ** 0.5, 1 / (n * n + 1) ** 0.5]) and r["c"] == pytest.approx([1.0, 0.0])
+    with pytest.raises(ValueError):
+        embedding.register_model("toy", 2, load, "max")
