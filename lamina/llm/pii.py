@@ -191,12 +191,17 @@ def count_vectors(found: DataFrame) -> dict[str, list[dict]]:
     """Candidates of the whole corpus by view, kind, fold, vector and label: at most one row for each possible vector; found has `_p_id` and `_p_loose`."""
     fold = F.crc32(F.coalesce(F.col("_p_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     rows = found.where("size(_p_loose) > 0").select(fold.alias("held_out"), F.explode("_p_loose").alias("c"))
-    table = {}
+    both = []
     for view, label, own in (("format", "by_context", "by_format"), ("context", "by_format", "by_context")):
-        # what only its own view speaks for is neither a positive nor a negative there
-        known = rows.where((F.col(f"c.{label}") == 1) | (F.col(f"c.{own}") == 0))
-        counts = known.groupBy("held_out", "c.kind", f"c.{view}", F.col(f"c.{label}").alias("label")).count()
-        table[view] = [r[view].asDict() | {"kind": r["kind"], "held_out": r["held_out"], "label": r["label"], "n": r["count"]} for r in counts.collect()]
+        vector = F.concat_ws(",", *(F.col(f"c.{view}.{f}") for f in VIEWS[view]))
+        both.append(F.struct(F.lit(view).alias("view"), vector.alias("vector"), F.col(f"c.{label}").alias("label"), F.col(f"c.{own}").alias("own")))
+    known = rows.select("held_out", "c.kind", F.explode(F.array(*both)).alias("v"))
+    # what only its own view speaks for is neither a positive nor a negative there
+    known = known.where("v.label = 1 or v.own = 0").groupBy("held_out", "kind", "v.view", "v.vector", "v.label").count()
+    table: dict[str, list[dict]] = {view: [] for view in VIEWS}
+    for r in known.collect():
+        values = dict(zip(VIEWS[r["view"]], map(int, r["vector"].split(",")), strict=True))
+        table[r["view"]].append(values | {"kind": r["kind"], "held_out": r["held_out"], "label": r["label"], "n": r["count"]})
     return table
 
 
@@ -239,7 +244,7 @@ def _columns(cells: list[dict], names: tuple) -> dict[str, np.ndarray]:
     return {f: np.array([c[f] for c in cells], np.int64) for f in (*names, "kind", "label", "n", "held_out")}
 
 
-def fit(cells: list[dict], names: tuple, rounds: int = 20, depth: int = 3, rate: float = 0.3, precision: float = 0.9) -> dict:
+def fit(cells: list[dict], names: tuple, rounds: int = 10, depth: int = 3, rate: float = 0.5, precision: float = 0.9) -> dict:
     """Boosted trees on the counts of the training fold; calibration and a threshold for each kind from the held-out fold."""
     model = {"trees": [], "rate": rate, "slope": 1.0, "shift": 0.0, "thresholds": {}}
     order = sorted(cells, key=lambda c: (c["kind"], *(c[f] for f in names), c["held_out"], c["label"]))

@@ -115,6 +115,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_size: int = 2000, rounds: i
     return linear.packed(w)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, **options) -> dict:
+    """The model alone: the driver gives the sample's memory back."""
+    model = train(docs, labels, **options)
+    workers.give_back()
+    return model
+
+
 def scores(docs: DataFrame, model: dict, *keep: Column | str) -> DataFrame:
     """docs[keep] and `_q_score` for every row, in Arrow batches."""
     small_batches(docs.sparkSession)
@@ -135,12 +142,12 @@ def scores(docs: DataFrame, model: dict, *keep: Column | str) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """doc_id, held_out, score and predicted for every row."""
-    found = scores(docs, train(docs, labels, **options), "doc_id")
+    found = scores(docs, fitted(docs, labels, **options), "doc_id")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_q_score").alias("score"), (F.col("_q_score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns."""
     # as one struct the columns of the documents, whatever their names, clash with nothing
-    found = scores(docs, train(docs, labels, **options), F.struct(*docs.columns).alias("row"))
+    found = scores(docs, fitted(docs, labels, **options), F.struct(*docs.columns).alias("row"))
     return found.where(F.col("_q_score") >= threshold).select("row.*")

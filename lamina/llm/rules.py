@@ -53,6 +53,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     """Counts, base decision, verdict and probability for every row."""
     small_batches(docs.sparkSession)
     model = train(docs, labels, **options)
+    workers.give_back()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,7 +25,8 @@ def kept(owner: str, make: Callable[[], Any]) -> Any:
     return _KEPT[owner]
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Return freed memory to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -44,6 +45,6 @@ def task(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iter
         finally:
             if owner == "":
                 _KEPT.clear()
-            _give_back()
+            give_back()
 
     return inside
