@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.functions import embedding, scoring, text, ulid, vectors
 from lamina.operators import episodic, knn, oplog, tiers, working
+from lamina.operators.positions import numbered
 from lamina.plans import context, diagnostics
 from lamina.plans.recall import recall
 from lamina.schemas import MEMORY_KINDS, OPLOG
@@ -86,13 +86,8 @@ def list_warm(t: Layers) -> DataFrame:
 
 
 def _positions(rows: DataFrame, order: str) -> DataFrame:
-    """Global positions without one task: ranks inside ranges of a range-partitioned sort, plus the sizes of the ranges before."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.expr(k.replace(" desc", "")).desc() if k.endswith(" desc") else F.expr(k).asc() for k in order.split(", ")]
-    placed = Scratch(rows.sparkSession, "sorted").table("rows", rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
-    sizes = placed.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(W.partitionBy("_part").orderBy(*keys))
-    return placed.withColumn("_own", own).join(F.broadcast(sizes), "_part").select(*rows.columns, (F.col("_own") + F.col("_before")).cast("long").alias("pos"))
+    return numbered(rows, keys)
 
 
 @query("select id, tier from t where id in (select max(id) from t group by tier)", t=_tier_sql())
