@@ -77,13 +77,19 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_format", "width", "height")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.resampling import resample
+
+    return resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=25, least_words=20, seed=7)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.whitening import whiten
 
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns, "op13_embedding_whitening": op13_embedding_whitening}
+QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns, "op12_importance_resampling": op12_importance_resampling, "op13_embedding_whitening": op13_embedding_whitening}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
@@ -134,4 +140,25 @@ ORACLES = {
                case when k.keeper is null or k.keeper = q.page_id then 'response' else 'revisit' end as record_type,
                case when k.keeper <> q.page_id then k.keeper end as refers_to
         from q left join k on q.d = k.d and q.n = k.n""",
+    # CRC-32 bit by bit for the table of bytes, byte by byte for each distinct feature
+    "op12_importance_resampling": r"""
+        with m as (select list(list_reduce(range(0, 8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i::bigint) order by i) as tab from range(0, 256) r(i)),
+        texts as (select 'd' as side, doc_id, text from documents union all select 'b', item_id, text from benchmark),
+        w as (select side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from texts),
+        f as (select side, doc_id, unnest(ws || list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1])) as feature from w),
+        g as (select side, doc_id, feature, count(*) as c from f group by all),
+        h as (select feature, hex(encode(feature)) as x from (select distinct feature from g)),
+        b as (select feature, xor(4294967295, list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::bigint),
+                     lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1]), 4294967295)) % 10000 as bucket from h, m),
+        p as (select g.side, g.doc_id, b.bucket, sum(g.c) as c from g join b using (feature) group by all),
+        n as (select bucket, coalesce(sum(c) filter (side = 'd'), 0) as s, coalesce(sum(c) filter (side = 'b'), 0) as t from p group by bucket),
+        z as (select sum(s) as ss, sum(t) as tt from n),
+        gain as (select bucket, floor(1000 * ln((t + 1)::double * (ss + 10000)::double / ((s + 1)::double * (tt + 10000)::double)))::bigint as gain from n, z),
+        d as (select p.doc_id, sum(p.c)::bigint as n_features, sum(p.c * gain.gain)::bigint as total from p join gain using (bucket) where side = 'd' group by p.doc_id),
+        e as (select w.doc_id, len(w.ws) as n_words, coalesce(d.n_features, 0)::bigint as n_features,
+                     case when d.n_features is null then 0 else (d.total - ((d.total % d.n_features) + d.n_features) % d.n_features) // d.n_features end::bigint as weight
+              from w left join d on w.doc_id = d.doc_id where w.side = 'd'),
+        v as (select *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id::varchar), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score from e),
+        r as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from v where n_words >= 20)
+        select v.doc_id, v.n_features, v.weight, v.score, (case when r.place <= 25 * r.n // 100 then r.place end)::bigint as rank from v left join r on v.doc_id = r.doc_id""",
 }
