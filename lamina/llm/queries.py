@@ -77,6 +77,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_format", "width", "height")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lamina.llm.tokenfile import token_files
+
+    return token_files(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.resampling import resample
 
@@ -89,7 +97,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns, "op12_importance_resampling": op12_importance_resampling, "op13_embedding_whitening": op13_embedding_whitening}
+QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns, "op11_token_files": op11_token_files, "op12_importance_resampling": op12_importance_resampling, "op13_embedding_whitening": op13_embedding_whitening}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
