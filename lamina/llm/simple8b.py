@@ -18,57 +18,79 @@ COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 0
 _PLAIN = (1 << 60) - 1
-#: Room after a block for what the selector of its last word says beyond the block's end.
+#: Zeros after each block, which any selector may run into: what a selector says beyond its block's end isn't read.
 _STRIDE = BLOCK + int(COUNTS.max())
 
 
-def _choices(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The selector that takes the most numbers from each place on; ends: the end of each place's block."""
-    n = len(values)
-    here = np.arange(n)
-    left = ends - here
-    most = int(values.max(initial=0))
-    widest = int(np.flatnonzero(BITS[1:] >= most.bit_length())[0]) + 1 if most <= _PLAIN else 15
-    choice = np.full(n, widest, np.int8)
-    for s in range(widest - 1, 0, -1):
-        over = np.flatnonzero(values >> np.uint64(BITS[s]))
-        following = np.full(n, n)
-        if len(over):
-            following[: over[-1] + 1] = np.repeat(over, np.diff(over, prepend=-1))
-        choice[following - here >= np.minimum(left, COUNTS[s])] = s
-    if most > _PLAIN:
-        choice[values > _PLAIN] = ESCAPE
-    return choice
+_LENGTHS = np.zeros(1 << 17, np.uint8)
+for _b in range(17):
+    _LENGTHS[1 << _b :] = _b + 1
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """The bit length of each number, 61 for those of more than 60 bits."""
+    if int(values.max(initial=0)) < len(_LENGTHS):
+        return _LENGTHS[values]
+    lengths = (np.maximum(values.astype(np.float64).view(np.int64) >> 52, 1022) - 1022).astype(np.uint8)
+    large = lengths > 52  # a double may round these up
+    if large.any():
+        lengths[large] = np.where(values[large] > np.uint64(_PLAIN), 61, np.minimum(lengths[large], 60))
+    return lengths
+
+
+def _choices(bits: np.ndarray) -> np.ndarray:
+    """The selector that takes the most numbers from each place on; 0 where even one number is too long.
+
+    Where a selector fits, all of fewer numbers and more bits do, so the one to take follows from how many fit.
+    """
+    longest = {1: bits}  # the largest of the next n bit lengths, by n
+    fitting = (bits <= BITS[-1]).view(np.uint8).copy()
+    for n, most in zip(COUNTS[-2:ESCAPE:-1].tolist(), BITS[-2:ESCAPE:-1].tolist(), strict=True):
+        first = max(longest)
+        rest = min(x for x in longest if first + x >= n)
+        own = longest[first].copy()
+        np.maximum(longest[first][: len(bits) - (n - rest)], longest[rest][n - rest :], out=own[: len(bits) - (n - rest)])
+        longest[n] = own
+        fitting += (own <= most).view(np.uint8)
+    return np.where(fitting > 0, np.uint8(len(COUNTS)) - fitting, np.uint8(ESCAPE)).astype(np.uint8)
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, escaped numbers, first word of each block)."""
     values = np.ascontiguousarray(values, np.uint64)
-    n = len(values)
+    n, blocks = len(values), -(-len(values) // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    ends = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
-    choice = _choices(values, ends)
-    following = np.minimum(np.arange(n) + COUNTS[choice], ends).tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at = following[at]
-    starts = np.array(starts)
+    laid = np.zeros((blocks, _STRIDE), np.uint64)
+    laid[: n // BLOCK, :BLOCK] = values[: n // BLOCK * BLOCK].reshape(-1, BLOCK)
+    if n % BLOCK:
+        laid[-1, : n % BLOCK] = values[n // BLOCK * BLOCK :]
+    laid = laid.reshape(-1)
+    choice = _choices(_bits(laid))
+    counts = np.take(COUNTS.astype(np.uint8), choice)
+    # a step in all blocks at once: the places where their words begin
+    at = np.arange(blocks) * _STRIDE
+    ends = at + BLOCK
+    ends[-1] = at[-1] + n - (blocks - 1) * BLOCK
+    begun = []
+    while len(at):
+        begun.append(at)
+        at = at + counts[at]
+        going = at < ends
+        at, ends = at[going], ends[going]
+    starts = np.sort(np.concatenate(begun))
     chosen = choice[starts]
-    words, escapes = np.zeros(len(starts), np.uint64), values[starts[chosen == ESCAPE]]
-    padded = np.concatenate([values, np.zeros(COUNTS.max(), np.uint64)])
+    words, escapes = np.zeros(len(starts), np.uint64), laid[starts[chosen == ESCAPE]]
     for s in np.unique(chosen).tolist():
         of = np.flatnonzero(chosen == s)
         if s == ESCAPE:
             words[of] = np.arange(len(of), dtype=np.uint64)
             continue
-        first, own = starts[of], np.zeros(len(of), np.uint64)
-        last = ends[first]
+        own, first = np.full(len(of), s << 60, np.uint64), starts[of]
         for k in range(COUNTS[s] if BITS[s] else 0):
-            own |= np.where(first + k < last, padded[first + k], np.uint64(0)) << np.uint64(BITS[s] * k)
-        words[of] = own | np.uint64(s) << np.uint64(60)
-    return words, escapes, np.searchsorted(starts, np.arange(0, n, BLOCK)).astype(np.uint32)
+            own |= laid[first + k] << np.uint64(BITS[s] * k)
+        words[of] = own
+    return words, escapes, np.searchsorted(starts, np.arange(blocks) * _STRIDE).astype(np.uint32)
 
 
 def decode(words: np.ndarray, escapes: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:

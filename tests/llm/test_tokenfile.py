@@ -69,21 +69,30 @@ def test_each_word_takes_as_many_as_fit():
 
 
 def test_pieces_give_the_tokenizers_ids(edge_rows):
-    coder = tokenfile.ByteChunkIds(VOCABULARY)
+    coder = tokenfile.ByteTokens(VOCABULARY)
     assert coder.known
     texts = [t or "" for _, t in edge_rows] + ODD
-    for _ in range(3):  # the second and third time pieces are kept
-        assert [np.frombuffer(x, "<u4").tolist() + [0] for x in coder.encode(texts)] == [ids_of(t) for t in texts]
+    for most in (1 << 20, 1 << 20, 3):  # the second time pieces are known, the third time they are dropped
+        coder.pieces.most = most
+        assert [np.frombuffer(x, "<u4").tolist() + [0] for x in coder.encode([t.encode() for t in texts])] == [ids_of(t) for t in texts]
 
 
-@settings(max_examples=200, deadline=None)
+def test_many_pieces_grow_the_table():
+    coder = tokenfile.ByteTokens(VOCABULARY)
+    texts = [" ".join(f"w{n * 7919 % 1_000_003}x" for n in range(at, at + 4000)) for at in range(0, 80_000, 4000)]
+    for _ in range(2):
+        assert coder.encode([t.encode() for t in texts])[7:9] == [np.array(ids_of.known.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[7:9]]
+    assert coder.pieces.size > 65_536 and len(set(coder.pieces.place.tolist())) == coder.pieces.size + 1
+
+
+@settings(max_examples=600, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \t\n'sStreLl.,!09aéü  <|"), st.characters(codec="utf-8")), max_size=40), max_size=5))
 def test_any_text_gives_the_tokenizers_ids(texts):
     coder = test_any_text_gives_the_tokenizers_ids.coder
-    assert [np.frombuffer(x, "<u4").tolist() + [0] for x in coder.encode(texts)] == [ids_of.known.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() + [0] for x in coder.encode([t.encode() for t in texts])] == [ids_of.known.encode(t, add_special_tokens=False).ids + [0] for t in texts]
 
 
-test_any_text_gives_the_tokenizers_ids.coder = tokenfile.ByteChunkIds(VOCABULARY)
+test_any_text_gives_the_tokenizers_ids.coder = tokenfile.ByteTokens(VOCABULARY)
 ids_of.known = Tokenizer.from_file(VOCABULARY)
 
 
