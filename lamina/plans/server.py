@@ -83,13 +83,15 @@ class Server:
             yield line, whole and len(line) <= LONGEST + 1
 
     def serve(self, source: IO[str], sink: IO[str]) -> None:
-        """Read lines until the end; blanks are skipped, an oversized frame is answered with an error and dropped."""
+        """Read lines until the end; blanks are skipped, an oversized frame is answered with an error and dropped; however the loop ends, the engine is closed."""
         self.engine.open()
-        for line, whole in self._frames(source):
-            if not line.strip():
-                continue
-            reply = self.answer(line) if whole else {"jsonrpc": "2.0", "id": None, "error": {"code": INVALID_REQUEST, "message": "frame too long"}}
-            if reply is not None:
-                sink.write(json.dumps(reply, ensure_ascii=False) + "\n")
-                sink.flush()
-        self.engine.close()
+        try:
+            for line, whole in self._frames(source):
+                if not line.strip():
+                    continue
+                reply = self.answer(line) if whole else {"jsonrpc": "2.0", "id": None, "error": {"code": INVALID_REQUEST, "message": "frame too long"}}
+                if reply is not None:
+                    sink.write(json.dumps(reply, ensure_ascii=False) + "\n")
+                    sink.flush()
+        finally:  # also where the loop is interrupted: turns are saved, the session ends, the lock goes
+            self.engine.close()

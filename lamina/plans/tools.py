@@ -22,6 +22,7 @@ from lamina.plans import context, diagnostics
 from lamina.plans.recall import recall
 from lamina.schemas import EPISODIC_EVENT, MEMORY_KINDS, SCHEMA_VERSION
 from lamina.sources import backup, cold, config, pins, sessions
+from lamina.sources.event_table import EventTable
 from lamina.sources.store import OpLogStore
 
 TOOLS = ("remember", "recall", "update", "forget", "pin", "unpin", "recall_recent", "summarize_session", "record_event", "switch_scope", "stats", "list_scopes", "export")
@@ -94,6 +95,7 @@ class Engine:
         self.settings = settings or config.Config()
         backup.scaffold(root)
         self.store = OpLogStore(spark, f"{root}/semantic", dim, model)
+        self.live_events = self._event_table()
         self.pins_path = f"{root}/procedural/pinned.jsonl"
         self.cold = cold.ColdStore(spark, f"{root}/cold/bundles")
         self.scope = self.settings.scopes.default
@@ -109,32 +111,28 @@ class Engine:
 
     # -- layers
 
-    def events(self) -> DataFrame:
-        """Live events with their tier."""
-        folder = self._events_folder()
-        if not os.path.isdir(folder):
-            return self.spark.createDataFrame([], EPISODIC_EVENT).withColumn("tier", F.lit("hot"))
-        return self.spark.read.parquet(folder)
-
-    def _rewrite_events(self, rows: DataFrame) -> None:
-        """Replace the event table: written beside, then the pointer is swapped, then the old one goes."""
-        made = f"events-{ulid.new()}"
-        rows.write.parquet(f"{self.root}/episodic/{made}")
-        old = self._events_folder()
-        pointer = f"{self.root}/episodic/current"
-        with open(f"{pointer}.tmp", "w") as f:
-            f.write(made)
-        os.replace(f"{pointer}.tmp", pointer)  # from here on the new table is the one
-        shutil.rmtree(old, ignore_errors=True)  # forgotten events don't stay on disk
-
-    def _events_folder(self) -> str:
-        """The folder of the event table: the one that the pointer names, at first the plain one."""
-        pointer = f"{self.root}/episodic/current"
-        name = "events"
+    def _event_table(self) -> EventTable:
+        """The event table; one of the earlier layout, a folder of Parquet files that a pointer may name, is taken over."""
+        home, pointer = f"{self.root}/episodic/events", f"{self.root}/episodic/current"
+        old = home
         if os.path.exists(pointer):
             with open(pointer) as f:
-                name = f.read().strip()
-        return f"{self.root}/episodic/{name}"
+                old = f"{self.root}/episodic/{f.read().strip()}"
+        beside = f"{self.root}/episodic/earlier"
+        if os.path.isdir(old) and any(x.endswith(".parquet") for x in os.listdir(old)):
+            os.replace(old, beside)
+        table = EventTable(self.spark, home)
+        if os.path.isdir(beside):
+            if not table.manifest()["segments"]:
+                table.replace(self.spark.read.schema(table.schema).parquet(beside))
+            shutil.rmtree(beside)
+        if os.path.exists(pointer):
+            os.remove(pointer)
+        return table
+
+    def events(self) -> DataFrame:
+        """Live events with their tier."""
+        return self.live_events.read()
 
     def _vector(self, value: str) -> list[float]:
         return [float(x) for x in self.spark.range(1).select(self.embed(F.lit(value)).alias("v")).first()["v"]]
@@ -142,9 +140,8 @@ class Engine:
     def _append_event(self, kind: str, payload: str, scope: str, tags: list[str], weight: float) -> str:
         now = datetime.now(timezone.utc)
         event_id = ulid.new()
-        row = (event_id, kind, scope, payload, tags, weight, now, now)
-        frame = self.spark.createDataFrame([row], EPISODIC_EVENT).withColumn("tier", F.lit("hot"))
-        frame.coalesce(1).write.mode("append").parquet(self._events_folder())
+        row = {"id": event_id, "kind": kind, "scope": scope, "payload": payload, "tags": tags, "retrieval_weight": weight, "last_accessed": now, "created_at": now, "tier": "hot"}
+        self.live_events.append(row)
         self.activity += 1
         return event_id
 
@@ -185,6 +182,7 @@ class Engine:
             end = {"session_id": self.session["id"], "ended_at": self._now(), "clean_shutdown": True, "turns_total": len(self.session["turns"]), "checkpoints_total": self.checkpoints_total}
             self._append_event("session_end", json.dumps(end), self.scope, [], 0.5)
         self.checkpoint(clean=True)
+        self.live_events.purge()
         if self.store.pending():
             self.store.compact()
         self.store.close()
@@ -259,7 +257,7 @@ class Engine:
         found = episodic.find(self.events(), id).where("tier <> 'cold'").first()
         if found is None:
             return {"forgotten": False, "layer": None}
-        self._rewrite_events(episodic.forget(self.events(), id))
+        self.live_events.forget(id)
         self.activity += 1
         return {"forgotten": True, "layer": found["tier"]}
 
@@ -380,5 +378,5 @@ class Engine:
         if counts["archived_to_cold"]:
             self.cold.archive(archived)
         if sum(counts.values()):
-            self._rewrite_events(rows.where("not archived").drop("promoted", "archived"))
+            self.live_events.replace(rows.where("not archived").drop("promoted", "archived"))
         return counts

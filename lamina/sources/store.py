@@ -8,10 +8,10 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.operators import oplog
@@ -25,6 +25,8 @@ MIGRATIONS: dict = {}
 class OpLogStore:
     def __init__(self, spark: SparkSession, root: str, dim: int, model: str = "stub"):
         self.spark, self.root, self.dim, self.model = spark, root, dim, model
+        #: Held from the choice of the next lsn until its rows are there: tools, streams and compaction write one after another.
+        self.mutex = threading.RLock()
         os.makedirs(f"{root}/oplog", exist_ok=True)
         self._lock()
         if not os.path.exists(f"{root}/manifest.json"):
@@ -99,6 +101,10 @@ class OpLogStore:
 
     def append(self, ops: list[dict]) -> int:
         """Write a group of ops as one file, or none of them; returns the last lsn."""
+        with self.mutex:
+            return self._append(ops)
+
+    def _append(self, ops: list[dict]) -> int:
         first = self.last_lsn() + 1
         rows = [tuple(lsn if f.name == "lsn" else op.get(f.name) for f in OPLOG.fields) for lsn, op in enumerate(ops, first)]
         for row in rows:
@@ -116,20 +122,28 @@ class OpLogStore:
         """
         if not stream.isalnum():
             raise ValueError("the name of a stream has letters and digits only")
-        if number <= self.applied(stream):
-            return False
-        ops = ops.withColumn("_order", F.monotonically_increasing_id()).persist()
+        with self.mutex:
+            return number > self.applied(stream) and self._append_batch(ops, stream, number)
+
+    def _append_batch(self, ops: DataFrame, stream: str, number: int) -> bool:
+        # a monotonically increasing id is the number of a partition, and in its low 33 bits that of a row in it
+        ops = ops.withColumn("_at", F.monotonically_increasing_id()).persist()
+        part, place = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
         try:
-            n = ops.count()
-            if not n:
+            sizes = sorted(tuple(r) for r in ops.groupBy(part.alias("p")).count().collect())  # one row a partition
+            if not sizes:
                 return False
-            first = self.last_lsn() + 1
+            first = at = self.last_lsn() + 1
+            starts = []
+            for p, n in sizes:
+                starts.append((p, at))
+                at += n
+            begin = F.broadcast(self.spark.createDataFrame(starts, "_p long, _first long"))
             wrong = F.size("embedding") != self.dim
             checked = F.when(wrong, F.raise_error(F.lit(f"vectors must have {self.dim} values")).cast("array<float>")).otherwise(F.col("embedding"))
-            # the source's rate limit bounds a batch, so one task can number it
-            rows = ops.withColumn("lsn", F.row_number().over(W.orderBy("_order")) + F.lit(first - 1)).withColumn("embedding", checked)
+            rows = ops.withColumn("_p", part).join(begin, "_p").withColumn("lsn", F.col("_first") + place).withColumn("embedding", checked)
             rows = rows.select(*(F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in OPLOG.fields))
-            rows.write.mode("overwrite").parquet(f"{self.root}/oplog/ops-{first:020d}-{first + n - 1:020d}-{stream}-{number:020d}")
+            rows.write.mode("overwrite").parquet(f"{self.root}/oplog/ops-{first:020d}-{at - 1:020d}-{stream}-{number:020d}")
         finally:
             ops.unpersist()
         return True
@@ -154,6 +168,10 @@ class OpLogStore:
 
     def compact(self) -> int:
         """Write the current rows as a new snapshot, swap the manifest, drop covered files; returns the snapshot's lsn."""
+        with self.mutex:
+            return self._compact()
+
+    def _compact(self) -> int:
         last = self.last_lsn()
         name = f"snapshot-{uuid.uuid4().hex}"
         rows = self.items().withColumn("op", F.lit("insert")).select([f.name for f in OPLOG.fields])
