@@ -40,8 +40,68 @@ def _query_blocks(queries: DataFrame, vec_col: str, block: int) -> Iterator[tupl
 def _merged_best(best: tuple[np.ndarray, np.ndarray], d: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k smallest (distance, id) of each row, of those so far and new ones."""
     best_d, best_i = np.hstack([best[0], d]), np.hstack([best[1], np.broadcast_to(key, d.shape)])
-    keep = np.lexsort((best_i, best_d), axis=1)[:, :k]
-    return np.take_along_axis(best_d, keep, 1), np.take_along_axis(best_i, keep, 1)
+    last = np.partition(best_d, k - 1, axis=1)[:, k - 1]
+    row, at = np.nonzero(best_d <= last[:, None])  # k of each row, and what ties with the last one
+    order = np.lexsort((best_i[row, at], best_d[row, at], row))
+    row, at = row[order], at[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    out = (np.empty_like(best[0]), np.empty_like(best[1]))
+    out[0][row[keep], place[keep]], out[1][row[keep], place[keep]] = best_d[row[keep], at[keep]], best_i[row[keep], at[keep]]
+    return out
+
+
+def _kept(ids: np.ndarray, best: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    hit = np.isfinite(best[0])
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, hit.sum(axis=1))), pa.array(best[1][hit]), pa.array(best[0][hit])], names=["qid", "id", "distance"])
+
+
+#: Rows of the corpus that a block of queries is compared with at once.
+STEP = 2048
+
+
+def _gridded(corpus: DataFrame, queries: DataFrame, k: int, d: int, blocks: int) -> DataFrame:
+    """(qid, id, distance) of at most k rows per query and part of the corpus, both sides shuffled.
+
+    The corpus is dealt over parts, the queries over blocks, and each pair of a part and a
+    block is a cell: a part goes to the cells of all blocks, a block to those of all parts. In
+    a cell the queries come first and stay in memory, the rows of the corpus stream past.
+    """
+    parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("qid", "v").withColumn("b", deal(blocks)).select(every(parts).alias("p"), "b", F.lit(0).alias("kind"), F.col("qid").alias("key"), "v")
+    rows = corpus.withColumn("p", deal(parts)).select("p", every(blocks).alias("b"), F.lit(1).alias("kind"), F.col("id").alias("key"), "v")
+    cells = asked.unionByName(rows).withColumn("cell", F.col("p") * blocks + F.col("b"))
+    dealt = cells.repartition(parts, "cell").sortWithinPartitions("cell", "kind").select("cell", "kind", "key", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting, ids, q, best = None, [], None, None, None
+        for batch in batches:
+            cell, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            group = cell.astype(np.int64) * 2 + kind
+            bounds = np.flatnonzero(np.diff(group, prepend=-1))
+            for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(group)], strict=True):
+                if cell[lo] != at:
+                    if best is not None:
+                        yield _kept(ids, best)
+                    at, waiting, best = cell[lo], [], None
+                key = batch.column(2).slice(lo, hi - lo).to_numpy()
+                x = batch.column(3).slice(lo, hi - lo).flatten().to_numpy().astype(np.float64).reshape(-1, d)
+                if kind[lo] == 0:
+                    waiting.append((key, x))
+                    continue
+                if not waiting:
+                    continue  # a part without queries
+                if best is None:
+                    ids, q = (np.concatenate(c) for c in zip(*waiting, strict=True))
+                    best = (np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max))
+                for s in range(0, len(x), STEP):
+                    best = _merged_best(best, np.round(1.0 - q @ x[s : s + STEP].T, 6) + 0.0, key[s : s + STEP], k)
+        if best is not None:
+            yield _kept(ids, best)
+
+    return dealt.mapInArrow(run, "qid long, id long, distance double")
 
 
 def _scanned(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
@@ -56,7 +116,7 @@ def _scanned(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, centres:
             key = batch.column(0).to_numpy()[ok]
             x = batch.column(1).filter(pa.array(ok)).flatten().to_numpy().astype(np.float64).reshape(-1, q.shape[1])
             if centres is None:
-                groups = [(slice(None), slice(at, at + 8192)) for at in range(0, len(x), 8192)]
+                groups = [(slice(None), slice(at, at + STEP)) for at in range(0, len(x), STEP)]
             else:
                 own = np.argmax(x @ centres.T, axis=1)
                 groups = [(np.flatnonzero((open_lists == c).any(axis=1)), np.flatnonzero(own == c)) for c in np.unique(own).tolist()]
@@ -64,8 +124,7 @@ def _scanned(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, centres:
                 d = np.round(1.0 - q[rows] @ x[some].T, 6) + 0.0
                 found = _merged_best((best[0][rows], best[1][rows]), d, key[some], k)
                 best[0][rows], best[1][rows] = found
-        hit = np.isfinite(best[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, hit.sum(axis=1))), pa.array(best[1][hit]), pa.array(best[0][hit])], names=["qid", "id", "distance"])
+        yield _kept(ids, best)
 
     return corpus.mapInArrow(scan, "qid long, id long, distance double")
 
@@ -81,13 +140,23 @@ def _ranked(parts: list[DataFrame], corpus: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", block: int = 2000) -> DataFrame:
-    """(qid, id, distance, rank) of the k nearest rows for every row of queries(qid, embedding).
+    """(qid, id, distance, rank) of the k nearest rows for every row of queries(qid, embedding); vectors of another length than the first query's don't count.
 
-    The query set is read in blocks of bounded size that travel to the tasks; a task keeps k
-    candidates per query, so k rows per query and task meet in the final ranking.
+    A query set of one block at most travels to the tasks, which scan the corpus where it is.
+    A larger one is never on the driver: both sides are shuffled in blocks. Either way a task
+    keeps k candidates per query, and those of all tasks meet in the final ranking.
     """
-    rows = corpus.select(F.col(id_col).cast("long"), vec_col)
-    return _ranked([_scanned(rows, ids, q, k) for ids, q in _query_blocks(queries, vec_col, block)], corpus, k)
+    empty = corpus.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
+    asked = queries.where(F.size(vec_col) > 0).select(F.col("qid").cast("long").alias("qid"), F.col(vec_col).cast("array<float>").alias("v"))
+    first = asked.select(F.size("v")).first()
+    if k == 0 or first is None:
+        return empty
+    asked = asked.where(F.size("v") == first[0])
+    blocks = -(-asked.count() // block)
+    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.size("v") == first[0])
+    if blocks > 1:
+        return _ranked([_gridded(rows, asked, k, first[0], blocks)], corpus, k)
+    return _ranked([_scanned(rows, ids, q, k) for ids, q in _query_blocks(asked, "v", block)], corpus, k)
 
 
 def centres_of(corpus: DataFrame, lists: int, sample: int, id_col: str = "id", vec_col: str = "embedding", rounds: int = 12) -> np.ndarray:

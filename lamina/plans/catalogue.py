@@ -17,6 +17,7 @@ from lamina.session import Scratch
 from lamina.sources import cold, pins, sessions, testdata
 from lamina.sources.store import OpLogStore
 from lamina.sources.testdata import Layers
+from lamina.sources.vector_index import GraphIndex
 from lamina.streaming import events as streams
 from lamina.streaming import jobs
 
@@ -716,3 +717,90 @@ def ann_lists_recall(t: Layers) -> DataFrame:
     hits = exact.select("qid", "id").join(near.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left").groupBy("qid").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
     rows = hits.join(near.groupBy("qid").agg(F.count("*").alias("found")), "qid", "left")
     return rows.agg(F.min(F.coalesce("found", F.lit(0))).alias("least"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("enough"))
+
+
+# ---- the stored index
+
+_INDEXES: dict[tuple[str, str], GraphIndex] = {}
+
+
+def _index(t: Layers) -> GraphIndex:
+    """The stored index of all vectors with the scope and kind of their items, built once for an application and a folder of tables."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _INDEXES:
+        rows = t.vectors.join(t.semantic.select("id", "scope", "kind"), "id", "left")
+        index = GraphIndex(t.spark, Scratch(t.spark, "index").path("all"))
+        index.build(rows, lsn=1000)
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+def _hundredth(t: Layers) -> DataFrame:
+    return t.vectors.where("id % 100 = 0").selectExpr("id as qid", "embedding")
+
+
+@query(
+    "select qid, id, distance, rank from (select *, row_number() over (partition by qid order by distance, id)::int as rank from d) where rank <= 10",
+    d="select q.id as qid, v.id, round(1 - list_inner_product(v.embedding::double[], q.embedding::double[]), 6) + 0.0 as distance from vecs v, vecs q",
+)
+def knn_batch_all(t: Layers) -> DataFrame:
+    """The neighbours of every vector: both sides are shuffled in blocks."""
+    return knn.nearest_batch(t.vectors, t.vectors.selectExpr("id as qid", "embedding"), 10, block=250)
+
+
+@query("select count(*)::bigint as queries, true as enough from vecs where id % 100 = 0")
+def ann_graph_recall(t: Layers) -> DataFrame:
+    """Search in the stored graph for every hundredth vector against exact search: the queries, and whether 0.9 of all neighbours were found."""
+    near = _index(t).search(_hundredth(t), 10).select("qid", "id", F.lit(1).alias("hit"))
+    exact = knn.nearest_batch(t.vectors, _hundredth(t), 10)
+    hits = exact.select("qid", "id").join(near, ["qid", "id"], "left")
+    return hits.agg(F.count_distinct("qid").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query()
+def ann_graph_compared(t: Layers) -> DataFrame:
+    """The vectors that each query of ann_graph_recall is compared with, and their part of the corpus."""
+    n = t.vectors.count()
+    return _index(t).met(_hundredth(t), 10).select("qid", "compared", (F.col("compared") / n).alias("share"))
+
+
+_TAIL = """select 1000 + id as lsn, 'insert' as op, 1000000 + id as id, {reverse}(embedding) as embedding from {v} where id % 10 = 3
+  union all select 2000000 + id, 'replace', id, {reverse}(embedding) from {v} where id % 10 = 5
+  union all select 3000000 + id, 'delete', id, null from {v} where id % 10 = 7"""
+_LIVE = """select id, case when id % 10 = 5 then list_reverse(embedding) else embedding end as embedding from vecs where id % 10 <> 7
+  union all select 1000000 + id, list_reverse(embedding) from vecs where id % 10 = 3"""
+_NEAR = "select q.id as qid, v.id, round(1 - list_inner_product(v.embedding::double[], q.embedding::double[]), 6) + 0.0 as distance from live v, vecs q where q.id % 100 = 0"
+_RANKED = "select qid, id, distance, rank from (select *, row_number() over (partition by qid order by distance, id)::int as rank from d) where rank <= 10"
+
+
+def _tail(t: Layers) -> DataFrame:
+    """Inserts, replaced vectors and deletes after the index's version."""
+    return t.spark.sql(_TAIL.format(v="{v}", reverse="reverse"), v=t.vectors)
+
+
+@query(_RANKED, live=_LIVE, d=_NEAR)
+def index_overlay_search(t: Layers) -> DataFrame:
+    """The stored graph under a log: touched ids are hidden in the search, what lives of them is searched exactly."""
+    return _index(t).search(_hundredth(t), 10, _tail(t), beam=100, width=25).select("qid", "id", "distance", "rank")
+
+
+@query(_RANKED, live=_LIVE, d=_NEAR)
+def index_rebuilt_search(t: Layers) -> DataFrame:
+    """The same after the log has been taken into a version of its own."""
+    rebuilt = GraphIndex(t.spark, Scratch(t.spark, "index").path("rebuilt"))
+    rebuilt.build(_index(t).live(_tail(t)), lsn=4_000_000)
+    return rebuilt.search(_hundredth(t), 10, _tail(t).where("lsn > 4000000"), beam=100, width=25).select("qid", "id", "distance", "rank")
+
+
+@query("select (select count(*) from live)::bigint as live, (select count(*) from vecs where id % 10 in (3, 5, 7))::bigint as pending", live=_LIVE)
+def index_pending(t: Layers) -> DataFrame:
+    """Live vectors under the log, and the ids that wait for the next version."""
+    tail = _tail(t)
+    waiting = _index(t).replayed(tail)[0].agg(F.count("*").alias("pending"))
+    return _index(t).live(tail).agg(F.count("*").alias("live")).crossJoin(waiting)
+
+
+@query(f"select id, {_DIST} as distance from vecs v where id in (select id from items where scope = 'es') order by distance, id limit 10")
+def recall_bounds_exact(t: Layers) -> DataFrame:
+    """The nearest vectors of a scope: lists are opened until their bounds prove the answer."""
+    return _index(t).search_bounded(t.query_vector(VEC), 10, F.col("scope") == "es")[0]
