@@ -2,7 +2,7 @@
 
 Generators with high recall propose overlapping spans: four strict kinds (email, ip,
 card, phone) whose checks decide alone, and loose kinds (written-out addresses, long
-numbers, long tokens), which read the text with the strict spans blanked out. Each loose
+numbers, tokens and values assigned to key words, bank accounts), which read the text with the strict spans blanked out. Each loose
 candidate has two vectors of features, one of its format and one of its context, and two
 weak labels: its context speaks for it (a contact, card or key word before it), or its
 format does (bracketed separators, the shape of a telephone number or a checksum, the form
@@ -37,19 +37,30 @@ from pyspark.sql import functions as F
 from lamina.session import Scratch
 
 STRICT = ("email", "ip", "card", "phone")
-LOOSE = ("address", "number", "secret")
+LOOSE = ("address", "number", "secret", "iban")
+_AT, _DOT = r"(?:\(at\)|\[at\]|\{at\}|<at>)", r"(?:\(dot\)|\[dot\]|\{dot\}|<dot>| dot )"
+#: Parts of a domain up to the last one; with a bracketed `at` plain dots part them too.
+_PARTS = r"[a-z0-9-]++(?: ?{dot} ?[a-z0-9-]++)* ?{dot} ?[a-z][a-z0-9-]++"
+_KEY_WORD = r"(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|key|auth)"
 #: The generators. A prefix test spares most texts the search; it never rejects a text with a match.
 GENERATORS = {
     "email": (r"@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     "ip": (r"[0-9]\.[0-9]", r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}"),
     "card": (r"[0-9](?:[ -]?[0-9]){12}", r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"),
     "phone": (r"\+[0-9]", r"\+[0-9](?:[ ().-]*+[0-9]){8,14}+(?![ ().-]*+[0-9])"),
+    # a local part of any length and all parts of the domain, whatever the case
     "address": (
-        r"(?:[(\[ ]dot[)\] ])",
-        r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}",
+        r"(?i)(?:[(\[{< ]dot[)\]}> ]|[(\[{<]at[)\]}>])",
+        r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?: ?" + _AT + " ?" + _PARTS.replace("{dot}", f"(?:{_DOT}|[.])") + "| at " + _PARTS.replace("{dot}", _DOT) + ")",
     ),
     "number": (r"[0-9][0-9 ().-]{6}", r"[0-9](?<![0-9][0-9])[0-9 ().-]{6,}[0-9]"),
-    "secret": (r"[0-9]", r"[A-Za-z0-9_-](?<![A-Za-z0-9_-][A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{19,}+"),
+    # long tokens with a digit; what is assigned to a key word with "=", or with ":" if it is long or has a digit
+    "secret": (
+        r"[0-9]|(?i:" + _KEY_WORD + r"[\"']?[ ]{0,2}[:=])",
+        r"[A-Za-z0-9_-](?<![A-Za-z0-9_-][A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{19,}+"
+        r"|(?<=[:= \"'])(?<=[:=][ ]{0,2}[\"']?)(?<=(?i:" + _KEY_WORD + r")[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?)(?<![^\s\"':=])(?:(?<=[=][ ]{0,2}[\"']?)[^\s\"',;]{6,}+|(?=[^\s\"',;]*?[0-9])[^\s\"',;]{6,}+|[^\s\"',;]{16,}+)",
+    ),
+    "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"),
 }
 #: Words before a span that speak for it.
 CONTEXT = (
@@ -58,14 +69,14 @@ CONTEXT = (
     (3, r"(?i)(?:card|visa|iban|account|ssn)[^A-Za-z]{0,4}$"),
 )
 #: Separators of a written-out address that no running text has, the shape of a telephone number, the forms of known keys.
-BRACKETS = (r"[(\[]at[)\]]", r"[(\[]dot[)\]]")
+BRACKETS = (r"(?i)[(\[{<]at[)\]}>]", r"(?i)[(\[{<]dot[)\]}>]")
 TELEPHONE = r"^(?:[0-9]{1,3}[ .-])?[(]?[0-9]{3}[)]?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$"
 KNOWN_KEY = r"^(?:(?:AKIA|ASIA|ghp_|gho_|sk-|sk_|xox[abp]-|eyJ|glpat-).{16,}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 #: Of features that part the candidates alike, the trees take the first.
 FORMAT = ("mark", "digits", "letters", "separators", "size", "variety", "runs", "tight")
 AROUND = ("context", "assigned", "opens", "closes", "line")
 VIEWS = {"format": FORMAT, "context": AROUND}
-_ADDRESS, _NUMBER, _SECRET = (len(STRICT) + LOOSE.index(name) for name in LOOSE)
+_ADDRESS, _NUMBER, _SECRET, _IBAN = (len(STRICT) + LOOSE.index(name) for name in LOOSE)
 #: Examples of each loose kind and whether they are personal data.
 EXAMPLES = (
     (_ADDRESS, 1, "write to jane (at) host (dot) org today"), (_ADDRESS, 1, "mail bob.smith [at] site [dot] net"), (_ADDRESS, 1, "ask ann [at] mail [dot] org"), (_ADDRESS, 1, "contact ann at mail dot com"),
@@ -77,7 +88,10 @@ EXAMPLES = (
     (_SECRET, 1, 'api_key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"'), (_SECRET, 1, "token: ghp_16C7e42F292c6912E7710c838347Ae178B4a"), (_SECRET, 1, 'secret="wJalrXUtnFEMI7MDENGbPxRfiCYEXAMPLEKEY1"'),
     (_SECRET, 1, "password = hT7kq92LmZx04VbnQp81"), (_SECRET, 1, "bearer eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9"), (_SECRET, 0, "words and_a_long_name_with_1_digit_inside here"), (_SECRET, 0, "the covid-19-related-restrictions of"),
     (_SECRET, 0, "see chapter-12-of-the-long-story"), (_SECRET, 0, "a 00000000000000000000000 run"), (_SECRET, 0, "file product_catalogue_2019_edition"), (_SECRET, 0, "----------2019----------"),
-    (_SECRET, 0, "donaudampfschifffahrt1234567890gesellschaft"),
+    (_SECRET, 0, "donaudampfschifffahrt1234567890gesellschaft"), (_SECRET, 1, "pwd=openthedoornow"), (_SECRET, 1, "passphrase: allthegreenhorsesrun"),
+    (_SECRET, 1, "(password: ninelongquietwords7) as said"), (_SECRET, 1, "log in with pwd='hT7kq9!x' now"), (_SECRET, 1, "secret = opensesame1, then go"), (_SECRET, 1, '"token": "Zx9-kkq2/+"}'), (_SECRET, 1, "(secret=theroadgoeseveron)"),
+    (_IBAN, 1, "iban DE89 3704 0044 0532 0130 00"), (_IBAN, 1, "to FR1420041010050500013M02606 today"), (_IBAN, 1, "account GB29 NWBK 6016 1331 9268 19"), (_IBAN, 1, "x AT61 1904 3002 3457 3201"),
+    (_IBAN, 0, "the model AB12 3456 7890 1234 came"), (_IBAN, 0, "code XX00 AAAA BBBB CCCC here"), (_IBAN, 0, "part GH45 1111 2222 3333 44 of"), (_IBAN, 0, "plate KL20 9988 7766 55"),
 )
 #: Rows that an example counts for.
 EXAMPLE_ROWS = 5
@@ -137,6 +151,9 @@ _LUHN = f"""transform(array({_DIGITS}), d -> aggregate(sequence(1, length(d)), 0
     array(int(substring(d, length(d) - i + 1, 1)) * if(i % 2 = 0, 2, 1)), v -> if(v > 9, v - 9, v))[0]))[0] % 10 = 0"""
 _VALID = f"""case c.kind when 0 then true when 1 then forall(split(c.value, '[.]'), p -> coalesce(try_cast(p as int), 256) <= 255)
     when 2 then {_LUHN} when 3 then true else false end"""
+#: The first four characters at the end, letters as 10 to 35: 1 is left over of 97.
+_MOD97 = """transform(array(replace(c.value, ' ', '')), v -> aggregate(split(concat(substring(v, 5), left(v, 4)), ''), 0,
+    (s, x) -> if(x = '', s, if(x rlike '[0-9]', s * 10 + int(x), s * 100 + ascii(x) - 55) % 97)))[0] = 1"""
 _QUOTE = "\"" + chr(39)
 
 
@@ -145,7 +162,8 @@ def _features() -> dict[str, str]:
     context = "case " + " ".join(f"when c.before rlike {_sql_text(p)} then {n}" for n, p in CONTEXT) + " else 0 end"
     bucket = lambda value, bounds: f"(case {' '.join(f'when {value} <= {b} then {n}' for n, b in enumerate(bounds))} else {len(bounds)} end)"
     mark = f"""case c.kind when {_ADDRESS} then int(c.value rlike {_sql_text(BRACKETS[0])}) + int(c.value rlike {_sql_text(BRACKETS[1])})
-        when {_NUMBER} then int(c.value rlike {_sql_text(TELEPHONE)} or length({_DIGITS}) between 13 and 19 and {_LUHN}) else int(c.value rlike {_sql_text(KNOWN_KEY)}) end"""
+        when {_NUMBER} then int(c.value rlike {_sql_text(TELEPHONE)} or length({_DIGITS}) between 13 and 19 and {_LUHN})
+        when {_IBAN} then int({_MOD97}) else int(c.value rlike {_sql_text(KNOWN_KEY)}) end"""
     side = lambda text, far, near: f"case when {text} = '' then 0 when {text} rlike {_sql_text(far)} then 1 when {text} rlike {_sql_text(near)} then 2 else 3 end"
     parts = {
         "digits": bucket(f"length({_DIGITS})", (0, 3, 6, 9, 12)),
@@ -167,7 +185,7 @@ def _features() -> dict[str, str]:
 
 #: Weak labels, each from the view that the trees of the other don't see.
 _LABELS = {
-    "format": f"int(case c.kind when {_ADDRESS} then v.context.context = 1 when {_NUMBER} then v.context.context in (1, 3) else v.context.context = 2 and v.context.assigned = 1 end)",
+    "format": f"int(case c.kind when {_ADDRESS} then v.context.context = 1 when {_NUMBER} then v.context.context in (1, 3) when {_IBAN} then v.context.context = 3 else v.context.context = 2 and v.context.assigned = 1 end)",
     "context": f"int(v.format.mark > 0)",
 }
 
@@ -346,7 +364,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
     # as one struct the columns of the documents, whatever their names, clash with nothing
-    found = candidates(docs.select(F.struct(*docs.columns).alias("_p_row"), F.col(id_col).alias("_p_id"), _text(text_col)))
+    found = candidates(docs.select(F.struct(*docs.columns).alias("_p_row"), F.col(id_col).alias("_p_id"), _text(text_col))).drop("_p_text")
+    # the generators read each text once: what they find is written beside the row, for the counts and for the scores
+    found = Scratch(docs.sparkSession, "redact").table("candidates", found).withColumn("_p_text", F.coalesce(F.col("_p_row")[text_col].cast("string"), F.lit("")))
     rows = select_spans(found, fitted(found, docs.sparkSession))
     names = ", ".join(f"'<{n.upper()}>'" for n in (*STRICT, *LOOSE))
 
