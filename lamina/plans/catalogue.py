@@ -19,7 +19,7 @@ from lamina.sources.store import OpLogStore
 from lamina.sources.testdata import Layers
 from lamina.sources.vector_index import GraphIndex
 from lamina.streaming import events as streams
-from lamina.streaming import jobs
+from lamina.streaming import jobs, schedulers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -705,6 +705,36 @@ def idle_gate_runs(t: Layers) -> DataFrame:
     return streams.gate_runs(t.episodic, 60)
 
 
+_CLOSES = "case when session_id % 2 = 0 then interval 10 second else interval 40 second end"
+
+
+@query(
+    """select session_id, turn_at as flushed_at, 'turns' as reason, 5::bigint as turns, turn_idx::bigint as through from n where n % 5 = 0
+       union all select session_id, least(due, closed) as flushed_at, case when due <= closed then 'timer' else 'shutdown' end as reason, waiting as turns, through from w""",
+    n="select *, row_number() over (partition by session_id order by turn_idx) as n, count(*) over (partition by session_id) as total from turns",
+    w=f"""select session_id, min(turn_at) + interval 30 second as due, max(turn_at) + any_value({_CLOSES}) as closed, count(*) as waiting, max(turn_idx)::bigint as through
+          from n where n > total - total % 5 group by session_id""",
+)
+def checkpoint_stream(t: Layers) -> DataFrame:
+    """The checkpoint scheduler as a stream over turns and closes: by five turns, by its timer of 30 seconds, or at the close 10 or 40 seconds after the last turn."""
+    scratch = Scratch(t.spark, "signals")
+    closes = t.turns.groupBy("session_id").agg(F.max("turn_at").alias("last")).select("session_id", (F.col("last") + F.expr(_CLOSES.replace("second ", "seconds "))).alias("close_at"))
+    scratch.table("rows", schedulers.signals(t.turns, closes))
+    return schedulers.checkpoint_flushes(t.spark, scratch.path("rows"))
+
+
+@query(
+    "select store, tick, not exists (select 1 from a where a.store = k.store and a.hour = k.tick - interval 1 hour) as ran from k",
+    a="select distinct scope as store, date_trunc('hour', created_at)::timestamp as hour from epi",
+    k="select store, unnest(generate_series(min(hour) + interval 1 hour, (select max(hour) from a), interval 1 hour)) as tick from a group by store",
+)
+def idle_gate_stream(t: Layers) -> DataFrame:
+    """The consolidation scheduler as a stream over the writes of each scope: hourly ticks, and whether nothing was written since the one before."""
+    scratch = Scratch(t.spark, "writes")
+    scratch.table("rows", t.episodic.select(F.col("scope").alias("store"), F.col("created_at").alias("at")))
+    return schedulers.idle_gate_ticks(t.spark, scratch.path("rows"))
+
+
 # ---- approximate search
 
 
