@@ -327,6 +327,19 @@ def apply_masks(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "digest", "text", "marks").mapInArrow(workers.task(run), "doc long, digest long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def once_each(texts: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """texts(doc, digest, text) with one row of each (doc, digest); rows is the same without texts.
+
+    Only keys that have several rows are grouped, and tasks keep one of their rows before the shuffle.
+    """
+    key = ["doc", "digest"]
+    several = scratch.table("several", rows.groupBy(*key).count().where("count > 1").select(*key))
+    if several.isEmpty():
+        return texts
+    grouped_ = texts.join(several, key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
+    return texts.join(several, key, "left_anti").unionByName(grouped_)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
@@ -343,6 +356,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a text is its SHA-256; its short digest only says in tables of names and marks which text of a document is meant
     owners = scratch.table("owners", rows.groupBy("sha").agg(F.min("doc").alias("doc"), F.first("digest").alias("digest")))
 
+    single = once_each(texts.select("doc", "digest", "text"), rows, scratch)
+
     shared = scratch.table("shared", shared_names(name_rows(texts.select("digest", "text"))))
     release(scratch)  # the shuffle of names
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -354,7 +369,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Texts, once each, with their names of `some`."""
         lists = some.groupBy("digest").agg(F.collect_list("name").alias("names"))  # bounded by the text's own length
         lists = lists.join(owners.select("digest", "doc"), "digest").dropDuplicates(["doc", "digest"])
-        return texts.select("doc", "digest", "text").join(lists, ["doc", "digest"])
+        return single.join(lists, ["doc", "digest"])
 
     usual = shared.join(very, "name", "left_anti") if any_hot else shared
     marks = removed_windows(context_rows(gathered(usual)))
@@ -364,8 +379,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.drop("shared", "very", "hot_windows", "lowest")
     release(scratch)
     lists = marks.groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
-    cut = apply_masks(texts.select("doc", "digest", "text").join(lists, ["doc", "digest"]))
-    cut = scratch.table("cut", cut.drop("kept").dropDuplicates(["doc", "digest"]))
+    cut = scratch.table("cut", apply_masks(single.join(lists, ["doc", "digest"])).drop("kept"))
     scratch.drop("marks")
 
     named = rows.join(owners.select("sha", F.col("doc").alias("owner")), "sha").join(cut, ["doc", "digest"], "left")

@@ -104,3 +104,28 @@ def test_shared_names_over_batches(spark):
 def test_runs_part_prefixes_that_share_a_hash():
     order, head = substrings._runs(np.array([5, 5, 5, 1], np.uint64), np.array([1, 2, 1, 1], np.uint64))
     assert order.tolist() == [3, 0, 2, 1] and head.tolist() == [True, True, False, True]
+
+
+def test_repeated_rows_are_searched_once(spark, monkeypatch):
+    """A row that comes 200 times: its contexts are those of one row, each copy has its result."""
+    counts, own = [], substrings.removed_windows
+
+    def counted(contexts):
+        counts.append(contexts.count())
+        return own(contexts)
+
+    monkeypatch.setattr(substrings, "removed_windows", counted)
+    text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(400))
+    one = [(1, text), (2, text[:390] + " other end")]
+    many = [one[0], *[one[1]] * 200, (1, "short"), (1, "short")]
+    assert results(substrings.remove_repeats(frame(spark, one))) == brute(one)
+    assert results(substrings.remove_repeats(frame(spark, many).repartition(9))) == brute(many)
+    assert counts[0] == counts[1] > 0
+
+
+@pytest.mark.parametrize("hot", [None, 1])
+def test_texts_that_repeat_inside_themselves(spark, hot):
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdef ") for _ in range(90))
+    rows = [(5, passage * 40 + "end"), (3, "x" * 1500), (9, passage[20:] + "y" * 200 + passage), (4, "x" * 700 + passage), (8, "ab" * 400)]
+    assert results(substrings.remove_repeats(frame(spark, rows), hot=hot)) == brute(rows)
