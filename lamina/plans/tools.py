@@ -23,6 +23,7 @@ from lamina.plans.recall import recall
 from lamina.schemas import EPISODIC_EVENT, MEMORY_KINDS, SCHEMA_VERSION
 from lamina.sources import backup, cold, config, pins, sessions
 from lamina.sources.event_table import EventTable
+from lamina.sources.storage import LogStore
 from lamina.sources.store import OpLogStore
 
 TOOLS = ("remember", "recall", "update", "forget", "pin", "unpin", "recall_recent", "summarize_session", "record_event", "switch_scope", "stats", "list_scopes", "export")
@@ -90,11 +91,11 @@ def descriptors() -> list[dict]:
 class Engine:
     """All tools over one data folder, for one process."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: config.Config | None = None, model: str = "stub", dim: int = 32):
+    def __init__(self, spark: SparkSession, root: str, settings: config.Config | None = None, model: str = "stub", dim: int = 32, store: LogStore | None = None):
         self.spark, self.root = spark, root
         self.settings = settings or config.Config()
         backup.scaffold(root)
-        self.store = OpLogStore(spark, f"{root}/semantic", dim, model)
+        self.store = store or OpLogStore(spark, f"{root}/semantic", dim, model)
         self.live_events = self._event_table()
         self.pins_path = f"{root}/procedural/pinned.jsonl"
         self.cold = cold.ColdStore(spark, f"{root}/cold/bundles")
