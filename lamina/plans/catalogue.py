@@ -608,6 +608,9 @@ def replay_skips_other_dimensions(t: Layers) -> DataFrame:
 
 
 def _local(path: str) -> str:
+    """The path of a folder for stores that belong to one process; a shared file system that isn't mounted has none."""
+    if "://" in path.removeprefix("file://"):
+        raise ValueError(f"{path} isn't a local folder")
     return path.removeprefix("file://")
 
 
@@ -630,24 +633,23 @@ def pinned_line_count(t: Layers) -> DataFrame:
     return t.spark.range(1).select(F.lit(pins.count_lines(t.spark, _pin_file(t))).cast("long").alias("n"))
 
 
-@query("select content, scope from pins where line_no < 30 and line_no % 3 <> 0")
+@query("select content, scope from pins where line_no % 3 <> 0")
 def pin_and_unpin(t: Layers) -> DataFrame:
     path = _local(Scratch(t.spark, "pins").path("pinned.jsonl"))
-    for r in t.pins.where("line_no < 30").orderBy("line_no").collect():  # 30 rows at most
+    for r in t.pins.orderBy("line_no").toLocalIterator():  # a file that people edit
         made = pins.append(path, r["content"], r["scope"])
         if r["line_no"] % 3 == 0:
             pins.remove(path, made)
     return pins.read(t.spark, path).select("content", "scope")
 
 
-@query("select cast(session_id as varchar) as session_id, (row_number() over (partition by session_id order by turn_idx) - 1)::int as turn_idx, role, content, turn_at from turns where session_id < 5")
+@query("select cast(session_id as varchar) as session_id, (row_number() over (partition by session_id order by turn_idx) - 1)::int as turn_idx, role, content, turn_at from turns")
 def session_files(t: Layers) -> DataFrame:
     folder = _local(Scratch(t.spark, "sessions").path("saved"))
-    saved: dict[int, list] = {}
-    for r in t.turns.where("session_id < 5").orderBy("session_id", "turn_idx").collect():  # five sessions
-        saved.setdefault(r["session_id"], []).append({"role": r["role"], "content": r["content"], "at": r["turn_at"].isoformat() + "Z"})
-    for number, turns in saved.items():
-        sessions.write(folder, {"id": str(number), "turns": turns, "started_at": None, "last_checkpoint_at": None, "clean_shutdown": False})
+    own = F.sort_array(F.collect_list(F.struct("turn_idx", "role", "content", "turn_at"))).alias("turns")
+    for r in t.turns.groupBy("session_id").agg(own).toLocalIterator():  # a session at a time
+        turns = [{"role": x["role"], "content": x["content"], "at": x["turn_at"].isoformat() + "Z"} for x in r["turns"]]
+        sessions.write(folder, {"id": str(r["session_id"]), "turns": turns, "started_at": None, "last_checkpoint_at": None, "clean_shutdown": False})
     return sessions.turns(sessions.read(t.spark, folder)).select("session_id", "turn_idx", "role", "content", "turn_at")
 
 
