@@ -183,22 +183,47 @@ class OpLogStore:
         for _, covered, path in self._files():
             if covered <= last:
                 shutil.rmtree(path)
-        if old["snapshot"]:
-            shutil.rmtree(f"{self.root}/{old['snapshot']}", ignore_errors=True)
+        self._drop_snapshot(old["snapshot"])
         return last
 
     def pending(self) -> int:
         return self.last_lsn() - self.manifest()["applied_lsn"]
 
-    def reembed(self, model: str, dim: int, embed) -> None:
-        """Recompute every vector under another model; the manifest changes last, so a failed run leaves the old state."""
-        found = self.manifest()
-        if (found["model"], found["dim"]) == (model, dim):
-            return
-        last, name = self.last_lsn(), f"snapshot-{uuid.uuid4().hex}"
-        rows = self.items().withColumn("embedding", F.transform(embed(F.col("content")), lambda x: x.cast("float"))).withColumn("op", F.lit("insert"))
-        rows.select([f.name for f in OPLOG.fields]).write.parquet(f"{self.root}/{name}")
-        self._swap(found | {"applied_lsn": last, "snapshot": name, "model": model, "dim": dim})
-        self.model, self.dim = model, dim
-        for _, _, path in self._files():
-            shutil.rmtree(path)
+    def reembed(self, model: str, dim: int, embed, ranges: int = 8) -> int:
+        """Recompute every vector under another model; returns the number of rows left out, those without content.
+
+        Rows are dealt to `ranges` by their ids, each written on its own and noted in the manifest, so a
+        run that stops goes on where it was, unless ops came in between. The new state counts only once
+        all ranges are there.
+        """
+        with self.mutex:
+            found, last = self.manifest(), self.last_lsn()
+            if (found["model"], found["dim"]) == (model, dim):
+                return 0
+            plan = found.get("reembed")
+            if plan is None or (plan["model"], plan["dim"], plan["lsn"], plan["ranges"]) != (model, dim, last, ranges):
+                if plan:
+                    shutil.rmtree(f"{self.root}/{plan['folder']}", ignore_errors=True)
+                plan = {"model": model, "dim": dim, "lsn": last, "ranges": ranges, "folder": f"snapshot-{uuid.uuid4().hex}", "done": [], "skipped": 0}
+                self._swap(found | {"reembed": plan})
+            for k in (k for k in range(ranges) if k not in plan["done"]):
+                rows = self.items().where(F.pmod(F.xxhash64("id"), F.lit(ranges)) == k).persist()
+                try:
+                    skipped = rows.where("content is null").count()
+                    rows = rows.where("content is not null").withColumn("embedding", F.transform(embed(F.col("content")), lambda x: x.cast("float"))).withColumn("op", F.lit("insert"))
+                    rows.select([f.name for f in OPLOG.fields]).write.mode("overwrite").parquet(f"{self.root}/{plan['folder']}/range-{k:06d}")
+                finally:
+                    rows.unpersist()
+                plan = plan | {"done": [*plan["done"], k], "skipped": plan["skipped"] + skipped}
+                self._swap(self.manifest() | {"reembed": plan})
+            new = {k: v for k, v in self.manifest().items() if k != "reembed"}
+            self._swap(new | {"applied_lsn": last, "snapshot": f"{plan['folder']}/range-*", "model": model, "dim": dim})
+            self.model, self.dim = model, dim
+            for _, _, path in self._files():
+                shutil.rmtree(path)
+            self._drop_snapshot(found["snapshot"])
+            return plan["skipped"]
+
+    def _drop_snapshot(self, name: str | None) -> None:
+        if name:
+            shutil.rmtree(f"{self.root}/{name.split('/')[0]}", ignore_errors=True)

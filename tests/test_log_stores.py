@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime
 
@@ -106,3 +107,52 @@ def test_a_stream_below_the_snapshot_is_refused(spark, log):
     with pytest.raises(Exception, match="in the snapshot"):
         events.drained(spark.readStream.format("oplog").option("path", log.root).load().select("lsn"))
     assert events.drained(spark.readStream.format("oplog").option("path", log.root).option("startAfter", 20).load().where(F.col("lsn") > 0).select("lsn", "op")).count() == 1
+
+
+def test_a_stopped_reembedding_goes_on(spark, tmp_path):
+    """A run that fails in its third range, and one after it, end as an uninterrupted one; rows without content are counted."""
+    whole, stopped = (OpLogStore(spark, str(tmp_path / name), 2) for name in ("whole", "stopped"))
+    for store in (whole, stopped):
+        store.append([{"op": "insert", "id": f"i{i}", "content": None if i == 7 else "c" * i, "created_at": NOW, "embedding": [1.0, 0.0]} for i in range(20)])
+        store.append([{"op": "delete", "id": "i3"}])
+    calls = []
+
+    def embed(column):
+        return F.array(F.length(column).cast("double"), F.lit(1.0), F.lit(0.0))
+
+    def failing(column):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("stopped")
+        return embed(column)
+
+    assert whole.reembed("new", 3, embed, ranges=4) == 1
+    with pytest.raises(RuntimeError):
+        stopped.reembed("new", 3, failing, ranges=4)
+    assert stopped.manifest()["model"] == "stub" and stopped.manifest()["reembed"]["done"] == [0, 1] and stopped.items().count() == 19
+    assert stopped.reembed("new", 3, failing, ranges=4) == 1 and len(calls) == 5  # two ranges were left
+    assert state(stopped) == state(whole) and len(state(whole)) == 18 and all(len(r[3]) == 3 for r in state(whole))
+    assert "reembed" not in stopped.manifest() and stopped.reembed("new", 3, embed) == 0
+    stopped.append([{"op": "insert", "id": "z", "content": "zz", "created_at": NOW, "embedding": [1.0, 0.0, 0.0]}])
+    stopped.compact()
+    assert len(state(stopped)) == 19 and len([x for x in os.listdir(tmp_path / "stopped") if x.startswith("snapshot-")]) == 1
+    whole.close()
+    stopped.close()
+
+
+def test_ops_between_two_runs_start_reembedding_anew(spark, tmp_path):
+    store, calls = OpLogStore(spark, str(tmp_path), 2), []
+    store.append([{"op": "insert", "id": f"i{i}", "content": "c", "created_at": NOW, "embedding": [1.0, 0.0]} for i in range(6)])
+
+    def failing(column):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+        return F.array(F.lit(1.0))
+
+    with pytest.raises(RuntimeError):
+        store.reembed("new", 1, failing, ranges=2)
+    store.append([{"op": "insert", "id": "late", "content": "c", "created_at": NOW, "embedding": [1.0, 0.0]}])
+    store.reembed("new", 1, failing, ranges=2)
+    assert [r[3] for r in state(store)] == [(1.0,)] * 7
+    store.close()
