@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tomllib
+import warnings
 from dataclasses import dataclass, field, fields
 
 
@@ -56,15 +57,39 @@ class Config:
     checkpoints: Checkpoints = field(default_factory=Checkpoints)
 
 
+#: The least value of numbers; all others are whole numbers from 1 on.
+LEAST = {"max_size_gb": 0, "hot_to_warm_days": 0, "warm_to_cold_days": 0, "auto_context_token_budget": 0}
+
+
+def checked(section: str, key: str, default, value):
+    """A value of the default's type and in its range."""
+    where = f"[{section}] {key}"
+    if type(value) is not type(default):
+        raise ValueError(f"{where} must be of type {type(default).__name__}, not {type(value).__name__}")
+    if isinstance(value, int) and not isinstance(value, bool) and value < (least := LEAST.get(key, 1)):
+        raise ValueError(f"{where} must be at least {least}")
+    if isinstance(value, str) and not value.strip():
+        raise ValueError(f"{where} must not be blank")
+    if key == "schedule" and value != "idle":
+        warnings.warn(f"{where} = {value!r} is taken as 'idle'", stacklevel=3)
+        return "idle"
+    return value
+
+
 def load(path: str) -> Config:
+    """Settings of a file; sections and keys that aren't known are left alone, a known one of the wrong type or range is an error that names it."""
     config = Config()
     if not os.path.exists(path):
         return config
     with open(path, "rb") as f:
         given = tomllib.load(f)
     for section in fields(config):
-        own = getattr(config, section.name)
-        for key, value in given.get(section.name, {}).items():
+        own, found = getattr(config, section.name), given.get(section.name, {})
+        if not isinstance(found, dict):
+            raise ValueError(f"[{section.name}] must be a section")
+        for key, value in found.items():
             if any(key == k.name for k in fields(own)):
-                setattr(own, key, value)
+                setattr(own, key, checked(section.name, key, getattr(own, key), value))
+    if config.consolidation.hot_to_warm_days > config.consolidation.warm_to_cold_days:
+        raise ValueError("[consolidation] hot_to_warm_days must not be more than warm_to_cold_days")
     return config

@@ -147,6 +147,23 @@ def test_config(tmp_path):
     assert config.load(str(tmp_path / "c.toml")).consolidation.hot_to_warm_days == 3
 
 
+@pytest.mark.parametrize("text,message", [
+    ("[consolidation]\nhot_to_warm_days = 'x'", "of type int"), ("[storage]\nencryption = 1", "of type bool"), ("[checkpoints]\nsession_interval_turns = 0", "at least 1"), ("[scopes]\ndefault = ' '", "blank"),
+    ("budgets = 3", "a section"), ("[consolidation]\nhot_to_warm_days = 200", "not be more than"), ("[budgets]\nauto_context_token_budget = true", "of type int"),
+])
+def test_config_names_what_is_wrong(tmp_path, text, message):
+    (tmp_path / "c.toml").write_text(text)
+    with pytest.raises(ValueError, match=message):
+        config.load(str(tmp_path / "c.toml"))
+
+
+def test_other_schedules_are_taken_as_idle(tmp_path):
+    (tmp_path / "c.toml").write_text("[consolidation]\nschedule = 'nightly'\n[budgets]\nauto_context_token_budget = 0\n")
+    with pytest.warns(UserWarning, match="nightly"):
+        found = config.load(str(tmp_path / "c.toml"))
+    assert found.consolidation.schedule == "idle" and found.budgets.auto_context_token_budget == 0
+
+
 def test_backup_round_trip(tmp_path):
     root = tmp_path / "data"
     backup.scaffold(str(root))
