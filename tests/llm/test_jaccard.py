@@ -172,6 +172,29 @@ def test_near_copies_without_id_are_linked(spark, every):
     assert len(words) == len({r[2] for r in brute([(i, t) for i, (_, t) in enumerate(rows) if t], 3, 90, 100)})
 
 
+def test_components_beyond_the_large_edge_count(spark, monkeypatch):
+    """Above LARGE edges minima go through tables: the same components."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, 500 + i) for i in range(1, 60)] + [(7, 7)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    small = sorted(map(tuple, graph.components(edges, Scratch(spark, "cc"), "s").collect()))
+    monkeypatch.setattr(graph, "LARGE", 0)
+    scratch = Scratch(spark, "cc")
+    assert sorted(map(tuple, graph.components(edges, scratch, "l").collect())) == small
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in rows:
+        if a != b:
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    assert small == sorted((x, find(x)) for x in root)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 40)]
     star = [(100, i) for i in range(101, 130)]
