@@ -38,7 +38,7 @@ class WordHashes(dict):
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = workers.kept("", WordHashes)
+    known = workers.kept("word hashes", WordHashes)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

@@ -84,7 +84,7 @@ class Checksums(dict):
 
 def feature_checksums(words: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """CRC-32 and document of every word and of every two consecutive words of the same document; docs: the document of each word, rising."""
-    known = workers.kept("", Checksums)
+    known = workers.kept("checksums", Checksums)
     found = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     single, length = (found & np.uint64(0xFFFFFFFF)).astype(np.uint32), (found >> np.uint64(32)).astype(np.intp)
     pairs = np.flatnonzero(docs[1:] == docs[:-1])

@@ -34,17 +34,22 @@ def give_back() -> None:
         pass
 
 
+def _cleaned(run: Callable[[Iterator], Iterator], owner: str, batches: Iterator) -> Iterator:
+    for name in [x for x in _KEPT if x != owner]:
+        del _KEPT[name]
+    try:
+        yield from run(batches)
+    finally:
+        if owner == "":
+            _KEPT.clear()
+        give_back()
+
+
 def task(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
     """`run` over the batches of a task, in a worker that holds nothing of other operators and nothing freed afterwards."""
 
     def inside(batches: Iterator) -> Iterator:
-        for name in [x for x in _KEPT if x != owner]:
-            del _KEPT[name]
-        try:
-            yield from run(batches)
-        finally:
-            if owner == "":
-                _KEPT.clear()
-            give_back()
+        # this function travels by value, with copies of the globals that it names; one of the module travels by name and sees the worker's own
+        yield from _cleaned(run, owner, batches)
 
     return inside

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lamina.llm import queries, resampling
@@ -100,3 +101,25 @@ def test_checksums_of_pairs(lengths):
     words = [bytes([97 + n % 26]) * n for n in lengths]
     sums, docs = resampling.feature_checksums([*words, b"z"], np.array([0, 0, 1]))
     assert sums.tolist() == [*map(zlib.crc32, [*words, b"z"]), zlib.crc32(b" ".join(words))] and docs.tolist() == [0, 0, 1, 0]
+
+
+def test_checksums_beside_other_hashes(spark):
+    """What another operator has kept in the same process or worker is no checksum, and a task leaves nothing behind."""
+    from lamina.llm import features, workers
+
+    words = [b"same", b"words"]
+    features.word_hashes(words)
+    assert resampling.feature_checksums(words, np.array([0, 0]))[0].tolist() == [*map(zlib.crc32, words), zlib.crc32(b"same words")]
+
+    def hashed(batches):
+        for batch in batches:
+            features.word_hashes(words)
+            yield batch
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"id": [len(workers._KEPT)] * batch.num_rows})
+
+    one = spark.range(0, 8, 1, 8)
+    one.mapInArrow(workers.task(hashed), "id long").collect()
+    assert {r["id"] for r in one.mapInArrow(held, "id long").collect()} == {0}
