@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.schemas import SESSION
@@ -20,6 +21,18 @@ def write(folder: str, session: dict) -> None:
     os.replace(f"{path}.tmp", path)
 
 
+def write_all(folder: str, rows: DataFrame) -> None:
+    """Save the sessions of rows(id, turns) from the tasks, into a folder that all of them share; turns have role, content and at. None passes through the driver."""
+
+    def save(part: Iterator[Row]) -> None:
+        for r in part:
+            turns = [{"role": x["role"], "content": x["content"], "at": x["at"]} for x in r["turns"]]
+            write(folder, {"id": r["id"], "turns": turns, "started_at": None, "last_checkpoint_at": None, "clean_shutdown": False})
+
+    os.makedirs(folder, exist_ok=True)
+    rows.foreachPartition(save)
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SESSION).option("pathGlobFilter", "*.snapshot").json(folder)
 

@@ -108,6 +108,12 @@ def test_session_files(spark, tmp_path):
     assert sessions.unclean(rows).count() == 1
 
 
+def test_sessions_are_saved_by_the_tasks(spark, tmp_path):
+    rows = spark.range(40).selectExpr("cast(id as string) as id", "array(named_struct('role', 'user', 'content', concat('c', id), 'at', '2024-01-01T00:00:00.000000Z')) as turns")
+    sessions.write_all(str(tmp_path), rows)
+    assert {(r["session_id"], r["content"]) for r in sessions.turns(sessions.read(spark, str(tmp_path))).collect()} == {(str(i), f"c{i}") for i in range(40)}
+
+
 def test_cold_store_touches_only_its_quarters(spark, tmp_path):
     import os
 
