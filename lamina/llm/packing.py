@@ -75,7 +75,12 @@ class ChunkIds:
         #: The same without lower-casing and pattern, for chunks that have been through both.
         self.cut_tokenizer = Tokenizer.from_file(vocabulary)
         self.cut_tokenizer.normalizer = normalizers.Sequence([])
-        self.cut_tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)
+        self.cut_tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), bytewise])
+        #: Whether an id ends a chunk, so that chunks, which hold no line breaks, can go through it as lines of one text.
+        suffix = self.cut_tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(1 + max(self.cut_tokenizer.get_vocab().values()), bool)
+        self.ends[[i for t, i in self.cut_tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self.latin: dict[bytes, bytes] = {}
         self.raw: dict[bytes, bytes] = {}
         self.room = most_bytes
@@ -113,34 +118,51 @@ class ChunkIds:
             else:
                 self.met[at >> 3] |= bit
 
-    def chunks(self, text: str) -> tuple[bool, list[bytes]]:
+    def words(self, text: str) -> tuple[bool, list[bytes]]:
+        """What ASCII white space parts, and whether PATTERN cuts it further."""
         try:
             raw = text.encode("latin-1")
         except UnicodeEncodeError:
             raw = None
         if raw is None or b"<|" in raw or not raw.isascii() and len(raw.translate(None, self.OTHER)) < len(raw):
             return False, text.encode().split()
-        return True, self.PATTERN.findall(raw.translate(self.LOWER))
+        return True, raw.translate(self.LOWER).split()
+
+    def fresh(self, latin: bool, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks by the tokenizer; those that PATTERN has cut go through it as lines of one text, if each ends in an id that ends chunks."""
+        coder = self.cut_tokenizer if latin else self.tokenizer
+        if latin:
+            ids = np.array(coder.encode_batch_fast([b"\n".join(new).decode("latin-1")], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(new) and ends[-1] == 4 * len(ids):
+                raw, ends = ids.tobytes(), ends.tolist()
+                return {c: raw[lo:hi] for c, lo, hi in zip(new, [0, *ends], ends)}
+        whole = [c.decode("latin-1" if latin else "utf-8") for c in new]
+        return {c: array("I", e.ids).tobytes() for c, e in zip(new, coder.encode_batch_fast(whole, add_special_tokens=False), strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.known:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [self.chunks(t) for t in texts]
-        found = [list(map((self.latin if latin else self.raw).get, own)) for latin, own in cut]
+        cut = [self.words(t) for t in texts]
+        found = [b""] * len(texts)
         for latin, known in ((True, self.latin), (False, self.raw)):
-            gaps = [(own, ids) for (kind, own), ids in zip(cut, found, strict=True) if kind == latin and None in ids]
-            new = list({c for own, ids in gaps for c, i in zip(own, ids, strict=True) if i is None})
+            own = [(i, words) for i, (kind, words) in enumerate(cut) if kind == latin]
+            unknown = [w for w in set().union(*(words for _, words in own)) if w not in known]
+            chunks = {w: self.PATTERN.findall(w) if latin else [w] for w in unknown}
+            new = list({c for part in chunks.values() for c in part if c not in known})
             fresh = {}
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                whole = [c.decode("latin-1" if latin else "utf-8") for c in part]
-                coder = self.cut_tokenizer if latin else self.tokenizer
-                for chunk, e in zip(part, coder.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-                    fresh[chunk] = array("I", e.ids).tobytes()
-            for own, ids in gaps:
-                ids[:] = [fresh[c] if i is None else i for c, i in zip(own, ids, strict=True)]
+            for at in range(0, len(new), 1000):
+                fresh |= self.fresh(latin, new[at : at + 1000])
+            # for these texts all words are known, afterwards only the chunks that are kept
+            known |= fresh
+            whole = {w: b"".join(map(known.__getitem__, part)) for w, part in chunks.items() if len(part) > 1}
+            known |= whole
+            for i, words in own:
+                found[i] = b"".join(map(known.__getitem__, words))
+            for w in (*whole, *fresh):
+                del known[w]
             self.keep(known, fresh)
-        return [b"".join(ids) for ids in found]
+        return found
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -128,3 +128,20 @@ def test_rows_that_share_or_lack_an_id_are_packed_each(spark, tokenizer):
     rows = [(None if i % 3 else 7, "some words here") for i in range(300)]
     got = packing.pack(frame(spark, rows), VOCABULARY, 64).collect()
     assert len(got) == 300 and len({(r["sequence_id"], r["offset"]) for r in got}) == 300
+
+
+def test_new_chunks_go_through_the_tokenizer_as_lines():
+    coder = packing.ChunkIds(VOCABULARY)
+    chunks = [b"some", b"words", b"'s", b"\x00", b"\xe9t\xe9", b"...", b"7", b"zqxjv"]
+    want = {c: np.array(coder.tokenizer.encode(c.decode("latin-1"), add_special_tokens=False).ids, "<u4").tobytes() for c in chunks}
+    calls, real = [], coder.cut_tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return real.encode_batch_fast(texts, **how)
+
+    coder.cut_tokenizer = Counted()
+    assert coder.fresh(True, chunks) == want and calls == [1]
+    coder.ends[:] = False  # a vocabulary that doesn't mark ends: each chunk goes through it alone
+    assert coder.fresh(True, chunks) == want and calls == [1, 1, len(chunks)]
