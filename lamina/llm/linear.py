@@ -1,7 +1,8 @@
-"""Linear models on hashed n-grams, fitted on the driver to a bounded sample and applied in tasks."""
+"""Linear models on hashed n-grams, fitted in one task to a bounded sample and applied in all."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,29 +32,43 @@ def sample(docs: DataFrame, keys: DataFrame, most: int) -> DataFrame:
     return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
-def vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features (with a last column of ones), labels and ids of rows(doc_id, text, label): made in tasks, then a fixed-size vector per sampled row on the driver."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            packed = [features.vector(t if isinstance(t, str) else "").astype(np.float16).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "x": packed})
-
-    table = rows.select("doc_id", "label", "text").mapInPandas(workers.task(run), "doc_id long, label double, x binary").toArrow()
+def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (with a last column of ones), labels and ids of a table(doc_id, label, x), in the order of the ids."""
     ids, labels = (table.column(c).to_numpy() for c in ("doc_id", "label"))
     order = np.lexsort((labels, ids))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    width, at = features.SIZE + len(features.STATS), 0
+    width = features.SIZE + len(features.STATS)
     x = np.ones((len(ids), width + 1), np.float32)
-    for row in table.column("x"):  # filled in place: this is the largest thing the driver holds
-        x[place[at], :width] = np.frombuffer(row.as_buffer(), np.float16)
-        at += 1
-    ids, labels = ids[order], labels[order]
-    row = table = None
-    pa.default_memory_pool().release_unused()
+    for at, row in zip(place.tolist(), table.column("x"), strict=True):
+        x[at, :width] = np.frombuffer(row.as_buffer(), np.float16)
     x[:, : features.SIZE] *= SCALE
-    return x, labels, ids
+    return x, labels[order], ids[order]
+
+
+def learned(rows: DataFrame, learn: Callable[[np.ndarray, np.ndarray, np.ndarray], dict | None]) -> dict | None:
+    """What `learn` makes of the features, labels and ids of rows(doc_id, text, label), a bounded sample.
+
+    Vectors are made in tasks; they meet in one task, which fits the model, so that the driver
+    gets the model alone.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            packed = [features.vector(t if isinstance(t, str) else "").astype(np.float16).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "x": packed})
+
+    def fitted(table: pa.Table) -> pa.Table:
+        try:
+            return pa.table({"model": pa.array([pickle.dumps(learn(*matrix(table)))], pa.binary())})
+        finally:
+            workers.give_back()
+
+    sampled = rows.select("doc_id", "label", "text").mapInPandas(workers.task(run), "doc_id long, label double, x binary")
+    found = sampled.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(fitted, "model binary").collect()  # one row
+    if found:
+        return pickle.loads(found[0][0])
+    return learn(np.ones((0, features.SIZE + len(features.STATS) + 1), np.float32), np.zeros(0), np.zeros(0, np.int64))
 
 
 def fit(x: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], rounds: int = 80, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:

@@ -106,20 +106,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_size: int = 2000, rounds: i
     positive = own.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1.0).alias("label")).distinct()
     unlabelled = texts.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", F.lit(0.0).alias("label")).distinct()
     rows = linear.sample(texts, positive, sample_size).unionByName(linear.sample(texts, unlabelled, sample_size))
-    x, y, ids = linear.vectors(rows)
-    if not (y == 1).any() or not (y == 0).any():
-        return {"grams": np.zeros(features.SIZE, np.float32), "stats": np.zeros(len(features.STATS) + 1)}
-    prior = class_prior(x, y, ids)
-    w = linear.fit(x, pu_gradient(y, prior), rounds, decay=decay)
-    w[-1] += centre(x[y == 0] @ w, prior)
-    return linear.packed(w)
 
+    def learn(x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> dict:
+        if not (y == 1).any() or not (y == 0).any():
+            return {"grams": np.zeros(features.SIZE, np.float32), "stats": np.zeros(len(features.STATS) + 1)}
+        prior = class_prior(x, y, ids)
+        w = linear.fit(x, pu_gradient(y, prior), rounds, decay=decay)
+        w[-1] += centre(x[y == 0] @ w, prior)
+        return linear.packed(w)
 
-def fitted(docs: DataFrame, labels: DataFrame, **options) -> dict:
-    """The model alone: the driver gives the sample's memory back."""
-    model = train(docs, labels, **options)
-    workers.give_back()
-    return model
+    return linear.learned(rows, learn)
 
 
 def scores(docs: DataFrame, model: dict, *keep: Column | str) -> DataFrame:
@@ -142,12 +138,12 @@ def scores(docs: DataFrame, model: dict, *keep: Column | str) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """doc_id, held_out, score and predicted for every row."""
-    found = scores(docs, fitted(docs, labels, **options), "doc_id")
+    found = scores(docs, train(docs, labels, **options), "doc_id")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_q_score").alias("score"), (F.col("_q_score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns."""
     # as one struct the columns of the documents, whatever their names, clash with nothing
-    found = scores(docs, fitted(docs, labels, **options), F.struct(*docs.columns).alias("row"))
+    found = scores(docs, train(docs, labels, **options), F.struct(*docs.columns).alias("row"))
     return found.where(F.col("_q_score") >= threshold).select("row.*")

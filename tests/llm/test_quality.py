@@ -180,3 +180,15 @@ def test_values_of_edge_rows(spark, edges, edge_rows, labels):
     assert len(found) == len(edge_rows) and len({t: s for s, t in found}) == len({(t, round(s, 12)) for s, t in found}) and len(blank) <= 2
     kept = rules.apply_rules(edges, labels).collect()
     assert all(r["base_failed"] and not r["kept"] for r in kept if r["n_words"] == 0) and len(kept) == len(edge_rows)
+
+
+def test_the_driver_gets_the_model_alone(spark, edges):
+    """Vectors of the sample meet in a task; none passes through the driver."""
+    import os
+
+    from lamina.llm import linear
+
+    rows = edges.where("doc_id is not null").selectExpr("doc_id", "text", "cast(doc_id % 2 as double) as label")
+    found = linear.learned(rows, lambda x, y, ids: {"at": os.getpid(), "n": len(x), "ordered": bool((ids[1:] >= ids[:-1]).all()), "labels": sorted(set(y.tolist()))})
+    assert found.pop("at") != os.getpid()
+    assert found == {"n": rows.count(), "ordered": True, "labels": [0.0, 1.0]}
